@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.llm.chat import events_of_turns, format_conversations, summary
 from pathloom.llm.exact_dedup import exact_dedup
+from pathloom.llm.simhash import simhash_groups
+from pathloom.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,3 +46,47 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with the document that stays for it."""
     found = exact_dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+#: A conversation that says the template's own marks.
+MARKED = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+
+
+@query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the formatted text."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame(MARKED, turns.schema)
+    return summary(format_conversations(events_of_turns(turns.unionByName(marked))))
+
+
+#: The rules (host, path, verdict).
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query(
+    "op4_url_filter",
+    r"""
+    with u as (select page_id, case when contains(url, '://') then url else '' end as url from pages),
+         r as (select page_id, substr(url, strpos(url, '://') + 3) as rest from u),
+         h as (select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from r),
+         p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                      regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+         rules(host, path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+         hits as (select p.page_id, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) as best
+                  from p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by p.page_id)
+    select p.page_id, p.host, p.path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from p left join hits using (page_id)
+    """,
+)
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    judged = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op5_simhash_groups")
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    found = simhash_groups(table(spark, sf_dir, "documents"), size=4, budget=4)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
