@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.chat import events_of_turns, format_conversations, summary
 from pathloom.llm.exact_dedup import exact_dedup
+from pathloom.llm.packing import pack_documents
 from pathloom.llm.simhash import simhash_groups
+from pathloom.llm.tokens import default_path
 from pathloom.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +92,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = simhash_groups(table(spark, sf_dir, "documents"), size=4, budget=4)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
+    packed = pack_documents(table(spark, sf_dir, "documents"), default_path(), 1024)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
