@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import language_id
+from pathloom.llm import class_ngrams, language_id
 from pathloom.llm.chat import events_of_turns, format_conversations, summary
 from pathloom.llm.exact_dedup import exact_dedup
 from pathloom.llm.packing import pack_documents
@@ -109,3 +109,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     judged = language_id.identify(docs.select("doc_id", "text"), model)
     return judged.select(F.col("row.doc_id").alias("doc_id"), language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op9_class_ngrams")
+def op9_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the class model and the unigram."""
+    return class_ngrams.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
