@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import class_ngrams, language_id
+from pathloom.llm import class_ngrams, decontamination, language_id
 from pathloom.llm.chat import events_of_turns, format_conversations, summary
 from pathloom.llm.exact_dedup import exact_dedup
 from pathloom.llm.packing import pack_documents
@@ -115,3 +115,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of every document under the class model and the unigram."""
     return class_ngrams.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, with its edits."""
+    found = decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    each = found.select(F.col("row.doc_id").alias("doc_id"), F.explode("matches").alias("m"))
+    return each.select("doc_id", "m.item_id", "m.edits", "m.start")
