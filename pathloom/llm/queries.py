@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import class_ngrams, decontamination, language_id
+from pathloom.llm import class_ngrams, decontamination, language_id, suffix_dedup
 from pathloom.llm.chat import events_of_turns, format_conversations, summary
 from pathloom.llm.exact_dedup import exact_dedup
 from pathloom.llm.packing import pack_documents
@@ -123,3 +123,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     each = found.select(F.col("row.doc_id").alias("doc_id"), F.explode("matches").alias("m"))
     return each.select("doc_id", "m.item_id", "m.edits", "m.start")
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated strings leaves of every document."""
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
