@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import class_ngrams, decontamination, language_id, suffix_dedup
+from pathloom.llm import class_ngrams, decontamination, language_id, suffix_dedup, token_output
 from pathloom.llm.chat import events_of_turns, format_conversations, summary
 from pathloom.llm.exact_dedup import exact_dedup
 from pathloom.llm.packing import pack_documents
 from pathloom.llm.simhash import simhash_groups
 from pathloom.llm.tokens import default_path
 from pathloom.llm.url_filter import url_filter
+from pathloom.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,3 +134,21 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op1_training_order")
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence's slot and digest, read back from the written shards.
+
+    doc_id, piece, slot, shard, byte_offset (in the shard), length, ids_sha256 (of its ids as
+    unsigned 16-bit numbers).
+    """
+    out = new_path(spark, "training-order")
+    total = token_output.write_training_order(table(spark, sf_dir, "documents"), default_path(), out)
+    if not total:
+        return spark.createDataFrame([], "doc_id long, piece int, slot long, shard long, byte_offset long, length int, ids_sha256 string")
+    found = token_output.read_training_order(spark, out)
+    return found.select(
+        F.col("id").alias("doc_id"), "piece", "slot", F.floor(F.col("slot") / token_output.SHARD_RECORDS).alias("shard"),
+        (F.col("slot") % token_output.SHARD_RECORDS * token_output.stride()).alias("byte_offset"), "length", F.sha2("ids", 256).alias("ids_sha256"),
+    )
