@@ -80,7 +80,6 @@ class Group:
     n: int
     number: np.ndarray  # of the items in the index
     words: np.ndarray  # items by words
-    bits: np.ndarray  # walks by steps by word numbers
     sampled: np.ndarray  # tables by sampled steps; table t uses walk t % WALKS
     reads: list[dict[int, list[int]]]  # by walk: the tables that sample each step
     keys: list[np.ndarray]  # sorted, by table
@@ -103,6 +102,8 @@ class Index:
         lengths = sorted({len(c) for c in coded})
         self.longest = max(lengths, default=0)
         rng = np.random.default_rng(seed)
+        # The random bit of each walk, word and step, eight steps to a byte; all lengths share them.
+        self.coins = rng.integers(0, 256, (WALKS, self.base, -(-2 * self.longest // 8)), dtype=np.uint8)
         self.groups = [self._group(n, [(k, c) for k, c in enumerate(coded) if len(c) == n], rng) for n in lengths]
         # For each run length: the sorted codes, and which groups each belongs to.
         self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -131,14 +132,12 @@ class Index:
         return np.where(known, code, -1)
 
     def _group(self, n, members, rng) -> Group:
-        steps = 3 * n
-        bits = rng.integers(0, 2, (WALKS, steps, self.base), dtype=np.int64)
         sampled = rng.integers(0, 2 * n, (tables(), SAMPLED))
         reads: list[dict[int, list[int]]] = [{} for _ in range(WALKS)]
         for t, chosen in enumerate(sampled.tolist()):
             for step in chosen:
                 reads[t % WALKS].setdefault(step, []).append(t)
-        group = Group(n, np.array([k for k, _ in members]), np.array([c for _, c in members]), bits, sampled, reads, [], [])
+        group = Group(n, np.array([k for k, _ in members]), np.array([c for _, c in members]), sampled, reads, [], [])
         for keys in self.keys(group, group.words):
             order = np.argsort(keys, kind="stable")
             group.keys.append(keys[order])
@@ -157,7 +156,7 @@ class Index:
                 word = ended[rows, at]
                 for t in reads.get(step, ()):
                     found[t] = found[t] * self.base + word
-                at = np.minimum(at + group.bits[walk, step, word], group.n)
+                at = np.minimum(at + ((self.coins[walk, word, step >> 3] >> (step & 7)) & 1), group.n)
         return found
 
     def candidates(self, group: Group, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
