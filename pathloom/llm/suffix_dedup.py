@@ -125,7 +125,10 @@ def piece_segments(data, bounds, begin, end):
     lo, hi = edge[:-1], edge[1:] - 1
     keep = valid[lo]
     lo, hi = lo[keep], hi[keep]
-    return lo + begin, hi + begin, anchor[lo] + begin, hashes[anchor[lo]]
+    # The least hashes crowd at the low end; mixed again, they spread over all buckets.
+    gram = hashes[anchor[lo]] * np.uint64(0x94D049BB133111EB)
+    gram = (gram ^ (gram >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return lo + begin, hi + begin, anchor[lo] + begin, gram ^ (gram >> np.uint64(32))
 
 
 def contexts(buffer: bytes, s: Segments, which: np.ndarray) -> np.ndarray:
