@@ -166,20 +166,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageModel(names, np.array(owner, int), np.array(centres, np.float32).reshape(-1, DIMENSIONS).T.copy(), idf, size_floors(near, n))
 
 
+def expected(n: np.ndarray | float) -> np.ndarray | float:
+    """How the cosine of a text grows with its ``n`` byte pairs: like the root at first, then levelling off."""
+    return np.sqrt(n / (n + 200.0))
+
+
 def size_floors(near: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Cosine floors by size class, from the sample's documents of about that size.
 
-    A class that has fewer than five documents within one class to either side looks further.
+    A class that has fewer than five documents within one class to either side looks further;
+    what it finds is scaled to its own size.
     """
     classes = np.array([size_class(int(k)) for k in n], int)
+    relative = near / expected(n.astype(float))
     floors = np.zeros(32)
     for k in range(32):
         for reach in range(1, 32):
-            around = near[np.abs(classes - k) <= reach]
+            around = relative[np.abs(classes - k) <= reach]
             if len(around) >= 5:
-                floors[k] = REJECT_RATIO * around.min()
+                floors[k] = REJECT_RATIO * around.min() * expected(2.0**k)
                 break
-    return floors
+    return np.minimum.accumulate(floors[::-1])[::-1]  # never higher for a smaller text
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
