@@ -28,7 +28,7 @@ from pathloom.shared import delete_path, new_path, release
 SEQUENCE, SHARD_RECORDS = 256, 16_384
 
 #: Shards are written in so many turns, each of which shuffles its share of the records only.
-ROUNDS = 4
+ROUNDS = 6
 
 TRAILER = "\x00\x00\x00\x00"
 _HEADER = struct.Struct("<qiHH")
@@ -139,24 +139,24 @@ def write_training_order(docs: DataFrame, path: str, out: str, key: str = "pathl
     release(spark)
     table = spark.read.schema("record binary").parquet(saved)
     files = table.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count().orderBy("file").collect()
-    starts, total = {}, 0
+    starts, total = [], 0
     for row in files:
-        starts[row["file"]] = total
+        starts.append((row["file"], total))
         total += row["count"]
     if not total:
         return 0
-    held = spark.sparkContext.broadcast(starts)  # one number per file that a task has written
     order = Permutation(total, key)
     shards = -(-total // shard_records)
 
-    def place(batches):
-        for batch in batches:
-            first = np.array([held.value[f] for f in batch.column(1).to_pylist()], np.int64)
-            slot = order.slots(first + batch.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot)], ["record", "slot"])
+    @F.arrow_udf("long")
+    def slot_of(number: pa.Array) -> pa.Array:
+        return pa.array(order.slots(number.to_numpy()))
 
+    # One row per file that a task has written. Only numbers go to Python, the records do not.
+    first = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
     numbered = table.select("record", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    placed = numbered.mapInArrow(place, "record binary, slot long").withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int"))
+    placed = numbered.join(first, "file").select("record", slot_of(F.col("first") + F.col("row")).alias("slot"))
+    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int"))
     padded = F.rpad(F.col("record"), stride(sequence) - len(TRAILER), F.lit(b"\x00"))
     per_round = -(-shards // ROUNDS)
     for low in range(0, shards, per_round):
