@@ -500,7 +500,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     most = math.floor(BITS * words * p + SLACK * math.sqrt(BITS * words * p * (1 - p)))
     links = None
     for w in range(words):
-        word = F.reverse(F.substring("sig", 8 * w + 1, 8))
+        word = F.substring("sig", 8 * w + 1, 8)  # its bits in any order make a key
         keyed = table.select("id", F.conv(F.hex(word), 16, -10).cast("long").alias("fp"), "sig")
         part = save_table(trie_links(keyed, n, bits, KEY_BUDGET, WIDE_NODE_SIZE, most), "similar-links")
         links = part if links is None else links.unionByName(part)
