@@ -1 +1 @@
-
+"""Column functions: path codecs, byte masks and value policies."""

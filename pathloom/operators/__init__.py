@@ -1 +1 @@
-
+"""Operators on path tables."""

@@ -1 +1 @@
-
+"""The library's registered queries with their SQL."""

@@ -1 +1 @@
-
+"""Path tables that grow by micro-batches."""
