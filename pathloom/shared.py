@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,16 +49,23 @@ def save_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    schema = df.schema
+    saved = spark.read.schema(df.schema).parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return saved
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files and broadcasts that no live plan refers to."""
+    """Let Spark's cleaner remove shuffle files and broadcasts that no live plan refers to.
+
+    What holds them is finalised first, so only a second collection frees them.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    system = spark.sparkContext._jvm.System
+    system.gc()
+    system.runFinalization()
+    time.sleep(0.1)
+    system.gc()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
