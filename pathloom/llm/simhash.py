@@ -40,8 +40,8 @@ MAX_NODES = 4_096
 #: Leaf pairs of two nodes from which on they are compared outright.
 BRUTE = 64
 
-#: Node pairs that a task expands at once.
-CHUNK = 400_000
+#: Node pairs that a task expands, and leaf pairs that it compares, at once.
+CHUNK, LEAVES = 50_000, 250_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -108,7 +108,7 @@ class Trie:
         """Where the ones begin at ``depth`` in each node."""
         if depth not in self.ones:
             bit = (self.values >> np.uint64(BITS - 1 - depth)) & np.uint64(1)
-            self.ones[depth] = np.concatenate(([0], np.cumsum(bit, dtype=np.int64)))
+            self.ones[depth] = np.concatenate((np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)))
         ones = self.ones[depth]
         return hi - (ones[hi] - ones[lo])
 
@@ -168,12 +168,12 @@ def join_tries(left: np.ndarray, right: np.ndarray | None, budget: Budget, confi
     for limit in [x for x in (1, 2) if x < budget.total] + [budget.total]:
         label = roots(parent, np.arange(len(values)))
         changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
-        stack = [(0, *(np.array([x]) for x in (0, n, 0, len(b.values), 0)))]
+        stack = [(0, *(np.array([x], np.int32) for x in (0, n, 0, len(b.values))), np.zeros(1, np.int8))]
         while stack:
             depth, alo, ahi, blo, bhi, err = stack.pop()
             # Drop pairs of nodes whose leaves all belong together already.
             one = (changes[ahi - 1] == changes[alo]) & (changes[bhi - 1 + shift] == changes[blo + shift]) & (label[alo] == label[blo + shift])
-            done = ~one if depth >= budget.depth else ~one & ((ahi - alo) * (bhi - blo) <= BRUTE)
+            done = ~one if depth >= budget.depth else ~one & ((ahi - alo).astype(np.int64) * (bhi - blo) <= BRUTE)
             if done.any():
                 for x, y in leaf_pairs(values, shift, alo[done], ahi[done], blo[done], bhi[done], limit, budget):
                     if confirm is not None and len(x):
@@ -208,13 +208,13 @@ def join_tries(left: np.ndarray, right: np.ndarray | None, budget: Budget, confi
 
 def leaf_pairs(values, shift, alo, ahi, blo, bhi, limit, budget):
     """Indices of leaves within the limit, for small node pairs, a bounded number at a time."""
-    wide = bhi - blo
+    wide = (bhi - blo).astype(np.int64)
     count = (ahi - alo) * wide
     ends = np.cumsum(count)
     at = 0
     while at < len(count):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + 4_000_000)))
+        to = max(at + 1, int(np.searchsorted(ends, base + LEAVES)))
         of = np.repeat(np.arange(at, to), count[at:to])
         k = np.arange(len(of)) - np.repeat(ends[at:to] - count[at:to] - base, count[at:to])
         x, y = alo[of] + k // wide[of], blo[of] + k % wide[of] + shift
