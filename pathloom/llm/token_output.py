@@ -28,7 +28,7 @@ from pathloom.shared import delete_path, new_path, release
 SEQUENCE, SHARD_RECORDS = 256, 16_384
 
 #: Shards are written in so many turns, each of which shuffles its share of the records only.
-ROUNDS = 6
+ROUNDS = 4
 
 TRAILER = "\x00\x00\x00\x00"
 _HEADER = struct.Struct("<qiHH")
