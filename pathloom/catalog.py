@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pathloom.plans.queries import ORACLE_SQL, QUERIES, customers_by_stem
 
+flagship = customers_by_stem
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
