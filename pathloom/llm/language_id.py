@@ -21,6 +21,9 @@ MAX_LANGUAGES = 1_000
 #: Clusters per language.
 CENTROIDS = 4
 
+#: A cluster with a smaller share of its language's rows is taken for outliers, such as wrong labels, and dropped.
+OUTLIER_SHARE = 0.02
+
 #: A document is rejected if its cosine is below this part of what documents of its size have.
 REJECT_RATIO = 0.25
 
@@ -106,7 +109,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         owner = (x @ centres.T).argmax(axis=1)
         fresh = [x[owner == i].sum(axis=0) if (owner == i).any() else centres[i] for i in range(len(centres))]
         centres = np.stack([c / (np.sqrt((c * c).sum()) or 1) for c in fresh])
-    return centres
+    share = np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres)) / len(x)
+    return centres[share >= min(OUTLIER_SHARE, share.max())]
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
@@ -184,7 +188,7 @@ def size_floors(near: np.ndarray, n: np.ndarray) -> np.ndarray:
         for reach in range(1, 32):
             around = relative[np.abs(classes - k) <= reach]
             if len(around) >= 5:
-                floors[k] = REJECT_RATIO * around.min() * expected(2.0**k)
+                floors[k] = REJECT_RATIO * np.quantile(around, 0.01) * expected(2.0**k)
                 break
     return np.minimum.accumulate(floors[::-1])[::-1]  # never higher for a smaller text
 

@@ -177,8 +177,10 @@ class Search:
             if not self.bins[source]:
                 used, failed, tried = used - 1, 0, set()
                 continue
+            if moved:
+                tried.clear()  # what failed before may find a place now
             tried.add(source)
-            failed = 0 if moved and len(tried) == 1 else failed + 1
+            failed += 1
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
