@@ -46,7 +46,7 @@ def fold(t: PathFrame, algebra: Algebra, w_type: str, steps: bool = False) -> Da
     kept = compressed_nodes(nodes)
     top = kept.where("depth = 0").select("prefix")
     missing = nodes.where("depth = 0").select("prefix").join(top, "prefix", "left_anti")
-    kept = save_table(kept.select("prefix", "depth", "value", "child_count", "parent", "jumped"), "fold-nodes")
+    kept = save_table(kept.select("prefix", "depth", "value", "child_count", "parent", "jumped"), "fold-nodes", free=False)
     # A root that is neither value nor branch still gets the result of the chain below it.
     kind = f"array<struct<byte:int,w:{w_type}>>"
     none = F.array().cast(kind)
@@ -56,7 +56,7 @@ def fold(t: PathFrame, algebra: Algebra, w_type: str, steps: bool = False) -> Da
         ready = waiting.join(arrived, "prefix", "left").withColumn("children", F.coalesce("children", none))
         now = ready.where(F.size("children") == F.col("child_count"))
         folded = now.withColumn("w", algebra(F.col("children"), F.col("value"), F.col("prefix")).cast(w_type))
-        folded = save_table(folded.select("prefix", "depth", "parent", "jumped", "w"), "fold-level")
+        folded = save_table(folded.select("prefix", "depth", "parent", "jumped", "w"), "fold-level", free=False)
         if folded.isEmpty():
             break
         done = folded if done is None else done.unionByName(folded)
@@ -65,7 +65,7 @@ def fold(t: PathFrame, algebra: Algebra, w_type: str, steps: bool = False) -> Da
         up = lifted.select(F.col("parent").alias("prefix"), F.struct(codec.byte_at("prefix", F.col("depth") - F.col("jumped")).alias("byte"), _lift(algebra, w_type, steps).alias("w")).alias("c"))
         # Only parents that still wait are of interest.
         up = up.join(waiting.select("prefix"), "prefix", "left_semi")
-        arrived = save_table(up.groupBy("prefix").agg(F.array_sort(F.collect_list("c")).alias("children")), "fold-arrived")
+        arrived = up.groupBy("prefix").agg(F.array_sort(F.collect_list("c")).alias("children"))
     result = done.select("prefix", "w") if done is not None else None
     if result is None:
         spark = t.df.sparkSession
@@ -189,7 +189,7 @@ def unfold(seed: DataFrame, value: Column, children: Column, grafts: DataFrame |
     """
     grown, front = None, seed.select("path", "state")
     while True:
-        front = save_table(front.select("path", "state", value.alias("value"), children.alias("children")), "unfold")
+        front = save_table(front.select("path", "state", value.alias("value"), children.alias("children")), "unfold", free=False)
         if front.isEmpty():
             break
         rows = front.where("value is not null").select("path", "value")

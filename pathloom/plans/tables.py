@@ -14,6 +14,10 @@ from pathloom.functions.policy import BOOLEAN, MAP, SET, Policy
 from pathloom.operators.frame import PathFrame
 
 
+#: Overlapping choices of parts, so that either side has paths that the other lacks.
+A, B = "p_size <= 30 and p_partkey % 20 < 3", "p_size > 20 and p_partkey % 20 < 4"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,12 +34,11 @@ GEO = """geo as (select hex(encode(r_name || '/' || n_name || '/' || c_mktsegmen
 
 
 def _parts(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    return part.where("p_size <= 30") if side == "a" else part.where("p_size > 20")
+    return table(spark, sf_dir, "part").where(A if side == "a" else B)
 
 
 def taxa(spark: SparkSession, sf_dir: str, side: str = "a", value: Column | None = None, policy: Policy | None = None) -> PathFrame:
-    """brand/type to the least part key, over parts of small (a) or large (b) sizes."""
+    """brand/type to the least part key, over some parts of small (a) or large (b) sizes."""
     found = _parts(spark, sf_dir, side).groupBy(codec.joined("/", "p_brand", "p_type").alias("path")).agg((F.min("p_partkey") if value is None else value).alias("value"))
     frame = PathFrame(found)
     return frame.with_policy(policy) if policy else frame
@@ -84,7 +87,6 @@ def taxa_sql(name: str, where: str, value: str = "min(p_partkey)") -> str:
     return f"{name} as (select hex(encode(p_brand || '/' || p_type)) as h, {value} as v from part where {where} group by 1)"
 
 
-A, B = "p_size <= 30", "p_size > 20"
 TA, TB = taxa_sql("ta", A), taxa_sql("tb", B)
 FLAG = "max(p_retailprice) > 1500"
 SIZES = "list_sort(list(distinct p_size % 7))"

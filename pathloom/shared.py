@@ -40,18 +40,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def save_table(df: DataFrame, name: str) -> DataFrame:
+def save_table(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a frame that reads it.
 
-    Afterwards the JVM is asked to collect garbage, so that Spark's cleaner drops the shuffle
-    files of the finished job; a chain of jobs then needs the disk of its largest one, not
-    the sum of all.
+    With ``free``, the JVM is then asked to collect garbage, so that Spark's cleaner drops the
+    shuffle files of the finished job; a chain of jobs needs the disk of its largest one, not
+    the sum of all. Loops over small tables leave that to the jobs after them.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     del df
-    release(spark)
+    if free:
+        release(spark)
     return saved
 
 

@@ -41,7 +41,9 @@ def read_dag(spark: SparkSession, folder: str, policy: Policy = KEEP_LEFT_EQUAL)
     front = meta.where("root is not null").select(F.lit(b"").alias("path"), F.col("root").alias("hash"))
     found = None
     for depth in range(longest + 1):
-        level = save_table(front.join(nodes, "hash"), "dag-level")
+        level = front.join(nodes, "hash")
+        if depth % 8 == 7:
+            level = save_table(level, "dag-level", free=False)  # keeps plans short
         rows = level.where("value is not null").select("path", "value")
         found = rows if found is None else found.unionByName(rows)
         each = level.select("path", F.explode("children").alias("c"))
