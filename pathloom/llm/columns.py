@@ -6,15 +6,28 @@ extra input columns may bear any name, even one that an operator uses for its re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: blank, tab, line feed, vertical tab, form feed, return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that go to a Python worker at once; a session that allows less keeps its own value.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by their bytes, so that long texts do not add up in a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row`` (all input columns), ``id`` (long) and ``text`` (null becomes empty)."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(id_col).cast("long").alias("id"),

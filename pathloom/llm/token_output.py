@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.columns import packed
+from pathloom.llm.columns import BATCH_BYTES, packed
 from pathloom.llm.tokens import END_ID, encoder
 from pathloom.shared import delete_path, new_path, release
 
@@ -113,7 +113,7 @@ def records(docs: DataFrame, path: str, sequence: int) -> DataFrame:
                 for k, at in enumerate(range(0, len(ids), sequence)):
                     rows.append(packed_record(i, k, ids[at : at + sequence]))
                     size += len(rows[-1])
-                if size > 16 << 20:
+                if size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
                     rows, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
