@@ -56,7 +56,8 @@ def _map_subtract(a: Column, b: Column) -> Column:
 
 
 def _map_merge(value: Column, order: Column) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+    by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)  # noqa: E731  maps have no order
+    ordered = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))), by_order)
     return F.aggregate(F.slice(ordered, 2, F.size(ordered)), ordered[0]["v"], lambda m, x: _map_join(m, x["v"]))
 
 

@@ -41,5 +41,5 @@ def words(texts: DataFrame, text: Column, pattern: str = r"[^\p{L}\p{N}']+") ->
 def sequences(lines: DataFrame, line: Column) -> DataFrame:
     """(name, numbers) of lines like ``A000001 ,1,2,3,``; comments begin with ``#``."""
     rows = lines.select(line.alias("line")).where(~F.col("line").startswith("#"))
-    parts = F.filter(F.transform(F.split("line", ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("line", ","), lambda s: F.trim(s)), lambda s: s != "")
     return rows.select(parts[0].alias("name"), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: s.cast("long")).alias("numbers"))
