@@ -50,8 +50,11 @@ def hx(text: str) -> str:
 )
 def customers_by_stem(spark, d):
     """Customers below two regions; the region is dropped from their paths, the rest counted by nation."""
-    kept = algebra.restrict(T.geo(spark, d), PathFrame.unit(spark, [b"ASIA/", b"EUROPE/"]))
-    heads = folds.union_all([relocate.drop_head(relocate.graft(kept, b"", kept, stem), b"", 0).df for stem in (b"ASIA/", b"EUROPE/")])
+    stems = [b"ASIA/", b"EUROPE/"]
+    kept = algebra.restrict(T.geo(spark, d), PathFrame.unit(spark, stems))
+    # The heads differ in length, so what follows the first slash is what is left.
+    size = F.instr(F.decode("path", "utf-8"), "/")
+    heads = kept.df.select(codec.tail("path", size).alias("path"))
     return heads.groupBy(F.element_at(F.split(F.decode("path", "utf-8"), "/"), 1).alias("nation")).agg(F.count("*").alias("n"))
 
 
