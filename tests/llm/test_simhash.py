@@ -96,3 +96,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (200, 200), (None, 3)]
     found = dict((r["node"], r["component"]) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90, 200: 200}
+
+
+def test_cut_tries_find_the_same_groups(spark):
+    """Many small nodes, some deeper than the first eight levels, against all pairs."""
+    values = np.unique(np.concatenate((family(5, 120, 6, 4), (family(6, 1, 300, 5) & np.uint64(2**40 - 1)) | np.uint64(7 << 50))))
+    near = np.argwhere(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4).tolist()
+    signed = [int(v) for v in values.view(np.int64)]
+    table = spark.createDataFrame([(v, v, bytearray()) for v in signed], "id long, fp long, sig binary")
+    links = s.trie_links(table, len(signed), 64, 4, node_size=16).collect()
+    place = {v: i for i, v in enumerate(signed)}
+    assert components([(place[r["a"]], place[r["b"]]) for r in links], len(signed)) == components(near, len(signed))
