@@ -7,12 +7,15 @@ the bits in which their prefixes differ, and leaving a pair as soon as the budge
 :func:`simhash_groups` links 64-bit fingerprints within a budget of bits. :func:`similar_groups`
 links documents whose shingle sets have a Jaccard similarity of about a threshold or more; at 0.8
 some tenth of all bits differ, more than one trie join can afford, so it repeats the join over
-short keys cut from a long fingerprint and confirms each pair by the whole of it.
+short keys cut from a long fingerprint, takes pairs whose whole fingerprints are near enough as
+candidates, and confirms each by its sets of shingles. Texts of few shingles, where SimHashes say
+little, get their candidates from an exact prefix filter instead.
 """
 
 from __future__ import annotations
 
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -122,6 +125,19 @@ def union_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
+def spanning(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join the sets like :func:`union_roots`; of the pairs, those that are enough for it."""
+    used = [(a[:0], b[:0])]
+    while len(a):
+        ra, rb = roots(parent, a), roots(parent, b)
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        high, first = np.unique(np.maximum(ra, rb), return_index=True)
+        parent[high] = np.minimum(ra, rb)[first]
+        used.append((a[first], b[first]))
+    return tuple(np.concatenate(x) for x in zip(*used))
+
+
 def roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     r = parent[x]
     while True:
@@ -310,23 +326,25 @@ def node_pairs(nodes: list[tuple[int, int]], budget: Budget) -> list[tuple[int,
     return found
 
 
-def trie_links(table: DataFrame, n: int, depth: int, total: int, node_size: int = NODE_SIZE, most: int | None = None) -> DataFrame:
+def trie_links(table: DataFrame, n: int, depth: int, total: int, node_size: int = NODE_SIZE, bounds: tuple[int, int] | None = None) -> DataFrame:
     """(a, b) edges between ``id`` that span every group linked within ``total`` bits of the key.
 
     ``table`` has ``n`` rows of ``id`` (long), ``fp`` (long; its ``depth`` most balanced bits are
-    the key) and ``sig``; with ``most`` given, a link also needs at most so many differing bits
-    between the ``sig`` of its ends, which all have the same length.
+    the key) and ``sig``. With ``bounds`` (sure, most) given, the edges are pairs whose ``sig``,
+    all of the same length, differ in at most ``most`` bits: a spanning forest of those within
+    ``sure`` bits, marked in a column ``sure``, and every other pair that the forest of its unit
+    does not connect.
     """
     order = bit_order(table, depth)
     half, links = depth // 2, None
     for k, budget in enumerate(Budget(depth, total, total).halves()):
         turn = order if k == 0 else order[half:] + order[:half]
-        part = rotation_links(table, turn, n, budget, node_size, most)
+        part = rotation_links(table, turn, n, budget, node_size, bounds)
         links = part if links is None else links.unionByName(part)
     return links.distinct()
 
 
-def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, node_size: int, most: int | None) -> DataFrame:
+def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, node_size: int, bounds: tuple[int, int] | None) -> DataFrame:
     nodes = frontier(table, order, n, node_size)
     pairs = node_pairs(nodes, budget)
     starts = np.array([(p & (1 << BITS) - 1) << (BITS - d) if d else 0 for d, p in nodes], np.uint64)
@@ -364,16 +382,31 @@ def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, n
         i, j = pairs[unit.column("unit")[0].as_py()]
         sides = [opened(unit, side) for side in ((0,) if i == j else (0, 1))]
         if any(s is None for s in sides):
-            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            empty = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
+            return pa.table(empty if bounds is None else empty | {"sure": np.zeros(0, bool)})
         ids, sigs = (np.concatenate([s[k] for s in sides]) for k in (1, 2))
 
+        if bounds is None:
+            x, y = join_tries(sides[0][0], sides[1][0] if i != j else None, budget)
+            return pa.table({"a": ids[x], "b": ids[y]})
+        forest, found, unsure = np.arange(len(ids)), [], []
+
         def confirm(x, y):
-            return np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= most
+            bits = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64)
+            sure, maybe = bits <= bounds[0], (bits > bounds[0]) & (bits <= bounds[1])
+            found.append(np.stack(spanning(forest, x[sure], y[sure])))
+            unsure.append(np.unique(np.stack((np.minimum(x[maybe], y[maybe]), np.maximum(x[maybe], y[maybe]))), axis=1))
+            return sure
 
-        x, y = join_tries(sides[0][0], sides[1][0] if i != j else None, budget, confirm if most is not None else None)
-        return pa.table({"a": ids[x], "b": ids[y]})
+        join_tries(sides[0][0], sides[1][0] if i != j else None, budget, confirm)
+        none = np.zeros((2, 0), np.int64)
+        x, y = np.unique(np.concatenate([none, *unsure], axis=1), axis=1)
+        apart = roots(forest, x) != roots(forest, y)
+        n_sure = sum(f.shape[1] for f in found)
+        x, y = np.concatenate([none, *found, np.stack((x[apart], y[apart]))], axis=1)
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "sure": np.arange(len(x)) < n_sure})
 
-    return table.select("id", "fp", "sig").mapInArrow(deal, "unit int, side int, n int, data binary").groupBy("unit").applyInArrow(match, "a long, b long")
+    return table.select("id", "fp", "sig").mapInArrow(deal, "unit int, side int, n int, data binary").groupBy("unit").applyInArrow(match, "a long, b long" if bounds is None else "a long, b long, sure boolean")
 
 
 def joined(sigs: pa.ChunkedArray) -> np.ndarray:
@@ -426,10 +459,19 @@ def simhash_groups(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str
 
 
 #: Bits of a key cut from a long fingerprint, how many of them may differ, and the recall at the threshold that sets the number of keys.
-KEY_BITS, KEY_BUDGET, KEY_RECALL = 32, 4, 0.98
+KEY_BITS, KEY_BUDGET, KEY_RECALL = 32, 4, 0.999
+
+#: Standard deviations of the estimated distance by which the whole fingerprint of a candidate may exceed the threshold's.
+SLACK = 4.0
 
-#: Standard deviations of the estimated distance by which the whole fingerprint may exceed the threshold's.
-SLACK = 1.5
+#: Standard deviations below the threshold's distance from which on a link is taken for sure until its shingles are compared.
+SURE = 6.0
+
+#: Distinct shingles up to which candidates come from the prefix filter, not from SimHashes.
+FEW = 64
+
+#: Rows of the prefix filter that are compared together.
+PREFIX_ROWS = 20_000
 
 
 def differing(similarity: float) -> float:
@@ -449,18 +491,32 @@ def keys_needed(n: int, similarity: float) -> tuple[int, int]:
     return min(bits, BITS), math.ceil(math.log(1 - KEY_RECALL) / math.log(1 - hit))
 
 
-def long_fingerprints(docs: DataFrame, size: int, words: int) -> DataFrame:
-    """(id, sig) of the packed ``docs``: SimHashes of ``words`` times 64 bits over distinct shingles.
+def shingle_set(text: str, size: int) -> tuple[np.ndarray, bytes]:
+    """The distinct shingle hashes, ascending, and a digest of them."""
+    found = np.unique(shingle_hashes(text, size))
+    return found, hashlib.sha256(found.astype("<u8").tobytes()).digest()[:16]
+
+
+def long_fingerprints(docs: DataFrame, size: int, words: int, few: int) -> DataFrame:
+    """(id, digest, n, sig, few) of the packed ``docs``, over distinct shingles.
 
-    The first word uses the shingles' hashes, each further one a remix of them.
+    ``sig``, the SimHash of ``words`` times 64 bits, is there from FEW + 1 shingles on and ``few``,
+    the shingles' hashes, up to ``few`` shingles. The first word of a SimHash uses the hashes,
+    each further one a remix of them.
     """
+    kinds = [("id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sig", pa.binary()), ("few", pa.binary())]
 
     def run(batches):
         for batch in batches:
-            found = [long_fingerprint(np.unique(shingle_hashes(t.as_py(), size)), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "sig"])
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found, digest = shingle_set(t.as_py(), size)
+                n = len(found)
+                rows.append((i, digest, n, long_fingerprint(found, words) if n > FEW else None, found.astype("<u8").tobytes() if n <= few else None))
+            cols = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], [k for k, _ in kinds])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, sig binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, digest binary, n long, sig binary, few binary")
 
 
 def long_fingerprint(hashes: np.ndarray, words: int) -> bytes:
@@ -475,35 +531,141 @@ def long_fingerprint(hashes: np.ndarray, words: int) -> bytes:
     return np.array(out, "<u8").tobytes()
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, not both empty, is ``similarity`` or more."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common) >= similarity
+
+
+def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, similarity: float) -> DataFrame:
+    """``links`` (a, b, sure) with ``good``: whether their shingle sets are similar enough.
+
+    ``table`` (node, least, digest) tells the nodes' texts in ``base``: one of id ``least`` whose
+    set has the digest. Only the texts of linked nodes are read again.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            nodes, found = [], []
+            for node, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                hashes, own = shingle_set(text.as_py(), size)
+                if own == digest:
+                    nodes.append(node)
+                    found.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    def compare(batches):
+        for batch in batches:
+            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(good, pa.bool_())], ["a", "b", "sure", "good"])
+
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(table.select("node", "least", "digest"), "node")
+    texts = wanted.join(base.select("id", "text"), F.col("id") == F.col("least")).select("node", "digest", "text")
+    known = save_table(texts.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
+    both = links.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return save_table(both.select("a", "b", "sure", "x", "y").mapInArrow(compare, "a long, b long, sure boolean, good boolean"), "compared-links")
+
+
+def few_links(table: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) edges that span all groups of similar sets among ``table`` (node, n, few).
+
+    Two sets of that similarity share one of the first n - ceil(similarity * n) + 1 members of
+    each, in any order of the members; rare ones come first. Sets that share such a member meet,
+    and are compared outright unless they are linked already.
+    """
+    spell = F.expr("transform(sequence(0, cast(n as int) - 1), i -> substring(few, 8 * i + 1, 8))")
+    each = table.select("node", "n", F.explode(spell).alias("shingle"))
+    often = save_table(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
+    ranked = each.join(often, "shingle").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    # Members that no other set has are the rarest and fill the first places.
+    places = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    first = ranked.where(places > 0).select("node", F.explode(F.slice("shared", F.lit(1), places.cast("int"))["shingle"]).alias("shingle"))
+    first = save_table(first, "prefixes")
+    meet = first.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
+    rows = save_table(first.join(meet, "shingle"), "meeting-prefixes")
+    blocks = max(1, -(-rows.count() // PREFIX_ROWS))
+    block = F.pmod(F.xxhash64("shingle"), F.lit(blocks)).alias("block")
+
+    def match(part: pa.Table) -> pa.Table:
+        nodes, place = np.unique(part.column("node").to_numpy(), return_inverse=True)
+        sets = [b""] * len(nodes)
+        for i, blob in zip(place.tolist(), part.column("few").to_pylist()):
+            sets[i] = blob
+        sets = [np.frombuffer(b, np.uint64) for b in sets]
+        _, key = np.unique(np.frombuffer(b"".join(part.column("shingle").to_pylist()), np.uint64), return_inverse=True)
+        order = np.argsort(key, kind="stable")
+        parent, a, b = np.arange(len(nodes)), [], []
+        for members in np.split(place[order], np.flatnonzero(np.diff(key[order])) + 1):
+            left = np.unique(members)
+            while len(left) > 1:
+                # Walk the group of one member; what it reaches is compared no more.
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    x = queue.pop()
+                    near = roots(parent, left) == roots(parent, np.array([x]))
+                    fresh = left[~near]
+                    lengths = np.array([len(sets[y]) for y in fresh], np.int64)
+                    if len(fresh):
+                        hit = np.isin(np.concatenate([sets[y] for y in fresh]), sets[x])
+                        common = np.bincount(np.repeat(np.arange(len(fresh)), lengths)[hit], minlength=len(fresh))
+                        good = common / (lengths + len(sets[x]) - common) >= similarity
+                        a += [nodes[x]] * int(good.sum())
+                        b += nodes[fresh[good]].tolist()
+                        union_roots(parent, np.full(int(good.sum()), x), fresh[good])
+                        near[np.flatnonzero(~near)[good]] = True
+                    queue += left[near].tolist()
+                    left = left[~near]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sent = rows.join(table.select("node", "few"), "node").select(block, "shingle", "node", "few")
+    return sent.groupBy("block").applyInArrow(match, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every document that shares its component with another id.
 
-    Documents are linked if their long SimHashes say that their sets of ``size``-word shingles
-    are about as similar as ``similarity`` or more; component_id is the smallest id reachable.
+    Documents are linked if the Jaccard similarity of their sets of distinct ``size``-word
+    shingles is ``similarity`` or more; component_id is the smallest id reachable.
 
     * a null text counts as empty; documents without words are linked with each other
     * rows with one id are one document here; null ids take no part
     * an empty table gives an empty result; extra columns are ignored
 
-    Accuracy: with some 500 bits the estimated share of differing bits has a standard deviation
-    of about 0.016 at a similarity of 0.8; pairs are confirmed up to SLACK deviations beyond the
-    threshold's share, and some key brings a pair at the threshold together with a chance of
-    KEY_RECALL, a closer pair with a greater one.
+    Accuracy: every link is confirmed by the shingles' 64-bit hashes, so none is below the
+    threshold. Where one set has at most FEW members no link is lost. Between larger ones, some
+    key brings a pair at the threshold together with a chance of KEY_RECALL, a closer pair with a
+    greater one, and the whole fingerprint may exceed the threshold's distance by SLACK deviations.
+
+    Pairs that links within SURE deviations connect are not compared. Should a single one of
+    those links turn out to be false, all candidates are found again without them.
     """
     base = packed(docs, id_col, text_col).where("id is not null")
-    n = base.count()
-    bits, words = keys_needed(n, similarity)
-    prints = save_table(long_fingerprints(base, size, words), "long-fingerprints")
-    table = save_table(prints.groupBy("sig").agg(F.min("id").alias("id")), "distinct-long-fingerprints")
-    n = table.count()
+    bits, words = keys_needed(base.count(), similarity)
+    few = math.floor(FEW / similarity + 1e-9)
+    prints = save_table(long_fingerprints(base, size, words, few), "long-fingerprints")
+    # Equal sets are one node.
+    table = prints.groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("few").alias("few"))
+    table = save_table(table.withColumn("node", F.monotonically_increasing_id()), "distinct-shingle-sets")
+    long = table.where("sig is not null")
+    n = long.count()
     p = differing(similarity)
-    most = math.floor(BITS * words * p + SLACK * math.sqrt(BITS * words * p * (1 - p)))
-    links = None
-    for w in range(words):
-        word = F.substring("sig", 8 * w + 1, 8)  # its bits in any order make a key
-        keyed = table.select("id", F.conv(F.hex(word), 16, -10).cast("long").alias("fp"), "sig")
-        part = save_table(trie_links(keyed, n, bits, KEY_BUDGET, WIDE_NODE_SIZE, most), "similar-links")
-        links = part if links is None else links.unionByName(part)
-    same = prints.join(table.withColumnRenamed("id", "least"), "sig").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
-    groups = connected_components(save_table(links.unionByName(same).distinct(), "all-similar-links"))
+    mean, deviation = BITS * words * p, math.sqrt(BITS * words * p * (1 - p))
+    most = math.floor(mean + SLACK * deviation)
+    for sure in (math.floor(mean - SURE * deviation), -1):
+        links = None
+        for w in range(words):
+            word = F.substring("sig", 8 * w + 1, 8)  # its bits in any order make a key
+            keyed = long.select(F.col("node").alias("id"), F.conv(F.hex(word), 16, -10).cast("long").alias("fp"), "sig")
+            part = save_table(trie_links(keyed, n, bits, KEY_BUDGET, WIDE_NODE_SIZE, (sure, most)), "similar-links")
+            links = part if links is None else links.unionByName(part)
+        links = save_table(links.groupBy("a", "b").agg(F.max("sure").alias("sure")), "candidates")
+        checked = compared(links, table, base, size, similarity)
+        if not checked.where("sure and not good").count():
+            break
+    links = checked.where("good").select("a", "b").unionByName(few_links(table.where(F.col("n").between(1, few)).select("node", "n", "few"), similarity))
+    least = table.select("node", "least")
+    named = links.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = prints.join(table.select("digest", "least"), "digest").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    groups = connected_components(save_table(named.unionByName(same).where("a != b").distinct(), "all-similar-links"))
     return groups.select(F.col("node").alias("id"), F.col("component").alias("component_id"))

@@ -107,3 +107,35 @@ def test_cut_tries_find_the_same_groups(spark):
     links = s.trie_links(table, len(signed), 64, 4, node_size=16).collect()
     place = {v: i for i, v in enumerate(signed)}
     assert components([(place[r["a"]], place[r["b"]]) for r in links], len(signed)) == components(near, len(signed))
+
+
+def jaccard_components(rows, size, similarity):
+    """The groups that all pairs of documents give, by their shingles' sets."""
+    sets = []
+    for _, text in rows:
+        words = text.encode().lower().split()
+        sets.append({b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
+    near = [(i, j) for i, x in enumerate(sets) for j in range(i) if len(x & sets[j]) >= similarity * len(x | sets[j]) - 1e-9]
+    label, least = components(near, len(rows)), {}
+    for c, (i, _) in zip(label, rows):
+        least[c] = min(least.get(c, i), i)
+    found = {(i, least[c]) for c, (i, _) in zip(label, rows)}
+    shared = {c for _, c in found if sum(d == c for _, d in found) > 1}
+    return {(i, c) for i, c in found if c in shared}
+
+
+def test_similar_groups_are_those_of_all_pairs(spark):
+    """Pairs on both sides of the threshold, of few and of many shingles, and a chain."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(240):
+        n = int(rng.choice([6, 9, 14, 30, 66, 80, 120, 300]))
+        base = [f"g{k}w{i}" for i in range(n)]
+        rows.append((10 * k, " ".join(base)))
+        # One changed word in the middle changes five shingles; the last words change one each.
+        for c in range(2):
+            tail = int(n * rng.uniform(0.04, 0.22))
+            rows.append((10 * k + c + 1, " ".join(base[: n - tail] + [f"g{k}c{c}x{i}" for i in range(tail)])))
+    found = s.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = jaccard_components(rows, 5, 0.8)
+    assert 100 < len(want) < 700
+    assert {(r["id"], r["component_id"]) for r in found} == want
