@@ -6,17 +6,19 @@ after another is then the transition between their classes times the word's shar
 
     P(w | v) = mix * P(class w | class v) * count(w) / count(class w) + (1 - mix) * unigram(w).
 
-The most frequent words are clustered one by one. Any other word is clustered together with
-the words that share its shape (a hash of its last bytes), so every word of any vocabulary, and
-every word never seen, has a class, and the exchange works on a table of bounded size however
-large the corpus is. All counts are of the whole training corpus.
+Every word that occurs LEAST times is clustered on its own. Any rarer word is clustered together
+with the rare words that share its shape (a hash of its last bytes), so every word never seen has
+a class too. A table of the most frequent words and shapes gives the first classes; then all items
+move in rounds over the saved counts of their neighbours, against a shared class table. All counts
+are of the whole training corpus.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 from pathloom.llm.columns import fold, packed, partitions, text_bytes
 from pathloom.shared import save_table
 
-#: Words that are clustered on their own, and shapes of the others.
+#: Words that have items of their own in the first, dense exchange, and shapes of the others.
 FREQUENT, SHAPES = 512, 512
 
+#: Occurrences from which on a word is clustered on its own by the distributed exchange.
+LEAST = 10
+
 #: Last bytes of a word that make its shape.
 SHAPE_BYTES = 3
 
+#: Classes at least; the end has the last of these, and further ones follow it.
 CLASSES = 48
 EXCHANGE_ROUNDS = 20
 MIX = 0.85
@@ -61,19 +67,47 @@ class Items(dict):
         super().__init__({w: i for i, w in enumerate(frequent)})
         self.known = len(self)
         self.frequent = frequent
-        self[END] = FREQUENT + SHAPES
+        self.base = max(FREQUENT, len(frequent))
+        self[END] = self.base + SHAPES
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > HELD_WORDS:
             self.clear()
             self.__init__(self.frequent)
-        self[word] = found = FREQUENT + zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
+        self[word] = found = self.base + zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
         return found
 
 
 N_ITEMS = FREQUENT + SHAPES + 1
 
 
+class HashedItems(dict):
+    """The same numbers as :class:`Items` over words in the order of their ascending hashes.
+
+    Workers get eight bytes a clustered word, not the words.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        super().__init__()
+        self.hashes, self.base = hashes, max(FREQUENT, len(hashes))
+        self[END] = self.base + SHAPES
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > HELD_WORDS:
+            self.clear()
+            self[END] = self.base + SHAPES
+            if word == END:
+                return self[END]
+        h = np.uint64(xxh64_intdigest(word, 42))
+        at = int(np.searchsorted(self.hashes, h))
+        if at == len(self.hashes) or self.hashes[at] != h:
+            at = self.base + zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
+        self[word] = at
+        return at
+
+
 # ---------------------------------------------------------------- counts
 
 
@@ -210,11 +244,177 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE
     return owner
 
 
+def opened_edges(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), "<i8").reshape(3, -1)
+
+
+def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
+    """(block, edges): twice an item plus the direction (0 to the right), its neighbour, and how often.
+
+    All edges of an item are in one block; there is a block for every HELD_PAIRS tokens.
+    """
+    blocks = max(partitions(docs), -(-tokens // HELD_PAIRS))
+
+    def summed(ends: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+        key, place = np.unique(ends * size + other, return_inverse=True)
+        count = np.zeros(len(key), np.int64)
+        np.add.at(count, place, n)
+        return np.stack((key // size, key % size, count))
+
+    def run(batches):
+        items = HashedItems(held.value)
+        end, size = items.base + SHAPES, items.base + SHAPES + 1
+
+        def out(parts):
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            a, b = key // size, key % size
+            ends, other, n = np.concatenate((2 * a, 2 * b + 1)), np.concatenate((b, a)), np.concatenate((n, n))
+            block = ends // 2 % blocks
+            order = np.argsort(block, kind="stable")
+            edges, block = np.stack((ends, other, n))[:, order], block[order]
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            blobs = [zlib.compress(e.astype("<i8").tobytes(), 1) for e in np.split(edges, first[1:], axis=1)]
+            return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "edges"])
+
+        parts, count = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                ids = np.fromiter(map(items.__getitem__, words), np.int64, len(words))
+                parts.append(np.concatenate(([end], ids)) * size + np.concatenate((ids, [end])))
+                count += len(parts[-1])
+                if count > HELD_PAIRS:
+                    yield out(parts)
+                    parts, count = [], 0
+        if parts:
+            yield out(parts)
+
+    def merge(table: pa.Table) -> pa.Table:
+        size = max(FREQUENT, len(held.value)) + SHAPES + 1
+        edges = summed(*np.concatenate([opened_edges(b) for b in table.column("edges").to_pylist()], axis=1), size)
+        return pa.table({"block": table.column("block").slice(0, 1), "edges": pa.array([zlib.compress(edges.astype("<i8").tobytes(), 1)], pa.binary())})
+
+    kind = "block int, edges binary"
+    return save_table(docs.select("text").mapInArrow(run, kind).groupBy("block").applyInArrow(merge, kind), "word-neighbours")
+
+
+def class_table(edges: DataFrame, owner: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of adjacent classes."""
+    held = edges.sparkSession.sparkContext.broadcast(owner)
+
+    def run(batches):
+        table = np.zeros(classes * classes)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                ends, other, n = opened_edges(blob)
+                right = ends % 2 == 0
+                table += np.bincount(held.value[ends[right] // 2] * classes + held.value[other[right]], n[right], classes * classes)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at].astype(np.int64))], ["at", "n"])
+
+    found = edges.select("edges").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    table = np.zeros(classes * classes)
+    for r in found:
+        table[r["at"]] = r["n"]
+    held.destroy()
+    return table.reshape(classes, classes)
+
+
+def best_class(table: np.ndarray, rows: np.ndarray, cols: np.ndarray, own: int, to: np.ndarray, of: np.ndarray, loop: float) -> int:
+    """Where :func:`exchange` would put one item; ``to`` and ``of`` are without its ``loop``."""
+    classes = len(table)
+    h, g = np.flatnonzero(to), np.flatnonzero(of)
+    right, left = table[:, h].copy(), table[g, :].copy()
+    diagonal = table.diagonal().copy()
+    # Take the item out of its class.
+    right[own] -= to[h]
+    left[:, own] -= of[g]
+    right[:, h == own] -= of[:, None]
+    left[g == own, :] -= to[None, :]
+    diagonal[own] -= to[own] + of[own] + loop
+    right[own, h == own] = left[g == own, own] = diagonal[own]
+    gain_right, gain_left = xlogx(right + to[h]) - xlogx(right), xlogx(left + of[g][:, None]) - xlogx(left)
+    gain = gain_right.sum(axis=1) + gain_left.sum(axis=0)
+    # The diagonal takes both sides and the loop at once.
+    k = np.arange(classes)
+    gain[h] -= gain_right[h, np.arange(len(h))]
+    gain[g] -= gain_left[np.arange(len(g)), g]
+    gain += xlogx(diagonal[k] + to + of + loop) - xlogx(diagonal)
+    sent, got = to.sum() + loop, of.sum() + loop
+    rows, cols = rows.copy(), cols.copy()
+    rows[own] -= sent
+    cols[own] -= got
+    gain -= xlogx(rows + sent) - xlogx(rows) + xlogx(cols + got) - xlogx(cols)
+    gain[CLASSES - 1] = -np.inf
+    best = int(gain.argmax())
+    return best if gain[best] > gain[own] + 1e-7 else own
+
+
+def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, turn: int, turns: int) -> np.ndarray:
+    """(item, class) of the items of a turn that a move alone would help."""
+    classes, held = len(table), edges.sparkSession.sparkContext.broadcast((owner, table))
+
+    def run(batches):
+        owner, table = held.value
+        rows, cols = table.sum(axis=1), table.sum(axis=0)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                ends, other, n = opened_edges(blob)
+                first = np.flatnonzero(np.diff(ends // 2, prepend=-1))
+                found = []
+                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ends)]):
+                    item = int(ends[lo]) // 2
+                    if item == len(owner) - 1 or zlib.crc32(item.to_bytes(8, "little")) % turns != turn:
+                        continue
+                    e, o, c = ends[lo:hi] % 2 == 0, other[lo:hi], n[lo:hi]
+                    apart = o != item
+                    to, of = (np.bincount(owner[o[d & apart]], c[d & apart], classes) for d in (e, ~e))
+                    new = best_class(table, rows, cols, int(owner[item]), to, of, float(c[e & ~apart].sum()))
+                    if new != owner[item]:
+                        found.append((item, new))
+                cols_out = np.array(found, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(cols_out[:, 0]), pa.array(cols_out[:, 1])], ["item", "class"])
+
+    found = edges.select("edges").mapInArrow(run, "item long, class long").toArrow()
+    held.destroy()
+    return np.stack((found.column("item").to_numpy(), found.column("class").to_numpy()))
+
+
+def log_likelihood(table: np.ndarray) -> float:
+    return float(xlogx(table).sum() - xlogx(table.sum(axis=1)).sum() - xlogx(table.sum(axis=0)).sum())
+
+
+def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int, rounds: int = EXCHANGE_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all items, and the class table, after rounds of moves at the same time.
+
+    A round moves the items of one turn. Moves made together may hurt each other; a round that
+    lowers the likelihood is taken back and turns get smaller. Rounds end when a whole cycle of
+    turns gains no thousandth of a per cent, or after ``rounds``.
+    """
+    table, turns, turn, idle = class_table(edges, owner, classes), 2, 0, 0
+    for _ in range(rounds):
+        item, to = moves(edges, owner, table, turn, turns)
+        moved = owner.copy()
+        moved[item] = to
+        fresh = class_table(edges, moved, classes) if len(item) else table
+        gain = log_likelihood(fresh) - log_likelihood(table)
+        if gain > 0:
+            owner, table = moved, fresh
+        elif len(item):
+            turns *= 2
+        idle = 0 if gain > 1e-5 * abs(log_likelihood(table)) else idle + 1
+        turn = (turn + 1) % turns
+        if idle >= turns:
+            break
+    return owner, table
+
+
 @dataclass
 class ClassModel:
     """Classes of items, transitions between classes, and class and corpus totals."""
 
-    frequent: list[bytes]
+    clustered: DataFrame
+    hashes: np.ndarray
     owner: np.ndarray
     transition: np.ndarray
     class_total: np.ndarray
@@ -222,6 +422,12 @@ class ClassModel:
     distinct: int
     ends: int
 
+    @property
+    def frequent(self) -> list[bytes]:
+        """The clustered words in the order of their items; for tests, they are not needed to score."""
+        rows = self.clustered.collect()
+        return [w for _, w in sorted((int(r["h"]) & (1 << 64) - 1, bytes(r["word"])) for r in rows)]
+
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
 
@@ -237,14 +443,29 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     ends = vocabulary.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top = vocabulary.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = [bytes(r["word"]) for r in top]
-    bigrams = item_bigrams(docs, frequent)
-    owner = exchange(bigrams)
-    member = np.eye(CLASSES)[owner]
-    table = member.T @ bigrams @ member
+    clustered = vocabulary.where((F.col("word") != F.lit(END)) & (F.col("n") >= LEAST)).select(F.xxhash64("word").alias("h"), "word")
+    hashes = np.sort(clustered.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    # A class for every word of the cube root of their number.
+    classes = max(CLASSES, math.ceil(len(hashes) ** (1 / 3)))
+    first = exchange(item_bigrams(docs, frequent), classes)
+    last = first == classes - 1
+    first = np.where(last, CLASSES - 1, np.where(first == CLASSES - 1, classes - 1, first)) if classes > CLASSES else first
+    dense, owner = Items(frequent), np.zeros(max(FREQUENT, len(hashes)) + SHAPES + 1, np.int64)
+    owner[-SHAPES - 1 :] = first[-SHAPES - 1 :]
+    # Words start in the class of their shape or, if they are in the dense table, in their own.
+    shaped = clustered.select("h", (F.crc32(F.expr(f"substring(word, greatest(octet_length(word) - {SHAPE_BYTES - 1}, 1), {SHAPE_BYTES})")) % SHAPES).alias("s")).toArrow()
+    own_hash = shaped.column("h").to_numpy().view(np.uint64)
+    owner[np.searchsorted(hashes, own_hash)] = first[FREQUENT + shaped.column("s").to_numpy()]
+    items = HashedItems(hashes)
+    for w in frequent:
+        if items[w] < items.base:
+            owner[items[w]] = first[dense[w]]
+    held = docs.sparkSession.sparkContext.broadcast(hashes)
+    owner, table = exchange_all(neighbours(docs, held, tokens), owner, classes)
     total = table.sum(axis=0)
     overall = total / max(total.sum(), 1)
     transition = (table + overall[None, :]) / (table.sum(axis=1, keepdims=True) + 1)
-    return ClassModel(frequent, owner, transition, total, tokens, distinct, ends), vocabulary
+    return ClassModel(clustered, hashes, owner, transition, total, tokens, distinct, ends), vocabulary
 
 
 # ---------------------------------------------------------------- scores
@@ -260,7 +481,7 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
     """
     blocks = max(partitions(docs), -(-text_bytes(docs) // block_bytes))
     blocked = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: items and classes
+    held = docs.sparkSession.sparkContext.broadcast(replace(model, clustered=None))  # ten-odd bytes a clustered word
 
     def distinct_words(table: pa.Table) -> pa.Table:
         found: set[bytes] = set()
@@ -274,7 +495,7 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
         listed = words.column("word").to_pylist()
         place = dict(zip(listed, range(len(listed))))
         count = np.append(words.column("n").to_numpy().astype(float), float(m.ends))
-        items = Items(m.frequent)
+        items = HashedItems(m.hashes)
         cls = m.owner[np.fromiter((*map(items.__getitem__, listed), items[END]), np.int64, len(listed) + 1)]
         plain = m.unigram(count)
         share = m.emission(count, cls) * (MIX if m.tokens else 0.0)

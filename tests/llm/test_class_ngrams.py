@@ -81,3 +81,33 @@ def test_exchange_ends_where_no_move_helps():
             moved = owner.copy()
             moved[i] = k
             assert likelihood(b, moved, 4) <= reached + 1e-6
+
+
+def test_words_beyond_the_most_frequent_move_on_their_own(spark):
+    """1,200 words with one ending, of two kinds of context."""
+    text = lambda i: " ".join(f"left {'a' if k % 2 else 'b'}{k}zzz {'one' if k % 2 else 'two'}" for k in range(i, 1200, 4))
+    docs = packed(spark.createDataFrame([(i, text(i % 4)) for i in range(48)], "doc_id long, text string"))
+    m, _ = c.fit(docs.select("text"))
+    items = c.Items(m.frequent)
+    kinds = [Counter(m.owner[items[f"{x}{k}zzz".encode()]] for k in range(1200) if (k % 2 == 1) == (x == "a")) for x in "ab"]
+    assert all(len({items[f"{x}{k}zzz".encode()] for k in range(1200) if (k % 2 == 1) == (x == "a")}) == 600 for x in "ab")
+    assert not kinds[0].keys() & kinds[1].keys()
+
+
+def test_best_class_is_that_of_all_moves():
+    rng, classes = np.random.default_rng(2), c.CLASSES + 2
+    b, owner = rng.integers(0, 9, (120, 120)) * (rng.random((120, 120)) < 0.2), rng.integers(0, classes, 120)
+    m = np.eye(classes)[owner]
+    table = m.T @ b @ m
+    for i in range(40):
+        each = np.array(b[i], float), np.array(b[:, i], float)
+        for e in each:
+            e[i] = 0
+        to, of = (np.bincount(owner, e, classes) for e in each)
+        found = c.best_class(table, table.sum(axis=1), table.sum(axis=0), int(owner[i]), to, of, float(b[i, i]))
+        value = []
+        for k in range(classes):
+            moved = owner.copy()
+            moved[i] = k
+            value.append(-np.inf if k == c.CLASSES - 1 else likelihood(b, moved, classes))
+        assert math.isclose(value[found], max(value), rel_tol=1e-9)
