@@ -79,6 +79,12 @@ def byte_at(path: Column | str, i: Column | int) -> Column:
     return F.conv(F.hex(F.substring(path, start, F.lit(1))), 16, 10).cast("int")
 
 
+def find(path: Column | str, part: bytes) -> Column:
+    """Where ``part`` begins in the path, in bytes from 1; 0 if it is not there."""
+    # As Latin-1 every byte is one character.
+    return F.instr(F.decode(path, "iso-8859-1"), part.decode("iso-8859-1"))
+
+
 def byte(c: Column) -> Column:
     """A number from 0 to 255 as one byte."""
     return be_int(c, 1)

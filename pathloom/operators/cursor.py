@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import bytemask, codec
 from pathloom.operators.frame import PathFrame
-from pathloom.operators.nodes import node_table
+from pathloom.operators.nodes import compressed_nodes, node_table
 from pathloom.operators.prefixes import lengths_of, prefixes_of
 
 
@@ -70,13 +70,16 @@ def descend_branch(t: PathFrame, pos: DataFrame, index: Column | int = 0) -> Dat
 
 
 def descend_until(t: PathFrame, pos: DataFrame) -> DataFrame:
-    """Adds ``moved``: along single children to the next value or branch; a branch or a leaf stays."""
-    nodes = node_table(t.df)
-    stops = nodes.where("is_value or child_count <> 1").select(F.col("prefix").alias("stop"), F.col("depth").alias("d"))
-    # Below a node with one child all paths share what comes before the next stop, which is the shortest.
-    starts = pos.select("path").distinct().join(nodes.where("child_count = 1").select(F.col("prefix").alias("path")), "path", "left_semi")
-    above = prefixes_of(stops.withColumnRenamed("stop", "path"), lengths_of(starts), proper=True).select(F.col("prefix"), F.col("path").alias("stop"), "d")
-    near = starts.join(above, starts.path == above.prefix).groupBy(starts.path.alias("path")).agg(F.min_by("stop", F.struct("d", "stop")).alias("moved"))
+    """Adds ``moved``: along single children to the next value or branch; a branch or a leaf stays.
+
+    Every stop covers the chain above it up to the stop before, which it shares with no other
+    unless that is a branch. So each prefix has one stop at most, and positions join by equality.
+    """
+    stops = compressed_nodes(node_table(t.df)).select("prefix", "depth", "jumped", "parent", "child_count")
+    single = stops.where("child_count = 1").select(F.col("prefix").alias("parent"), F.lit(True).alias("single"))
+    starts = stops.join(single, "parent", "left").withColumn("low", F.col("depth") - F.col("jumped") + F.when(F.col("parent").isNull() | F.col("single"), 0).otherwise(1))
+    chain = starts.where("low < depth").withColumn("n", F.explode(F.sequence("low", F.col("depth") - 1)))
+    near = chain.select(codec.head("prefix", F.col("n")).alias("path"), F.col("prefix").alias("moved"))
     return pos.join(near, "path", "left").withColumn("moved", F.coalesce("moved", "path"))
 
 
@@ -120,7 +123,7 @@ def next_step(t: PathFrame, pos: DataFrame) -> DataFrame:
     That is the first child, else the next branch of the nearest ancestor that has one.
     """
     nodes = node_table(t.df)
-    child = nodes.where("child_count > 0").select(F.col("prefix").alias("path"), F.concat("prefix", codec.byte(bytemask.select(F.col("mask"), F.lit(0)))).alias("child"))
+    child = nodes.where("child_count > 0").select(F.col("prefix").alias("path"), F.concat("prefix", codec.byte(bytemask.first(F.col("mask")))).alias("child"))
     return pos.join(child, "path", "left").join(_turns(t, pos, nodes), "path", "left").withColumn("moved", F.coalesce("child", "turn")).select(*pos.columns, "moved")
 
 

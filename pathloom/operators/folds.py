@@ -7,8 +7,8 @@ functions on whole subtrees (:func:`fold_python`).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pathloom.functions import codec
 from pathloom.operators.frame import PathFrame
 from pathloom.operators.nodes import compressed_nodes, node_table
-from pathloom.operators.prefixes import prefixes_of
-from pathloom.shared import save_table
+from pathloom.operators.prefixes import lengths_of, prefixes_of
+from pathloom.shared import new_path, save_table
 
 #: (children, value, path) to the result of a node; children are an array of (byte, w) in byte order.
 Algebra = Callable[[Column, Column, Column], Column]
@@ -32,58 +32,77 @@ def fold_prefixes(t: PathFrame, lengths: list[int] | None = None, **aggregates:
     return prefixes_of(t.df, lengths).groupBy("prefix", "depth").agg(*[c.alias(name) for name, c in aggregates.items()])
 
 
-def fold(t: PathFrame, algebra: Algebra, w_type: str, steps: bool = False) -> DataFrame:
+def fold(t: PathFrame, algebra: Algebra, w_type: str, steps: bool = False, jump: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """(prefix, w) of every node of the compressed trie.
 
     A node's result comes from its children's. With ``steps``, the algebra is also applied at
     every prefix of the chains between nodes, as if each byte were a node; else a child's byte
-    is followed by the whole chain. An empty table has the root alone, without children.
+    is followed by the whole chain, over which ``jump(chain, w, path)`` carries the result up to
+    ``path``, the parent and the child's byte. An empty table has the root alone, without
+    children.
 
     Each round folds all nodes of one height, so there are as many rounds as branchings on the
-    longest path; a round's result is saved.
+    longest path. Nodes are stored by their height and results by their parent's, so a round
+    reads what it needs and no more.
     """
+    spark = t.df.sparkSession
     nodes = node_table(t.df)
-    kept = compressed_nodes(nodes)
-    top = kept.where("depth = 0").select("prefix")
-    missing = nodes.where("depth = 0").select("prefix").join(top, "prefix", "left_anti")
-    kept = save_table(kept.select("prefix", "depth", "value", "child_count", "parent", "jumped"), "fold-nodes", free=False)
-    # A root that is neither value nor branch still gets the result of the chain below it.
     kind = f"array<struct<byte:int,w:{w_type}>>"
     none = F.array().cast(kind)
-    done, waiting = None, kept
-    arrived = kept.sparkSession.createDataFrame([], f"prefix binary, children {kind}")
-    while True:
-        ready = waiting.join(arrived, "prefix", "left").withColumn("children", F.coalesce("children", none))
-        now = ready.where(F.size("children") == F.col("child_count"))
-        folded = now.withColumn("w", algebra(F.col("children"), F.col("value"), F.col("prefix")).cast(w_type))
-        folded = save_table(folded.select("prefix", "depth", "parent", "jumped", "w"), "fold-level", free=False)
-        if folded.isEmpty():
-            break
-        done = folded if done is None else done.unionByName(folded)
-        waiting = waiting.join(folded.select("prefix"), "prefix", "left_anti")
-        lifted = done.where("parent is not null")
-        up = lifted.select(F.col("parent").alias("prefix"), F.struct(codec.byte_at("prefix", F.col("depth") - F.col("jumped")).alias("byte"), _lift(algebra, w_type, steps).alias("w")).alias("c"))
-        # Only parents that still wait are of interest.
-        up = up.join(waiting.select("prefix"), "prefix", "left_semi")
-        arrived = up.groupBy("prefix").agg(F.array_sort(F.collect_list("c")).alias("children"))
-    result = done.select("prefix", "w") if done is not None else None
-    if result is None:
-        spark = t.df.sparkSession
+    levels = with_heights(compressed_nodes(nodes)).select("prefix", "depth", "value", "parent", "jumped", "height", "up")
+    folder, out = new_path(spark, "fold-nodes"), new_path(spark, "fold-levels")
+    levels.write.partitionBy("height").parquet(folder)
+    kept = spark.read.schema(levels.schema).parquet(folder)
+    highest = kept.agg(F.max("height")).first()[0]
+    if highest is None:
         lone = spark.range(1).select(F.lit(b"").alias("prefix"))
         return lone.withColumn("w", algebra(none, F.lit(None), F.col("prefix")).cast(w_type))
+    done = spark.read.schema(f"prefix binary, depth int, parent binary, byte int, w {w_type}, lifted {w_type}, up int")
+    for height in range(highest + 1):
+        ready = kept.where(F.col("height") == height)
+        if height:
+            arrived = done.parquet(out).where(F.col("up") == height).select(F.col("parent").alias("prefix"), F.struct("byte", F.col("lifted").alias("w")).alias("c"))
+            ready = ready.join(arrived.groupBy("prefix").agg(F.array_sort(F.collect_list("c")).alias("children")), "prefix")
+        else:
+            ready = ready.withColumn("children", none)
+        folded = ready.withColumn("w", algebra(F.col("children"), F.col("value"), F.col("prefix")).cast(w_type))
+        start = F.col("depth") - F.col("jumped")
+        byte = F.when(F.col("depth") > 0, codec.byte_at("prefix", start)).alias("byte")
+        folded = folded.select("prefix", "depth", "parent", byte, "w", _lift(algebra, w_type, steps, jump).alias("lifted"), "up")
+        folded.write.mode("append").partitionBy("up").parquet(out)
+    found = done.parquet(out)
+    result = found.select("prefix", "w")
     if steps:
-        first = done.where("parent is null and depth > 0")
-        chain = first.select("prefix", "depth", "jumped", "w").select(F.struct(codec.byte_at("prefix", 0).alias("byte"), _lift(algebra, w_type, True).alias("w")).alias("c"))
-        root = missing.crossJoin(chain.agg(F.array_sort(F.collect_list("c")).alias("children")))  # one row by one row
-        result = result.unionByName(root.where(F.size("children") > 0).select("prefix", algebra(F.col("children"), F.lit(None), F.col("prefix")).cast(w_type).alias("w")))
+        # A root that is neither value nor branch still gets the result of the chain below it.
+        chain = found.where("parent is null and depth > 0").select(F.array(F.struct("byte", F.col("lifted").alias("w"))).alias("children"), F.lit(b"").alias("prefix"))
+        result = result.unionByName(chain.select("prefix", algebra(F.col("children"), F.lit(None), F.col("prefix")).cast(w_type).alias("w")))
     return result
 
 
-def _lift(algebra: Algebra, w_type: str, steps: bool) -> Column:
-    """A node's result carried up the chain to below its parent."""
+def with_heights(kept: DataFrame) -> DataFrame:
+    """Compressed nodes with ``height``, the nodes on the longest way down, and ``up``, their parent's height (-1 for the topmost).
+
+    A node's rank is the number of nodes above it; its height is the greatest rank below it less its own.
+    """
+    above = prefixes_of(kept.select(F.col("prefix").alias("path")), proper=True).join(kept.select("prefix"), "prefix").select("path", "prefix")
+    rank = above.groupBy("path").agg(F.count("*").cast("int").alias("rank"))
+    deepest = above.join(rank, "path").groupBy("prefix").agg(F.max("rank").alias("deepest"))
+    own = kept.join(rank.withColumnRenamed("path", "prefix"), "prefix", "left").join(deepest, "prefix", "left")
+    rank_or_0 = F.coalesce("rank", F.lit(0))
+    own = save_table(own.withColumn("height", F.coalesce(F.col("deepest") - rank_or_0, F.lit(0))).drop("rank", "deepest"), "node-heights", free=False)
+    ups = own.select(F.col("prefix").alias("parent"), F.col("height").alias("up"))
+    return own.join(ups, "parent", "left").withColumn("up", F.coalesce("up", F.lit(-1)))
+
+
+def _lift(algebra: Algebra, w_type: str, steps: bool, jump=None) -> Column:
+    """A node's result carried up the chain to the byte below its parent."""
+    start = F.col("depth") - F.col("jumped")
     if not steps:
-        return F.col("w")
-    lengths = F.when(F.col("jumped") > 1, F.sequence(F.col("depth") - 1, F.col("depth") - F.col("jumped") + 1)).otherwise(F.array().cast("array<int>"))
+        if jump is None:
+            return F.col("w")
+        chain = codec.tail("prefix", start + 1)
+        return F.when(F.col("jumped") > 1, jump(chain, F.col("w"), codec.head("prefix", start + 1))).otherwise(F.col("w")).cast(w_type)
+    lengths = F.when(F.col("jumped") > 1, F.sequence(F.col("depth") - 1, start + 1)).otherwise(F.array().cast("array<int>"))
 
     def up(w: Column, n: Column) -> Column:
         child = F.array(F.struct(codec.byte_at("prefix", n).alias("byte"), w.alias("w")))
@@ -107,72 +126,98 @@ def totals(children: Column, start: Column | None = None) -> Column:
     return F.aggregate(children, F.lit(0).cast("long") if start is None else start, lambda a, c: a + c["w"])
 
 
-def content_hash(t: PathFrame) -> str:
-    """A Merkle hash: tables with the same paths and values have the same, in any layout.
+def content_hashes(t: PathFrame) -> DataFrame:
+    """(prefix, hash) of every node of the compressed trie: equal subtrees, values included, have equal hashes wherever they are.
 
-    A node hashes its value and its children's bytes, chains and hashes.
+    A Merkle hash: a node hashes its value and, for each child, the bytes down to it and its hash.
     """
 
     def algebra(children: Column, value: Column, path: Column) -> Column:
-        parts = F.transform(children, lambda c: F.concat(c["byte"].cast("string"), F.lit(":"), c["w"]))
-        below = F.concat_ws(",", parts)
+        parts = F.transform(children, lambda c: F.concat(F.hex(codec.tail(c["w"]["path"], F.octet_length(path))), F.lit(":"), c["w"]["hash"]))
         own = F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.to_json(F.struct(value.alias("v")))))
-        return F.sha2(F.concat_ws("|", F.hex(path), own, below), 256)
+        return F.struct(F.sha2(F.concat_ws("|", own, F.array_join(parts, ",")), 256).alias("hash"), path.alias("path"))
+
+    return fold(t, algebra, "struct<hash:string,path:binary>").select("prefix", F.col("w.hash").alias("hash"))
+
+
+def content_hash(t: PathFrame) -> str:
+    """The hash of a whole table: tables with the same paths and values have the same, in any layout."""
+    top = content_hashes(t).orderBy("prefix").first()
+    return hashlib.sha256(f"{bytes(top['prefix']).hex()}|{top['hash']}".encode()).hexdigest()
 
-    top = fold(t, algebra, "string").where(F.octet_length("prefix") >= 0).orderBy("prefix").limit(1).first()
-    return top["w"]
 
+#: Items that one task, or the driver at the end, folds with a Python function.
+FOLD_ITEMS = 100_000
 
-def fold_python(t: PathFrame, algebra: Callable, head: int = 1):
+
+def fold_python(t: PathFrame, algebra: Callable, limit: int = FOLD_ITEMS):
     """Fold with any Python function ``algebra(mask, results, value, path)``; returns the root's result.
 
-    ``mask`` lists the children's bytes. Subtrees below prefixes of ``head`` bytes are folded
-    each in one task, reading its sorted paths with a stack as deep as a path; what is above,
-    256 ** head results at most, is folded on the driver. Results must pickle.
+    ``mask`` lists the children's bytes. In each round, the largest subtrees of at most ``limit``
+    items (over 256) are folded, each in one task that reads its sorted paths with a stack as deep
+    as a path, and become one item; the last ``limit`` items are folded on the driver. Prefixes
+    that many paths share are thus split until they are small. Results must pickle.
     """
     import pickle
 
+    if limit <= 256:
+        raise ValueError("a node can have 256 children and a value")
+    items = t.df.select("path", "value", F.lit(None).cast("binary").alias("w"))
+    kind = items.schema
+
     def one(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("path").to_pylist(), table.column("value").to_pylist()))
-        prefix = rows[0][0][:head]
-        return pa.table({"prefix": pa.array([prefix], pa.binary()), "w": pa.array([pickle.dumps(_fold_sorted(rows, algebra, len(prefix)))], pa.binary())})
-
-    long = t.df.where(F.octet_length("path") >= head)
-    parts = long.withColumn("head", codec.head("path", head)).groupBy("head").applyInArrow(lambda table: one(table.drop_columns(["head"])), "prefix binary, w binary").collect()
-    short = {bytes(r["path"]): r["value"] for r in t.df.where(F.octet_length("path") < head).collect()}
-    done = {bytes(r["prefix"]): pickle.loads(r["w"]) for r in parts}
-    for depth in range(head - 1, -1, -1):
-        here = {p[:depth] for p in [*short, *done] if len(p) >= depth} | ({b""} if depth == 0 else set())
-        for p in sorted(here):
-            kids = sorted(q for q in done if len(q) == depth + 1 and q[:depth] == p)
-            done[p] = algebra([q[-1] for q in kids], [done.pop(q) for q in kids], short.get(p), p)
-    return done[b""]
-
-
-def _fold_sorted(rows: list[tuple[bytes, object]], algebra: Callable, root: int):
-    """Fold sorted paths that share ``root`` bytes; each prefix on the way is a node."""
-    stack: list[tuple[list, list, object]] = []  # per depth from root: child bytes, results, value
-    path = b""
+        head = table.column("head")[0].as_py()
+        found = _fold_sorted(_items(table), algebra, len(head))
+        row = {"path": [head], "value": [None], "w": [pickle.dumps(found)]}
+        return pa.table({c: pa.array(v, table.schema.field(c).type) for c, v in row.items()})
+
+    while items.count() > limit:
+        heavy = prefixes_of(items.select("path")).groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+        heavy = save_table(heavy.select("prefix"), "heavy-prefixes", free=False)
+        cut = prefixes_of(items, lengths_of(heavy.withColumnRenamed("prefix", "path"))).join(heavy, "prefix").groupBy("path").agg(F.max("depth").alias("cut"))
+        each = items.join(cut, "path")
+        below = each.where(F.octet_length("path") > F.col("cut")).withColumn("head", codec.head("path", F.col("cut") + 1)).drop("cut")
+        stay = each.where(F.octet_length("path") == F.col("cut")).drop("cut")
+        items = save_table(below.groupBy("head").applyInArrow(one, kind).unionByName(stay), "folded-items", free=False)
+    return _fold_sorted(_items(items.toArrow()), algebra, 0)
+
+
+def _items(table: pa.Table) -> list[tuple]:
+    """(path, value, result): a value, or the result of the whole subtree there."""
+    import pickle
+
+    rows = zip(*(table.column(c).to_pylist() for c in ("path", "value", "w")))
+    return sorted(((p, v, None if w is None else (pickle.loads(w),)) for p, v, w in rows), key=lambda r: r[0])
+
+
+def _fold_sorted(items: list[tuple], algebra: Callable, root: int):
+    """Fold sorted items that share ``root`` bytes; each prefix on the way is a node."""
+    if items and items[0][2] is not None and len(items[0][0]) == root:
+        return items[0][2][0]
+    stack: list[tuple[list, list, object]] = [([], [], None)]  # per depth from root: child bytes, results, value
+    path = items[0][0][:root] if items else b""
 
     def close(to: int):
         while len(stack) > to:
             mask, results, value = stack.pop()
             w = algebra(mask, results, value, path[: root + len(stack)])
-            if stack:
-                stack[-1][0].append(path[root + len(stack) - 1])
-                stack[-1][1].append(w)
-            else:
+            if not stack:
                 return w
-
-    for p, v in rows:
-        shared = next((i for i, (a, b) in enumerate(zip(path, p)) if a != b), min(len(path), len(p))) if stack else root
-        if stack:
-            close(shared - root + 1)
-        path = p
-        while len(stack) < len(p) - root + 1:
+            stack[-1][0].append(path[root + len(stack) - 1])
+            stack[-1][1].append(w)
+
+    for p, v, result in items:
+        shared = next((i for i, (a, b) in enumerate(zip(path, p)) if a != b), min(len(path), len(p)))
+        close(shared - root + 1)
+        path = p if result is None else p[:-1]
+        while len(stack) < len(path) - root + 1:
             stack.append(([], [], None))
-        mask, results, _ = stack[-1]
-        stack[-1] = (mask, results, v)
+        mask, results, value = stack[-1]
+        if result is None:
+            stack[-1] = (mask, results, v)
+        else:
+            mask.append(p[-1])
+            results.append(result[0])
     return close(0)
 
 
@@ -297,7 +342,3 @@ def digit_sum(t: PathFrame) -> int:
     """The sum of the digits, as characters, over all prefixes of the trie; each prefix counts its last byte."""
     last = codec.byte_at("prefix", F.octet_length("prefix") - 1) - 48
     return node_table(t.df, first=1).agg(F.coalesce(F.sum(last), F.lit(0))).first()[0]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

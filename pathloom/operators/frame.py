@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import codec
 from pathloom.functions.policy import KEEP_LEFT_EQUAL, UNIT, Policy
+from pathloom.shared import save_table
 
 
 @dataclass(frozen=True)
@@ -127,6 +128,22 @@ class PathFrame:
         """All rows by path, the root first."""
         return self.df.orderBy("path")
 
+    def ranked(self) -> DataFrame:
+        """All rows with ``place``, their number in the order of paths from 0.
+
+        Ranges of paths are sorted apart; a row's place is the one in its range plus the rows of
+        the ranges before, of which there are as many as partitions.
+        """
+        spark = self.df.sparkSession
+        order = self.df.repartitionByRange("path").sortWithinPartitions("path")
+        numbered = save_table(order.select("path", "value", F.monotonically_increasing_id().alias("place")), "ranked", free=False)
+        shift, before = 0, []
+        for part, n in sorted(numbered.groupBy(F.shiftright("place", 33)).count().collect()):
+            before.append((part, shift - (part << 33)))
+            shift += n
+        table = spark.createDataFrame(before, "part long, shift long")
+        return numbered.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(table), "part").select("path", "value", (F.col("place") + F.col("shift")).alias("place"))
+
     # ------------------------------------------------------------ updates
 
     def insert(self, updates: "PathFrame") -> "PathFrame":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import bytemask, codec
 from pathloom.operators.frame import PathFrame
 from pathloom.operators.nodes import node_table
+from pathloom.shared import save_table
 
 
 def histogram(df: DataFrame, item: Column) -> DataFrame:
@@ -36,7 +37,7 @@ def descents(t: PathFrame, n: int, depth: int, seed: int = 0, to_value: bool = T
     (walk, path): a walk to a value ends at the first one below the root; else after ``depth``
     bytes or at a leaf.
     """
-    nodes = node_table(t.df).select(F.col("prefix").alias("path"), "mask", "child_count", "is_value")
+    nodes = save_table(node_table(t.df).select(F.col("prefix").alias("path"), "mask", "child_count", "is_value"), "walk-nodes", free=False)
     walks = t.df.sparkSession.range(n).select(F.col("id").alias("walk"), F.lit(b"").alias("path"), F.lit(False).alias("over"))
     for step in range(depth):
         seen = walks.join(nodes, "path")
@@ -106,20 +107,66 @@ def repeated(draw, n: Column):
     return lambda chance: F.transform(at(), lambda i: draw(F.xxhash64(chance, i)))
 
 
-def filtered(draw, test, tries: int = 16):
-    """The first of a number of draws that passes; null if none does."""
-    return lambda chance: F.try_element_at(F.filter(repeated(draw, F.lit(tries))(chance), test), F.lit(1))
+#: Draws that one round makes for each row that is not decided yet.
+ROUND = 16
 
 
-def until(draw, stop, longest: int = 64):
-    """Draws up to the first that is ``stop``, without it."""
+def _rounds(df: DataFrame, chance: Column, first: Column, step) -> DataFrame:
+    """Rows of ``df`` with ``state``, after rounds of ``step(state, chance)`` until none is left with ``state.over`` false.
+
+    A round makes ROUND steps of the rows that are not over. Chances never repeat, so the rounds
+    end with probability one if a step can end a row at all.
+    """
+    waiting, done, k = df.withColumn("chance", chance).withColumn("state", first), None, 0
+    while True:
+        numbers = F.sequence(F.lit(k * ROUND), F.lit(k * ROUND + ROUND - 1))
+        stepped = waiting.withColumn("state", F.aggregate(numbers, F.col("state"), lambda s, i: F.when(s["over"], s).otherwise(step(s, F.xxhash64("chance", i)))))
+        stepped = save_table(stepped, "draws", free=False)
+        over = stepped.where("state.over")
+        done = over if done is None else done.unionByName(over)
+        waiting, k = stepped.where("not state.over"), k + 1
+        if waiting.isEmpty():
+            return done.drop("chance")
+
+
+def concentrated(df: DataFrame, chance: Column, draw, start: Column, change, out, name: str) -> DataFrame:
+    """Adds a column: draws change a state until there is an output.
+
+    From ``start``, each draw x makes the state ``change(state, x)``; the first ``out(state, x)``
+    that is not null, for the state before the draw, is the result.
+    """
+    probe = df.select(out(start, draw(chance)).alias("y")).schema["y"].dataType
+    first = F.struct(start.alias("a"), F.lit(None).cast(probe).alias("y"), F.lit(False).alias("over"))
+
+    def step(s: Column, c: Column) -> Column:
+        x = draw(c)
+        y = out(s["a"], x)
+        return F.struct(change(s["a"], x).cast(kind).alias("a"), y.alias("y"), y.isNotNull().alias("over"))
+
+    kind = df.select(start.alias("a")).schema["a"].dataType
+    return _rounds(df, chance, first, step).withColumn(name, F.col("state.y")).drop("state")
+
+
+def collected(df: DataFrame, chance: Column, draw, f, name: str) -> DataFrame:
+    """Adds a column: the first ``f(draw)`` that is not null, however many draws that takes."""
+    return concentrated(df, chance, draw, F.lit(0), lambda a, x: a, lambda a, x: f(x), name)
+
+
+def filtered(df: DataFrame, chance: Column, draw, test, name: str) -> DataFrame:
+    """Adds a column: the first draw that passes."""
+    return collected(df, chance, draw, lambda x: F.when(test(x), x), name)
+
+
+def until(df: DataFrame, chance: Column, draw, stop: Column, name: str) -> DataFrame:
+    """Adds a column: the array of all draws up to the first that is ``stop``, without it."""
+    kind = df.select(F.array(draw(chance)).alias("a")).schema["a"].dataType
+    grow = lambda a, x: F.concat(a, F.array(x))
+    return concentrated(df, chance, draw, F.array().cast(kind), grow, lambda a, x: F.when(x == stop, a), name)
 
-    def take(chance: Column) -> Column:
-        row = repeated(draw, F.lit(longest))(chance)
-        end = F.array_position(row, stop)
-        return F.when(end > 0, F.slice(row, F.lit(1), (end - 1).cast("int"))).otherwise(row)
 
-    return take
+def diluted(draw, start, items):
+    """Arrays of results: a draw becomes a state by ``start``, and ``items(state)`` lists what it yields."""
+    return lambda chance: items(start(draw(chance)))
 
 
 def branches_by_weight(t: PathFrame, prefix: bytes) -> DataFrame:

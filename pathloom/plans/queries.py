@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import bytemask, codec
-from pathloom.functions.policy import UNIT
+from pathloom.functions.policy import MASK, UNIT
 from pathloom.operators import algebra, conflicts, cursor, folds, nodes, product, relocate, sampling
 from pathloom.operators.frame import PathFrame
-from pathloom.operators.prefixes import prefix_minimal
+from pathloom.operators.prefixes import covered_by, prefix_minimal
 from pathloom.plans import tables as T
-from pathloom.plans.tables import A, B, FLAG, GEO, INNER, KEYED, NAMES, ORDERS, SIZES, TA, TB, URLS, nodes_sql, shown, table, taxa_sql
+from pathloom.plans.tables import FLAG_A, FLAG_B, GEO, INNER, NAMES, ORDERS, SIZES, TA, TB, URLS, WORDS, keyed_sql, nodes_sql, shown, table, taxa_sql
 from pathloom.shared import new_path
 from pathloom.sources import dag, path_files
 from pathloom.sources import tables as stored
@@ -50,12 +50,11 @@ def hx(text: str) -> str:
 )
 def customers_by_stem(spark, d):
     """Customers below two regions; the region is dropped from their paths, the rest counted by nation."""
-    stems = [b"ASIA/", b"EUROPE/"]
-    kept = algebra.restrict(T.geo(spark, d), PathFrame.unit(spark, stems))
+    kept = covered_by(T.geo(spark, d).df, [b"ASIA/", b"EUROPE/"])
     # The heads differ in length, so what follows the first slash is what is left.
-    size = F.instr(F.decode("path", "utf-8"), "/")
-    heads = kept.df.select(codec.tail("path", size).alias("path"))
-    return heads.groupBy(F.element_at(F.split(F.decode("path", "utf-8"), "/"), 1).alias("nation")).agg(F.count("*").alias("n"))
+    rest = kept.select(codec.tail("path", codec.find(F.col("path"), b"/")).alias("path"))
+    nation = codec.head("path", codec.find(F.col("path"), b"/") - 1)
+    return rest.groupBy(F.decode(nation, "utf-8").alias("nation")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- constructors and point access
@@ -133,22 +132,36 @@ def get_or_insert(spark, d):
 @query("select count(*) filter (h <> '') as n, count(*) as n_with_root from (select h from tv union all select '')", INNER)
 def val_count(spark, d):
     t = relocate.set_value(T.inner(spark, d), b"", 0)
-    return t.df.agg(F.count(F.when(F.octet_length("path") > 0, 1)).alias("n"), F.count("*").alias("n_with_root"))
+    return spark.createDataFrame([(t.val_count(), t.val_count_at(b""))], "n long, n_with_root long")
 
 
 @query(f"select count(*) as n from geo where starts_with(h, '{hx('EUROPE/')}')", GEO)
 def subtree_count(spark, d):
-    return T.geo(spark, d).below(b"EUROPE/").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(T.geo(spark, d).val_count_at(b"EUROPE/"),)], "n long")
 
 
-@query("select h as hex, v as value from tv order by h", INNER)
+@query("select h as hex, v as value, row_number() over (order by h) - 1 as place from tv", INNER)
 def iter_ordered(spark, d):
-    return shown(T.inner(spark, d).ordered())
+    """All values with their places in the order of paths."""
+    return shown(T.inner(spark, d).ranked(), "place")
 
 
-@query("select true as same, true as differs")
+@query(
+    "select p as hex, min(p) over (partition by s) as first from (select substr(h, 1, 2 * i) as p, list((substr(h, 2 * i + 1), v) order by h) as s, count(distinct substr(h, 2 * i + 1, 2)) as kids, bool_or(length(h) = 2 * i) as own"
+    " from tt, unnest(range(0, length(h) // 2 + 1)) t(i) group by 1) where kids > 1 or own",
+    "tt as (select hex(encode(p_brand || '/' || p_type || '/' || p_name)) as h, max(p_size) // 10 as v from part group by 1)",
+)
 def merkle_hash(spark, d):
-    """Content hashes: of a table rebuilt from its halves, and of another one."""
+    """For every node at a value or a branch, the least one with the same content hash."""
+    rows = table(spark, d, "part").groupBy(codec.joined("/", "p_brand", "p_type", "p_name").alias("path")).agg(F.floor(F.max("p_size") / 10).cast("int").alias("value"))
+    hashes = folds.content_hashes(PathFrame(rows))
+    first = hashes.groupBy("hash").agg(F.min("prefix").alias("first"))
+    return hashes.join(first, "hash").select(F.hex("prefix").alias("hex"), F.hex("first").alias("first"))
+
+
+@query("select true as same, true as differs")
+def content_equality(spark, d):
+    """Content hashes of whole tables: of one rebuilt from its halves, and of another one."""
     a, b = T.inner(spark, d), T.taxa(spark, d, "b")
     halves = [a._with(a.df.where(F.col("value") % 2 == k)) for k in (0, 1)]
     one, two, other = folds.content_hash(a), folds.content_hash(algebra.join(*halves)), folds.content_hash(b)
@@ -177,7 +190,7 @@ def join_all(spark, d):
     return shown(algebra.join_all([T.taxa(spark, d), T.taxa(spark, d, "b"), T.inner(spark, d)]).df)
 
 
-_FLAGS = f"{taxa_sql('ta', A, FLAG)}, {taxa_sql('tb', B, FLAG)}"
+_FLAGS = f"{taxa_sql('ta', 'a', FLAG_A)}, {taxa_sql('tb', 'b', FLAG_B)}"
 
 
 @query("select coalesce(ta.h, tb.h) as hex, coalesce(ta.v or tb.v, ta.v, tb.v) as value from ta full join tb on ta.h = tb.h", _FLAGS)
@@ -185,7 +198,7 @@ def join_bool(spark, d):
     return shown(algebra.join(T.flags(spark, d, "a"), T.flags(spark, d, "b")).df)
 
 
-_SETS = f"{taxa_sql('ta', A, SIZES)}, {taxa_sql('tb', B, SIZES)}"
+_SETS = f"{taxa_sql('ta', 'a', SIZES)}, {taxa_sql('tb', 'b', SIZES)}"
 
 
 def _sets(t: PathFrame) -> DataFrame:
@@ -211,7 +224,7 @@ def subtract_set(spark, d):
     return _sets(algebra.subtract(T.sizes(spark, d, "a"), T.sizes(spark, d, "b")))
 
 
-_MAPS = f"{KEYED.format('ma', A)}, {KEYED.format('mb', B)}"
+_MAPS = f"{keyed_sql('ma', 'a')}, {keyed_sql('mb', 'b')}"
 
 
 def _entries(t: PathFrame) -> DataFrame:
@@ -259,11 +272,10 @@ def subtract_bool(spark, d):
     return shown(algebra.subtract(T.flags(spark, d, "a"), T.flags(spark, d, "b")).df)
 
 
-@query("select h as hex, v as value from pn where exists (select 1 from ta where starts_with(pn.h, ta.h) and ta.v % 3 = 0)", f"{NAMES}, {TA}")
+@query("select h as hex, v as value from pn where exists (select 1 from tb where starts_with(pn.h, tb.h))", f"{NAMES}, {TB}")
 def restrict(spark, d):
-    """Part names below a third of the brand/type paths."""
-    stems = T.taxa(spark, d)
-    return shown(algebra.restrict(T.part_names(spark, d), stems._with(stems.df.where("value % 3 = 0"))).df)
+    """Parts whose name was sold in a quantity that is their size."""
+    return shown(algebra.restrict(T.part_names(spark, d), T.taxa(spark, d, "b")).df)
 
 
 @query("select h as hex, v as value from ta", TA)
@@ -272,18 +284,38 @@ def restrict_root(spark, d):
     return shown(algebra.restrict(T.taxa(spark, d), relocate.set_value(T.taxa(spark, d, "b"), b"", 1)).df)
 
 
+_OPERATIONS = """r(op, h, v) as (select 'join self', h, v from ta union all select 'join other', coalesce(ta.h, tb.h), coalesce(ta.v, tb.v) from ta full join tb on ta.h = tb.h
+    union all select 'meet self', h, v from ta union all select 'meet other', h, v from ta where h in (select h from tb) union all select 'subtract other', ta.h, ta.v from ta left join tb on ta.h = tb.h where tb.v is null or tb.v <> ta.v),
+    n as (select op, count(*) as n, count(*) filter ((h, v) in (select (h, v) from ta)) as l, count(*) filter ((h, v) in (select (h, v) from tb)) as r from r group by 1),
+    o as (select p.op as op, coalesce(n, 0) as n, l, r from (values ('join self'), ('join other'), ('meet self'), ('meet other'), ('subtract other'), ('subtract self'), ('meet disjoint')) p(op) left join n on n.op = p.op)"""
+
+
+def _operations(a: PathFrame, b: PathFrame) -> dict[str, PathFrame]:
+    apart = b._with(b.df.select(F.concat(F.lit(b"!"), "path").alias("path"), "value"))
+    return {
+        "join self": algebra.join(a, a), "join other": algebra.join(a, b), "meet self": algebra.meet(a, a), "meet other": algebra.meet(a, b),
+        "subtract other": algebra.subtract(a, b), "subtract self": algebra.subtract(a, a), "meet disjoint": algebra.meet(a, apart),
+    }
+
+
+@query("select op, case when n = 0 then 'none' when n = l and n = (select count(*) from ta) then 'identity' else 'element' end as status, n from o", f"{TA}, {TB}, {_OPERATIONS}")
+def status(spark, d):
+    """How the results of seven operations relate to the left operand, and their rows."""
+    a, b = T.taxa(spark, d), T.taxa(spark, d, "b")
+    found = [(op, algebra.status(t, a).value, t.df.count()) for op, t in _operations(a, b).items()]
+    return spark.createDataFrame(found, "op string, status string, n long")
+
+
 @query(
-    f"""select 'join self' as op, 'identity' as status union all select 'meet disjoint', 'none' union all select 'subtract self', 'none'
-        union all select 'join other', 'element' union all select 'meet self', 'identity'"""
+    "select op, case when n = 0 then 'none' when m > 0 then 'identity' else 'element' end as kind, case when n > 0 and m > 0 then m end as mask"
+    " from (select *, (n = l and n = (select count(*) from ta))::int + 2 * (n = r and n = (select count(*) from tb))::int as m from o)",
+    f"{TA}, {TB}, {_OPERATIONS}",
 )
-def status(spark, d):
+def outcome(spark, d):
+    """Which operands the results of the same operations are identical with."""
     a, b = T.taxa(spark, d), T.taxa(spark, d, "b")
-    apart = b._with(b.df.select(F.concat(F.lit(b"!"), "path").alias("path"), "value"))
-    found = [
-        ("join self", algebra.status(algebra.join(a, a), a)), ("meet disjoint", algebra.status(algebra.meet(a, apart), a)), ("subtract self", algebra.status(algebra.subtract(a, a), a)),
-        ("join other", algebra.status(algebra.join(a, apart), a)), ("meet self", algebra.status(algebra.meet(a, a), a)),
-    ]
-    return spark.createDataFrame([(n, s.value) for n, s in found], "op string, status string")
+    found = {op: algebra.outcome(t, a, b) for op, t in _operations(a, b).items()}
+    return spark.createDataFrame([(op, o.kind.value, o.identity_mask()) for op, o in found.items()], "op string, kind string, mask int")
 
 
 # ---------------------------------------------------------------- subtrees
@@ -492,16 +524,16 @@ def descend_to(spark, d):
     return cursor.descend_to(t, pos, F.lit(b"/")).select(F.hex("path").alias("hex"), F.hex("moved").alias("moved"), "exists")
 
 
-@query("select h as hex, (select coalesce(max(d), 0) from nodes where starts_with(tb.h, p)) as n from tb", f"{_NODES}, {TB}")
+_ALONG = "along as (select h, max(d) as n, min(case when d > 0 and is_value then d end) as v from tb, unnest(range(0, length(h) // 2 + 1)) t(i) join nodes on p = substr(h, 1, 2 * i) group by 1)"
+
+
+@query("select h as hex, n from along", f"{_NODES}, {TB}, {_ALONG}")
 def descend_to_existing(spark, d):
     found = cursor.descend_to_existing(T.inner(spark, d), T.taxa(spark, d, "b").df.select("path"))
     return found.select(F.hex("path").alias("hex"), F.col("n").cast("long").alias("n"))
 
 
-@query(
-    "select h as hex, coalesce((select min(d) from nodes where starts_with(tb.h, p) and d > 0 and is_value), (select coalesce(max(d), 0) from nodes where starts_with(tb.h, p))) as n from tb",
-    f"{_NODES}, {TB}",
-)
+@query("select h as hex, coalesce(v, n) as n from along", f"{_NODES}, {TB}, {_ALONG}")
 def descend_to_value(spark, d):
     found = cursor.descend_to_value(T.inner(spark, d), T.taxa(spark, d, "b").df.select("path"))
     return found.select(F.hex("path").alias("hex"), F.col("n").cast("long").alias("n"))
@@ -562,9 +594,9 @@ def next_val(spark, d):
     return _moved(cursor.next_value(*_positions(spark, d)))
 
 
-@query(f"select distinct substr(h, 1, 24) as hex from geo where starts_with(h, '{hx('ASIA/')}') and length(h) >= 24", GEO)
+@query(f"select distinct substr(h, 1, 74) as hex from geo where starts_with(h, '{hx('ASIA/')}') and length(h) >= 74", GEO)
 def k_paths(spark, d):
-    return cursor.k_paths(T.geo(spark, d), 7, b"ASIA/").select(F.hex("path").alias("hex"))
+    return cursor.k_paths(T.geo(spark, d), 32, b"ASIA/").select(F.hex("path").alias("hex"))
 
 
 # ---------------------------------------------------------------- products
@@ -680,7 +712,7 @@ def cata_python(spark, d):
         deepest = max((r[2] for r in results), default=len(path))
         return 1 + sum(r[0] for r in results), sum(r[1] for r in results) or int(not results), deepest, sum(r[3] for r in results) + (value is not None)
 
-    return spark.createDataFrame([folds.fold_python(T.inner(spark, d), one, 2)], "nodes long, leaves long, depth long, vals long")
+    return spark.createDataFrame([folds.fold_python(T.inner(spark, d), one, 1000)], "nodes long, leaves long, depth long, vals long")
 
 
 @query(
@@ -728,16 +760,13 @@ def node_counts(spark, d):
 
 # ---------------------------------------------------------------- conflicts and masks
 
-_REQUESTS = f"{INNER}, rq as (select v as id, h, v % 3 = 0 as w from (select h, row_number() over (order by h) as v from tv)), {nodes_sql('tv')}"
+_REQUESTS = f"{INNER}, rq as (select case when length(h) <= 16 then -1 - v else v end as id, h, v % 3 = 0 as w from tv), {nodes_sql('tv')}"
 
 
 def _requests(spark, d) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = T.inner(spark, d).df
-    # A number for some hundred rows of brands and types, whatever the input's size.
-    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
-    return numbered.select("id", "path", (F.col("id") % 3 == 0).alias("writes"))
+    """A request for every value; a third of them write. No two brands, and no two other paths, have one least part key."""
+    number = F.when(F.octet_length("path") <= 8, -1 - F.col("value")).otherwise(F.col("value"))
+    return T.inner(spark, d).df.select(number.alias("id"), "path", (F.col("value") % 3 == 0).alias("writes"))
 
 
 @query("select least(a.id, b.id) as a, greatest(a.id, b.id) as b from rq a join rq b on a.id <> b.id and starts_with(b.h, a.h) and (a.w or b.w)", _REQUESTS, name="conflicts")
@@ -789,7 +818,7 @@ _TEXT = "array_to_string(list_sort({}), ',')"
     _MASKS,
 )
 def mask_ops(spark, d):
-    m, other = F.col("mask"), bytemask.of_bytes(F.sequence(F.lit(48), F.lit(55)))
+    m, other = F.col("mask"), bytemask.of(range(48, 56))
     text = lambda x: F.array_join(F.transform(bytemask.bytes_of(x), lambda b: b.cast("string")), ",")
     return _masks(spark, d).select(
         "hex", bytemask.count(m).cast("long").alias("n"), bytemask.is_empty(m).alias("none"), bytemask.test(m, F.lit(51)).alias("has"), text(bytemask.or_(m, other)).alias("ors"),
@@ -821,19 +850,24 @@ def dag_roundtrip(spark, d):
     return shown(dag.read_dag(spark, folder).df)
 
 
-@query("select n_values, count(*) as shapes, sum(places)::bigint as places from (select list_sort(list(substr(h, 2 * i + 1))) as s, count(*) as n_values, 1 as places from (select h from tu), unnest(range(0, length(h) // 2 + 1)) t(i) group by substr(h, 1, 2 * i)) g group by n_values", "tu as (select distinct hex(encode(p_brand || '/' || p_type)) as h from part)", name="dag_dedup_places")
+_SHAPES = """tu as (select distinct hex(encode(p_brand || '/' || p_type || '/' || p_name)) as h from part),
+    g as (select list_sort(list(substr(h, 2 * i + 1))) as s, count(*) as n_values from tu, unnest(range(0, length(h) // 2 + 1)) t(i) group by substr(h, 1, 2 * i))"""
+
+
+def _names(spark, d) -> PathFrame:
+    return PathFrame.of(table(spark, d, "part").select("p_brand", "p_type", "p_name").distinct(), codec.joined("/", "p_brand", "p_type", "p_name"))
+
+
+@query("select n_values, places, count(*) as shapes from (select s, n_values, count(*) as places from g group by 1, 2) where places > 1 group by 1, 2", _SHAPES, name="dag_dedup_places")
 def dag_places(spark, d):
-    """How many prefixes have subtrees of each size."""
-    t = PathFrame.of(table(spark, d, "part").select("p_brand", "p_type").distinct(), codec.joined("/", "p_brand", "p_type"))
-    found = nodes.subtree_hashes(t.df)
-    return found.groupBy("n_values").agg(F.count("*").alias("shapes")).withColumn("places", F.col("shapes"))
+    """How many shapes of subtrees occur at several places, by their values and places."""
+    return nodes.shared_subtrees(_names(spark, d).df).groupBy("n_values", "places").agg(F.count("*").alias("shapes"))
 
 
-@query("select count(*) as n from (select distinct s from (select list_sort(list(substr(h, 2 * i + 1))) as s from tu, unnest(range(0, length(h) // 2 + 1)) t(i) group by substr(h, 1, 2 * i)))", "tu as (select distinct hex(encode(p_brand || '/' || p_type)) as h from part)")
+@query("select count(distinct s) as n from g", _SHAPES)
 def dag_dedup(spark, d):
-    """Distinct subtrees of the brand/type trie."""
-    t = PathFrame.of(table(spark, d, "part").select("p_brand", "p_type").distinct(), codec.joined("/", "p_brand", "p_type"))
-    return nodes.subtree_hashes(t.df).select("hash").distinct().agg(F.count("*").alias("n"))
+    """Distinct subtrees of the brand/type/name trie."""
+    return nodes.subtree_hashes(_names(spark, d).df).select("hash").distinct().agg(F.count("*").alias("n"))
 
 
 @query("select h as hex, v as value from ob where h >= printf('%016X', 100) and h < printf('%016X', 164)", ORDERS)
@@ -841,8 +875,7 @@ def parquet_range_scan(spark, d):
     """Orders of some customers, read from a sorted file by a byte range."""
     folder = new_path(spark, "sorted")
     stored.write_sorted(T.orders_be(spark, d), folder)
-    rows = spark.read.parquet(folder).where((F.col("path") >= codec.be_int(F.lit(100))) & (F.col("path") < codec.be_int(F.lit(164))))
-    return shown(rows)
+    return shown(stored.read_range(spark, folder, (100).to_bytes(8, "big"), (164).to_bytes(8, "big")).df)
 
 
 @query(f"select h as hex, v as value from geo where starts_with(h, '{hx('AMERICA/')}')", GEO)
@@ -889,20 +922,166 @@ def branch_weights(spark, d):
     return sampling.branches_by_weight(T.part_names(spark, d), b"Brand#").select("byte", "n")
 
 
-@query(
-    """select o as key, i as at from (select l_orderkey as o, list(l_quantity::bigint % 4 order by l_linenumber, l_partkey, l_suppkey, l_quantity) as s from lineitem group by 1), unnest(range(0, 11)) t(i)
-        where list_slice(s, i + 1, i + 3) = [1, 2, 3]""",
-)
+_SEQUENCES = "sq as (select l_orderkey as o, list(l_quantity::bigint order by l_linenumber, l_partkey, l_suppkey, l_quantity) as s from lineitem group by 1)"
+
+#: What the sequence queries look for: ways to begin with the first numbers of a fixed sequence, in falling length.
+_SOUGHT = [[1, 2, 3, 1], [1, 2, 3], [1, 2], [2, 3, 1], [3, 1]]
+
+
+def _sequences(spark, d) -> DataFrame:
+    """(key, s): the quantities of each order modulo 4, in order of its lines."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    seqs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return seqs.select("key", F.transform("items", lambda x: x["l_quantity"].cast("long") % 4).alias("s"))
+
+
+@query("select o as key, i as at from sq, unnest(range(0, len(s))) t(i) where list_transform(list_slice(s, i + 1, i + 3), lambda x: x % 4) = [1, 2, 3]", _SEQUENCES)
 def oeis_search(spark, d):
     """Orders in whose sequence of quantities modulo 4 the numbers 1, 2, 3 follow each other, and where.
 
-    Each sequence is framed as a path from each of its first eleven positions on; the numbers
-    looked for are a stem.
+    Each sequence is framed as a path from each of its positions on, with the place behind it;
+    the numbers looked for are a stem, which a restriction applies.
     """
+    suffixes = _sequences(spark, d).select("key", F.posexplode("s").alias("at", "x"), "s")
+    path = F.concat(codec.framed(F.slice("s", F.col("at") + 1, F.size("s"))), F.lit(b"\x00"), codec.be_int(F.col("key")), codec.be_int(F.col("at").cast("long"), 4))
+    every = PathFrame.of(suffixes, path, F.struct("key", F.col("at").cast("long").alias("at")))
+    stem = b"".join(bytes([1, n]) for n in (1, 2, 3))
+    return algebra.restrict(every, PathFrame.unit(spark, [stem])).df.select("value.*")
+
+
+def _framed(numbers: list[int]) -> bytes:
+    return b"".join(bytes([1, n]) for n in numbers)
+
+
+def _sequence_map(spark, d) -> PathFrame:
+    """Every order's sequence as a path of framed numbers, its key behind them."""
+    path = F.concat(codec.framed(F.col("s")), F.lit(b"\x00"), codec.be_int(F.col("key")))
+    return PathFrame.bulk(_sequences(spark, d), path, F.col("key"), F.col("key"))
+
+
+@query("select len(s)::bigint as n, count(*) as sequences from sq group by 1", _SEQUENCES)
+def sequence_build(spark, d):
+    """The first stage of a sequence search: load all sequences; how many have each length."""
+    size = ((F.octet_length("path") - 9) / 2).cast("long")
+    return _sequence_map(spark, d).df.groupBy(size.alias("n")).agg(F.count("*").alias("sequences"))
+
+
+@query("select k::bigint as dropped, count(*) as n, sum(o)::bigint as total from sq, unnest(range(0, 10)) t(k) where len(s) >= k group by 1", _SEQUENCES)
+def sequence_drop_heads(spark, d):
+    """The second stage: the sequences without their first 0 to 9 numbers; a number takes two bytes."""
+    t, found = _sequence_map(spark, d), None
+    long = lambda k: t._with(t.df.where(F.octet_length("path") >= 9 + 2 * k))
+    for k in range(10):
+        part = relocate.drop_head(long(k), b"", 2 * k).df.select(F.lit(k).cast("long").alias("dropped"), "value")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("dropped").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(
+    "select o as key from sq where " + " or ".join(f"list_transform(list_slice(s, 1, {len(x)}), lambda x: x % 4) = {x}" for x in _SOUGHT),
+    _SEQUENCES,
+)
+def sequence_restrict(spark, d):
+    """The third stage: the sequences that begin with one of several stems."""
+    stems = PathFrame.unit(spark, [_framed(x) for x in _SOUGHT])
+    return algebra.restrict(_sequence_map(spark, d), stems).df.select(F.col("value").alias("key"))
+
+
+# ---------------------------------------------------------------- words of texts
+
+
+@query("select h as hex, v as value from dw", WORDS)
+def doc_words(spark, d):
+    """The words of all documents with their counts; many have letters beyond ASCII."""
+    return shown(T.doc_words(spark, d).df)
+
+
+@query(f"select h as hex, v as value from dw where starts_with(h, '{hx('é')}') or starts_with(h, '{hx('ü')}') or starts_with(h, 'C3')", WORDS)
+def doc_words_restrict(spark, d):
+    """Words that begin with certain bytes; one stem is half a letter."""
+    return shown(algebra.restrict(T.doc_words(spark, d), PathFrame.unit(spark, ["é".encode(), "ü".encode(), b"\xc3"])).df)
+
+
+@query("select substr(h, 3) as hex, arg_min(v, h) as value from dw where length(h) > 2 group by 1", WORDS)
+def doc_words_drop_head(spark, d):
+    """Words without their first byte."""
+    return shown(relocate.drop_head(T.doc_words(spark, d), b"", 1).df)
+
+
+@query("select d as depth, count(*) as nodes, sum(kids)::bigint as children, max(kids) as most_children, sum(is_value::int)::bigint as vals from nodes group by 1", f"{WORDS}, {nodes_sql('dw')}")
+def doc_words_depths(spark, d):
+    found = nodes.depth_histogram(nodes.node_table(T.doc_words(spark, d).df))
+    return found.select(F.col("depth").cast("long").alias("depth"), "nodes", "children", F.col("most_children").cast("long").alias("most_children"), "vals")
+
+
+# ---------------------------------------------------------------- the rest of the library
+
+
+@query(
+    f"""select ta.h as hex, array_to_string(list_sort(list_distinct(list_concat(ta.v, tb.v))), ',') as joined, array_to_string(list_sort(list_intersect(ta.v, tb.v)), ',') as met,
+        array_to_string(list_sort(list_filter(ta.v, lambda x: not list_contains(tb.v, x))), ',') as rest from ta join tb on ta.h = tb.h""",
+    _SETS,
+)
+def mask_policy(spark, d):
+    """Join, meet and difference of the digits of paths that both sides have, as byte masks; empty ones are gone."""
+    a, b = (PathFrame(t.df.withColumn("value", bytemask.of_bytes(F.col("value"))), MASK) for t in (T.sizes(spark, d, "a"), T.sizes(spark, d, "b")))
+    both = a.df.select("path").join(b.df.select("path"), "path")
+    text = lambda t, n: t.df.select("path", F.array_join(F.transform(bytemask.bytes_of(F.col("value")), lambda x: x.cast("string")), ",").alias(n))
+    for t, n in ((algebra.join(a, b), "joined"), (algebra.meet(a, b), "met"), (algebra.subtract(a, b), "rest")):
+        both = both.join(text(t, n), "path", "left")
+    return both.select(F.hex("path").alias("hex"), *[F.coalesce(n, F.lit("")).alias(n) for n in ("joined", "met", "rest")])
+
+
+@query(
+    f"""select p as hex, {_TEXT.format(f'list_concat(list_filter(m, lambda x: not list_contains({_OTHER}, x)), list_filter({_OTHER}, lambda x: not list_contains(m, x::int)))')} as xors,
+        {_TEXT.format('list_distinct(list_concat(m, [47]))')} as with_slash, {_TEXT.format('list_filter(m, lambda x: x <> 47)')} as without_slash from mk""",
+    _MASKS,
+)
+def mask_bits(spark, d):
+    m, other = F.col("mask"), bytemask.of(range(48, 56))
+    text = lambda x: F.array_join(F.transform(bytemask.bytes_of(x), lambda b: b.cast("string")), ",")
+    return _masks(spark, d).select("hex", text(bytemask.xor(m, other)).alias("xors"), text(bytemask.with_bit(m, F.lit(47))).alias("with_slash"), text(bytemask.without_bit(m, F.lit(47))).alias("without_slash"))
+
+
+@query(f"select h as hex, v as value from geo where not starts_with(h, '{hx('ASIA/')}') union all select '{hx('ASIA/')}' || h, octet_length(unhex(h))::bigint from ur", f"{GEO}, {URLS}")
+def paths_load_at(spark, d):
+    """Path files take the place of a subtree; a path's value is its length."""
+    folder = new_path(spark, "paths")
+    path_files.write_paths(T.urls(spark, d), folder)
+    return shown(path_files.load_at(T.geo(spark, d), b"ASIA/", folder, F.octet_length("path").cast("long")).df)
+
+
+@query("select hex(encode(c_name)) as hex, c_custkey as value from customer")
+def read_delimited(spark, d):
+    """Customers written as delimited text and loaded by name."""
+    folder = new_path(spark, "delimited")
+    table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").write.option("sep", "\t").csv(folder)
+    return shown(stored.read_delimited(spark, folder, "c_name", F.col("key"), "key long, c_name string, nation int").df)
+
+
+@query("select 'A' || lpad(o::varchar, 9, '0') as name, array_to_string(s, ',') as numbers from sq", _SEQUENCES)
+def read_sequences(spark, d):
+    """Lines like ``A000000001 ,1,2,`` written from orders and parsed."""
     item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     seqs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    numbers = seqs.select("key", F.transform("items", lambda x: x["l_quantity"].cast("long") % 4).alias("s"))
-    starts = F.sequence(F.lit(0), F.least(F.size("s") - 1, F.lit(10)))
-    suffixes = numbers.select("key", F.explode(starts).alias("at"), "s").select("key", F.col("at").cast("long").alias("at"), codec.framed(F.slice("s", F.col("at") + 1, F.size("s"))).alias("path"))
-    stem = b"".join(bytes([1, n]) for n in (1, 2, 3))
-    return suffixes.where(codec.starts_with(F.col("path"), stem)).select("key", "at")
+    name = F.concat(F.lit("A"), F.lpad(F.col("key").cast("string"), 9, "0"))
+    numbers = F.array_join(F.transform("items", lambda x: x["l_quantity"].cast("long").cast("string")), ",")
+    found = stored.sequences(seqs.select(F.concat(name, F.lit(" ,"), numbers, F.lit(",")).alias("line")), F.col("line"))
+    return found.select("name", F.array_join(F.transform("numbers", lambda x: x.cast("string")), ",").alias("numbers"))
+
+
+@query(
+    """with recursive u(h, n) as (select hex(encode('r' || r_regionkey || '/')), 6 from region union all select h || b, n - k from u, (values ('78', 1), ('7979', 2)) c(b, k) where n >= k)
+        select h as hex, n::bigint as value from u where n % 3 = 0""",
+)
+def unfold_python(spark, d):
+    """Words of x and yy grown by a Python step below a seed for each region."""
+
+    def step(left, builder, path):
+        for p, k in ((b"x", 1), (b"yy", 2)):
+            if left >= k:
+                builder.push(p, left - k)
+        return left if left % 3 == 0 else None
+
+    seeds = [(f"r{r[0]}/".encode(), 6) for r in table(spark, d, "region").select("r_regionkey").collect()]
+    return shown(folds.unfold_python(spark, seeds, step, "long"))

@@ -2,8 +2,10 @@
 
 A file is one zlib stream; inflated, it is a sequence of records, each an unsigned 32-bit
 length, lowest byte first, and the path. Written from a partitioned table, a folder has one
-file per range of paths, in order. The root is written like any other path. Values are not
-part of the format; a reader makes them from the path and its number.
+or more files for each range of paths, in order, none of which holds more than a bounded number
+of bytes before deflating, apart from a single longer path. The root is written like any other
+path. Values are not part of the format: a reader makes them from the path and its number, or
+they are kept beside the folder as a table by the path's place in the order.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from pathloom.operators import relocate
 
 LEVEL = 7
 
+#: Bytes that go into a stream before the next one begins, and bytes that a reader inflates at once.
+STREAM_BYTES, CHUNK = 64 << 20, 4 << 20
+
 #: Ends each file beside the stream, which knows its own end.
 _MARK = "\n"
 
@@ -35,51 +40,68 @@ class Stats:
     path_count: int
 
 
-def deflated(paths: Iterator[bytes]) -> tuple[bytes, Stats]:
-    """One stream of the paths as they come."""
-    engine, parts, size, n = zlib.compressobj(LEVEL), [], 0, 0
+def deflated(paths: Iterator[bytes], stream_bytes: int = STREAM_BYTES) -> Iterator[tuple[bytes, Stats]]:
+    """Streams of the paths as they come, and their statistics."""
+    engine = None
     for p in paths:
+        if engine is None:
+            engine, parts, size, n = zlib.compressobj(LEVEL), [], 0, 0
         record = struct.pack("<I", len(p)) + p
         parts.append(engine.compress(record))
         size += len(record)
         n += 1
-    parts.append(engine.flush())
-    out = b"".join(parts)
-    return out, Stats(len(out), size, n)
+        if size >= stream_bytes:
+            out = b"".join((*parts, engine.flush()))
+            yield out, Stats(len(out), size, n)
+            engine = None
+    if engine is not None:
+        out = b"".join((*parts, engine.flush()))
+        yield out, Stats(len(out), size, n)
 
 
 def inflated(blob: bytes) -> Iterator[bytes]:
-    """The paths of one stream; what follows the stream is ignored."""
-    engine = zlib.decompressobj()
-    raw = engine.decompress(blob) + engine.flush()
-    if not engine.eof:
-        raise ValueError("the stream ends too early")
-    at = 0
-    while at < len(raw):
-        (n,) = struct.unpack_from("<I", raw, at)
-        if at + 4 + n > len(raw):
-            raise ValueError("a path is cut off")
-        yield raw[at + 4 : at + 4 + n]
-        at += 4 + n
-
-
-def write_paths(t: PathFrame, folder: str, files: int | None = None, mode: str = "errorifexists") -> Stats:
-    """Write all paths, ``files`` ranges of them (default: as Spark divides them)."""
+    """The paths of one stream, a bounded part of it at a time; what follows the stream is ignored."""
+    engine, raw, rest = zlib.decompressobj(), b"", blob
+    while not engine.eof:
+        part = engine.decompress(rest, CHUNK)
+        rest = engine.unconsumed_tail
+        if not part and not rest and not engine.eof:
+            raise ValueError("the stream ends too early")
+        raw += part
+        at = 0
+        while at + 4 <= len(raw):
+            (n,) = struct.unpack_from("<I", raw, at)
+            if at + 4 + n > len(raw):
+                break
+            yield raw[at + 4 : at + 4 + n]
+            at += 4 + n
+        raw = raw[at:]
+    if raw:
+        raise ValueError("a path is cut off")
+
+
+def write_paths(t: PathFrame, folder: str, files: int | None = None, mode: str = "errorifexists", values: str | None = None, stream_bytes: int = STREAM_BYTES) -> Stats:
+    """Write all paths, ``files`` ranges of them (default: as Spark divides them).
+
+    ``values`` names a folder for the values: a table of each path's place in the order and its
+    value, which :func:`read_paths` joins again.
+    """
 
     def run(batches):
         def paths():
             for batch in batches:
                 yield from batch.column(0).to_pylist()
 
-        blob, s = deflated(paths())
-        if s.path_count:
-            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([s.bytes_out]), pa.array([s.bytes_in]), pa.array([s.path_count])], ["stream", "bytes_out", "bytes_in", "path_count"])
+        for blob, s in deflated(paths(), stream_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["stream"])
 
     spark = t.df.sparkSession
     order = t.df.select("path").repartitionByRange(*([files] if files else []), "path").sortWithinPartitions("path")
-    streams = order.mapInArrow(run, "stream binary, bytes_out long, bytes_in long, path_count long")
+    streams = order.mapInArrow(run, "stream binary")
     # The text writer puts the bytes of a string out as they are.
-    streams.select(F.col("stream").cast("string")).write.mode(mode).option("lineSep", _MARK).text(folder)
+    streams.select(F.col("stream").cast("string")).write.mode(mode).option("lineSep", _MARK).option("maxRecordsPerFile", 1).text(folder)
+    if values is not None:
+        t.ranked().select("place", "value").write.mode(mode).parquet(values)
     return read_stats(spark, folder)
 
 
@@ -95,28 +117,46 @@ def read_stats(spark: SparkSession, folder: str) -> Stats:
             for blob in batch.column(1):
                 raw = blob.as_py()
                 if raw:
-                    found = [len(p) for p in inflated(raw)]
-                    yield pa.RecordBatch.from_arrays([pa.array([len(raw) - len(_MARK)]), pa.array([sum(found) + 4 * len(found)]), pa.array([len(found)])], ["o", "i", "n"])
+                    n = size = 0
+                    for p in inflated(raw):
+                        n, size = n + 1, size + len(p) + 4
+                    yield pa.RecordBatch.from_arrays([pa.array([len(raw) - len(_MARK)]), pa.array([size]), pa.array([n])], ["o", "i", "n"])
 
     row = _files(spark, folder).mapInArrow(run, "o long, i long, n long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("o", "i", "n")]).first()
     return Stats(*row)
 
 
-def read_paths(spark: SparkSession, folder: str, value: Column | None = None) -> PathFrame:
+def read_paths(spark: SparkSession, folder: str, value: Column | None = None, values: str | None = None) -> PathFrame:
     """The paths of a folder; ``value`` is an expression of ``path``, ``file`` and ``number`` (in the file).
 
-    Of a path that repeats, the last one stays, by file name and number.
+    Of a path that repeats, the last one stays, by file name and number. ``values`` names the
+    folder in which the values were written.
     """
 
     def run(batches):
+        def rows_of(name, raw):
+            held, size, first = [], 0, 0
+            for p in inflated(raw) if raw else ():
+                held.append(p)
+                size += len(p)
+                if size >= CHUNK or len(held) >= 100_000:
+                    yield batch_of(name, first, held)
+                    held, size, first = [], 0, first + len(held)
+            if held:
+                yield batch_of(name, first, held)
+
+        def batch_of(name, first, held):
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held, pa.binary())], ["file", "number", "path"])
+
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = blob.as_py()
-                found = list(inflated(raw)) if raw else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary())], ["file", "number", "path"])
+                yield from rows_of(name, blob.as_py())
 
     rows = _files(spark, folder).mapInArrow(run, "file string, number long, path binary")
-    return PathFrame.bulk(rows, F.col("path"), F.col("number") if value is None else value, F.struct("file", "number"))
+    found = PathFrame.bulk(rows, F.col("path"), F.col("number") if value is None else value, F.struct("file", "number"))
+    if values is None:
+        return found
+    return found._with(found.ranked().select("path", "place").join(spark.read.parquet(values), "place"))
 
 
 def load_at(t: PathFrame, focus: bytes, folder: str, value: Column | None = None, mode: str = "overwrite") -> PathFrame:

@@ -25,6 +25,11 @@ def read_below(spark: SparkSession, folder: str, prefix: bytes, policy: Policy =
     return PathFrame(spark.read.parquet(folder).where(codec.starts_with(F.col("path"), prefix)), policy)
 
 
+def read_range(spark: SparkSession, folder: str, low: bytes, high: bytes, policy: Policy = KEEP_LEFT_EQUAL) -> PathFrame:
+    """Paths from ``low`` on, below ``high``."""
+    return PathFrame(spark.read.parquet(folder).where((F.col("path") >= F.lit(low)) & (F.col("path") < F.lit(high))), policy)
+
+
 def read_delimited(spark: SparkSession, file: str, key: str, value: Column, columns: str, sep: str = "\t", header: bool = False) -> PathFrame:
     """Delimited text with a given schema; paths are the UTF-8 bytes of a column, the last row of a path stays."""
     rows = spark.read.schema(columns).option("sep", sep).option("header", header).csv(file)

@@ -20,13 +20,21 @@ PATHS = [b"", b"\0", b"a\nb", b"ab", bytes(range(256)), "é".encode() * 200]
 
 
 def test_stream_format():
-    blob, stats = path_files.deflated(iter([b"ab", b""]))
+    [(blob, stats)] = path_files.deflated(iter([b"ab", b""]))
     assert zlib.decompress(blob) == b"\x02\0\0\0ab\0\0\0\0" and stats == path_files.Stats(len(blob), 10, 2)
     assert list(path_files.inflated(blob + b"\ntrailing")) == [b"ab", b""]
     with pytest.raises((ValueError, zlib.error)):
         list(path_files.inflated(blob[:-3]))
 
 
+def test_long_streams(monkeypatch):
+    monkeypatch.setattr(path_files, "CHUNK", 7)
+    paths = [bytes([i % 251]) * (i % 40) for i in range(500)]
+    streams = list(path_files.deflated(iter(paths), 1000))
+    assert len(streams) > 5 and [p for blob, _ in streams for p in path_files.inflated(blob)] == paths
+    assert sum(s.path_count for _, s in streams) == 500
+
+
 def test_path_files(spark, tmp_path):
     t = PathFrame.from_items(spark, [(p, i) for i, p in enumerate(PATHS)])
     stats = path_files.write_paths(t, f"{tmp_path}/p", files=3)
@@ -37,6 +45,9 @@ def test_path_files(spark, tmp_path):
     assert back(put) == {b"k" + p: 7 for p in PATHS} | {b"m": 3}
     both = path_files.load_at(host, b"k", f"{tmp_path}/p", F.lit(7).cast("long"), mode="merge")
     assert back(both) == {b"k" + p: 7 for p in PATHS} | {b"k/x": 1, b"k": 2, b"m": 3}
+    path_files.write_paths(t, f"{tmp_path}/small", files=2, values=f"{tmp_path}/values", stream_bytes=5)
+    assert sum(1 for f in (tmp_path / "small").iterdir() if f.suffix == ".txt") >= len(PATHS) - 2
+    assert back(path_files.read_paths(spark, f"{tmp_path}/small", values=f"{tmp_path}/values")) == back(t)
     none = path_files.write_paths(PathFrame.empty(spark), f"{tmp_path}/none")
     assert none.path_count == 0 and back(path_files.read_paths(spark, f"{tmp_path}/none")) == {}
 
@@ -49,7 +60,13 @@ def test_graph(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/g/nodes").count()
     assert stored < len({k[:i] for k in items for i in range(len(k) + 1)})
     dag.write_dag(PathFrame.empty(spark), f"{tmp_path}/e")
-    assert back(dag.read_dag(spark, f"{tmp_path}/e")) == {} if spark.read.parquet(f"{tmp_path}/e/nodes").count() else True
+    assert back(dag.read_dag(spark, f"{tmp_path}/e")) == {}
+    meta = dag.read_meta(spark, f"{tmp_path}/g")
+    # The two subtrees x, y are one; with them the root, b/ and the leaves.
+    assert meta["paths"] == 6 and meta["subtrees"] == stored and bytes(meta["top"]) == b""
+    chain = PathFrame.from_items(spark, [(b"abc/long", 1)])
+    dag.write_dag(chain, f"{tmp_path}/c")
+    assert back(dag.read_dag(spark, f"{tmp_path}/c")) == {b"abc/long": 1} and dag.read_meta(spark, f"{tmp_path}/c")["subtrees"] == 1
 
 
 def test_sorted_tables(spark, tmp_path):
@@ -57,6 +74,8 @@ def test_sorted_tables(spark, tmp_path):
     tables.write_sorted(t, f"{tmp_path}/t", files=4)
     assert back(tables.read_sorted(spark, f"{tmp_path}/t")) == back(t)
     assert sorted(back(tables.read_below(spark, f"{tmp_path}/t", b"01")).values()) == list(range(10, 20))
+    assert sorted(back(tables.read_range(spark, f"{tmp_path}/t", b"01", b"013")).values()) == [10, 11, 12]
+    assert {bytes(r["path"]): r["place"] for r in t.ranked().collect()} == back(t)
 
 
 def test_text_sources(spark, tmp_path):

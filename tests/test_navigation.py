@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pathloom.functions import bytemask, codec
@@ -140,7 +141,19 @@ def test_folds(words, spark):
     prefixes = {w[:i] for w in WORDS for i in range(len(w) + 1)}
     assert {bytes(r["prefix"]): r["w"] for r in count.collect()}[b""] == len(prefixes)
     assert folds.fold_python(words, lambda mask, results, v, p: 1 + sum(results)) == len(prefixes)
-    assert folds.fold_python(words, lambda mask, results, v, p: sorted(results)[-1:] + [len(p)] and max([len(p), *results]), 3) == 10
+    assert folds.fold_python(words, lambda mask, results, v, p: max([len(p), *results])) == 10
+    tree = {f"{i:04d}"[::-1] * (1 + i % 2): i for i in range(1500)}
+    many = PathFrame.from_items(spark, [(k.encode(), v) for k, v in tree.items()])
+
+    def spelled(mask, results, v, p):
+        return f"{v}({','.join(f'{b}{r}' for b, r in zip(mask, results))})"
+
+    # In rounds of at most 300 items a task, and all at once.
+    assert folds.fold_python(many, spelled, 300) == folds.fold_python(many, spelled)
+    assert folds.fold_python(PathFrame.empty(spark), spelled) == "None()"
+    up = lambda chain, w, path: w + 100 * F.octet_length(chain)
+    jumped = folds.fold(PathFrame.from_items(spark, [(b"abc", 5), (b"ade", 6), (b"xyz", 7)]), folds.split_algebra(lambda v, p: v, lambda v, w, p: v + w, lambda k, p: folds.totals(k)), "long", jump=up)
+    assert {bytes(r["prefix"]): r["w"] for r in jumped.collect()} == {b"abc": 5, b"ade": 6, b"xyz": 7, b"a": 211, b"": 211 + 207}
     lone = folds.fold(PathFrame.empty(spark), lambda k, v, p: F.size(k).cast("long"), "long").collect()
     assert [(bytes(r["prefix"]), r["w"]) for r in lone] == [(b"", 0)]
 
@@ -256,13 +269,39 @@ def test_samples(words, spark):
     one = sampling.choice2(sampling.degenerate(F.lit(1)), sampling.degenerate(F.lit(2)), 1.0)
     many = sampling.repeated(sampling.dependent2(one, lambda v: sampling.degenerate(v + 1)), F.lit(3))
     pair = sampling.product2(one, one, lambda a, b: a + b)
-    odd = sampling.filtered(sampling.categorical([1, 2], [1, 1]), lambda v: v == 1)
-    ended = sampling.until(sampling.categorical([0, 1], [1, 2]), F.lit(0))
-    row = spark.range(1).select(many(F.xxhash64("id")), pair(F.xxhash64("id")), odd(F.xxhash64("id")), F.exists(ended(F.xxhash64("id")), lambda v: v == 0)).first()
-    assert list(row) == [[2, 2, 2], 2, 1, False]
+    row = spark.range(1).select(many(F.xxhash64("id")), pair(F.xxhash64("id"))).first()
+    assert list(row) == [[2, 2, 2], 2]
     assert {r["byte"]: r["n"] for r in sampling.branches_by_weight(words, b"rom").collect()} == {ord("'"): 1, ord("a"): 3, ord("u"): 1}
 
 
+def test_unbounded_draws(spark):
+    ids, chance, rare = spark.range(200), F.xxhash64("id"), sampling.categorical([1, 2], [1, 60])
+    found = {r["id"]: r["x"] for r in sampling.filtered(ids, chance, rare, lambda v: v == 1, "x").collect()}
+    assert found == {i: 1 for i in range(200)}
+    assert {r["x"] for r in sampling.collected(ids, chance, rare, lambda v: F.when(v == 1, v + 6), "x").collect()} == {7}
+    ended = [r["x"] for r in sampling.until(ids, chance, rare, F.lit(1), "x").collect()]
+    assert len(ended) == 200 and all(set(x) <= {2} for x in ended) and max(map(len, ended)) > 64 and 30 < sum(map(len, ended)) / 200 < 120
+    # Draws of 2 add up until the sum passes 9.
+    sums = sampling.concentrated(ids, chance, sampling.degenerate(F.lit(2)), F.lit(0), lambda a, x: a + x, lambda a, x: F.when(a + x > 9, a + x), "x")
+    assert {r["x"] for r in sums.collect()} == {10}
+    split = sampling.diluted(sampling.degenerate(F.lit("a,b")), lambda x: F.split(x, ","), lambda a: a)
+    assert spark.range(1).select(split(chance)).first()[0] == ["a", "b"]
+
+
+def spark_hash(seed, path):
+    """Spark's xxhash64 of an int and a binary."""
+    first = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+    n = xxhash.xxh64_intdigest(path, first)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def test_samples_by_hand(words):
+    rows = sorted((spark_hash(3, w.encode()), w) for w in WORDS)
+    assert {bytes(r["path"]).decode() for r in sampling.fair_values(words, 5, 3).collect()} == {w for _, w in rows[:5]}
+    every = sorted({w[:i].encode() for w in WORDS for i in range(len(w) + 1)}, key=lambda p: spark_hash(0, p))
+    assert {bytes(r["path"]) for r in sampling.fair_paths(words, 7).collect()} == set(every[:7])
+
+
 def test_histograms(words):
     found = nodes.node_table(words.df)
     by = {r["depth"]: (r["nodes"], r["vals"]) for r in nodes.depth_histogram(found).collect()}
