@@ -8,9 +8,9 @@ after another is then the transition between their classes times the word's shar
 
 Every word that occurs LEAST times is clustered on its own. Any rarer word is clustered together
 with the rare words that share its shape (a hash of its last bytes), so every word never seen has
-a class too. A table of the most frequent words and shapes gives the first classes; then all items
-move in rounds over the saved counts of their neighbours, against a shared class table. All counts
-are of the whole training corpus.
+a class too. The most frequent words and the shapes of all others, few enough for one dense table,
+are exchanged first; then all items move in rounds over the saved counts of their neighbours,
+against a shared class table. All counts are of the whole training corpus.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pathloom.shared import save_table
 #: Words that have items of their own in the first, dense exchange, and shapes of the others.
 FREQUENT, SHAPES = 512, 512
 
-#: Occurrences from which on a word is clustered on its own by the distributed exchange.
+#: Occurrences from which on a word is clustered on its own.
 LEAST = 10
 
 #: Last bytes of a word that make its shape.
@@ -39,7 +39,9 @@ SHAPE_BYTES = 3
 
 #: Classes at least; the end has the last of these, and further ones follow it.
 CLASSES = 48
-EXCHANGE_ROUNDS = 20
+
+#: The exchange of all items ends when rounds in which every item has had its turn raise the likelihood's logarithm by less than this part.
+LEAST_GAIN = 1e-4
 MIX = 0.85
 
 #: The end of a text among the words; no word is empty.
@@ -51,8 +53,8 @@ HELD_WORDS, HELD_PAIRS = 400_000, 2_000_000
 #: UTF-8 bytes of text in a block whose distinct words are looked up together.
 BLOCK_BYTES = 8 << 20
 
-#: Rows of the item table that travel together.
-BAND = 64
+#: Numbers in a matrix that a task makes to compare classes.
+HELD_GAINS = 2_000_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -60,36 +62,19 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-class Items(dict):
-    """The item number of each word: its own if it is frequent, its shape's if not, then the end's."""
-
-    def __init__(self, frequent: list[bytes]):
-        super().__init__({w: i for i, w in enumerate(frequent)})
-        self.known = len(self)
-        self.frequent = frequent
-        self.base = max(FREQUENT, len(frequent))
-        self[END] = self.base + SHAPES
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD_WORDS:
-            self.clear()
-            self.__init__(self.frequent)
-        self[word] = found = self.base + zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
-        return found
-
-
-N_ITEMS = FREQUENT + SHAPES + 1
+def shape_of(word: bytes) -> int:
+    return zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
 
 
-class HashedItems(dict):
-    """The same numbers as :class:`Items` over words in the order of their ascending hashes.
+class Items(dict):
+    """The item number of each word: its place among the ascending hashes of clustered words, else its shape's, then the end's.
 
     Workers get eight bytes a clustered word, not the words.
     """
 
     def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.hashes, self.base = hashes, max(FREQUENT, len(hashes))
+        self.hashes, self.base = hashes, len(hashes)
         self[END] = self.base + SHAPES
 
     def __missing__(self, word: bytes) -> int:
@@ -102,8 +87,8 @@ class HashedItems(dict):
                 return self[END]
         h = np.uint64(xxh64_intdigest(word, 42))
         at = int(np.searchsorted(self.hashes, h))
-        if at == len(self.hashes) or self.hashes[at] != h:
-            at = self.base + zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
+        if at == self.base or self.hashes[at] != h:
+            at = self.base + shape_of(word)
         self[word] = at
         return at
 
@@ -134,53 +119,89 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return local.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def item_bigrams(docs: DataFrame, frequent: list[bytes]) -> np.ndarray:
-    """Counts of adjacent items over the packed ``docs``; every text begins and ends with the end."""
+def packed_edges(edges: np.ndarray) -> bytes:
+    """(2 * item + direction, neighbour, count) columns as bytes; four bytes a number where that is enough."""
+    kind = "<u4" if not edges.size or edges.max() < 1 << 32 else "<u8"
+    return kind[2:].encode() + zlib.compress(edges.astype(kind).tobytes(), 1)
+
+
+def opened_edges(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), "<u" + blob[:1].decode()).reshape(3, -1).astype(np.int64)
+
+
+def summed(ends: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Edges in order, each once with its total."""
+    key = ends * size + other
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return np.stack((key[first] // size, key[first] % size, np.add.reduceat(n[order], first) if len(key) else n))
+
+
+def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
+    """(block, edges): twice an item plus the direction (0 to the right), its neighbour, and how often.
+
+    All edges of an item are in one block; there is a block for every HELD_PAIRS tokens. ``held``
+    is the broadcast array of hashes. Every text begins and ends with the end.
+    """
+    blocks = max(partitions(docs), -(-tokens // HELD_PAIRS))
 
     def run(batches):
-        items, held, size = Items(frequent), [], 0
+        items = Items(held.value)
+        end, size = items.base + SHAPES, items.base + SHAPES + 1
+
+        def out(parts):
+            key, n = np.unique(np.concatenate(parts), return_counts=True)
+            a, b = key // size, key % size
+            ends, other, n = np.concatenate((2 * a, 2 * b + 1)), np.concatenate((b, a)), np.concatenate((n, n))
+            block = ends // 2 % blocks
+            order = np.argsort(block, kind="stable")
+            edges, block = np.stack((ends, other, n))[:, order], block[order]
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            blobs = [packed_edges(e) for e in np.split(edges, first[1:], axis=1)]
+            return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "edges"])
+
+        parts, count = [], 0
         for batch in batches:
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 ids = np.fromiter(map(items.__getitem__, words), np.int64, len(words))
-                end = [FREQUENT + SHAPES]
-                held.append(np.concatenate((end, ids)) * N_ITEMS + np.concatenate((ids, end)))
-                size += len(held[-1])
-                if size > HELD_PAIRS:
-                    yield bands(np.bincount(np.concatenate(held), minlength=N_ITEMS * N_ITEMS))
-                    held, size = [], 0
-        if held:
-            yield bands(np.bincount(np.concatenate(held), minlength=N_ITEMS * N_ITEMS))
-
-    def bands(counts):
-        rows = []
-        for b in range(-(-N_ITEMS // BAND)):
-            part = counts[b * BAND * N_ITEMS : (b + 1) * BAND * N_ITEMS]
-            at = np.flatnonzero(part)
-            if len(at):
-                rows.append((b, zlib.compress(at.astype("<u4").tobytes() + part[at].astype("<u8").tobytes(), 1), len(at)))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["band", "counts", "n"])
-
-    def opened(blob, n):
-        raw = zlib.decompress(blob)
-        return np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u8", n, 4 * n).astype(np.int64)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BAND * N_ITEMS, np.int64)
-        for blob, n in zip(table.column("counts").to_pylist(), table.column("n").to_pylist()):
-            at, counts = opened(blob, n)
-            total[at] += counts
-        at = np.flatnonzero(total)
-        blob = zlib.compress(at.astype("<u4").tobytes() + total[at].astype("<u8").tobytes(), 1)
-        return pa.table({"band": pa.array([table.column("band")[0].as_py()], pa.int32()), "counts": pa.array([blob], pa.binary()), "n": pa.array([len(at)], pa.int64())})
-
-    kind = "band int, counts binary, n long"
-    found = docs.select("text").mapInArrow(run, kind).groupBy("band").applyInArrow(add, kind).collect()
-    table = np.zeros(-(-N_ITEMS // BAND) * BAND * N_ITEMS, np.int64)
-    for row in found:
-        at, counts = opened(row["counts"], row["n"])
-        table[row["band"] * BAND * N_ITEMS + at] = counts
-    return table[: N_ITEMS * N_ITEMS].reshape(N_ITEMS, N_ITEMS)
+                parts.append(np.concatenate(([end], ids)) * size + np.concatenate((ids, [end])))
+                count += len(parts[-1])
+                if count > HELD_PAIRS:
+                    yield out(parts)
+                    parts, count = [], 0
+        if parts:
+            yield out(parts)
+
+    def merge(table: pa.Table) -> pa.Table:
+        size = len(held.value) + SHAPES + 1
+        edges = summed(*np.concatenate([opened_edges(b) for b in table.column("edges").to_pylist()], axis=1), size)
+        return pa.table({"block": table.column("block").slice(0, 1), "edges": pa.array([packed_edges(edges)], pa.binary())})
+
+    kind = "block int, edges binary"
+    return save_table(docs.select("text").mapInArrow(run, kind).groupBy("block").applyInArrow(merge, kind), "word-neighbours")
+
+
+def class_table(edges: DataFrame, owner: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of adjacent classes, or of whatever ``owner`` names for each item."""
+    held = edges.sparkSession.sparkContext.broadcast(owner.astype(np.int32))
+
+    def run(batches):
+        table, owner = np.zeros(classes * classes), held.value
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                ends, other, n = opened_edges(blob)
+                right = ends % 2 == 0
+                table += np.bincount(owner[ends[right] // 2] * np.int64(classes) + owner[other[right]], n[right], classes * classes)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at].astype(np.int64))], ["at", "n"])
+
+    found = edges.select("edges").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(classes * classes)
+    table[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    held.destroy()
+    return table.reshape(classes, classes)
 
 
 # ---------------------------------------------------------------- clustering
@@ -190,7 +211,7 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE_ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each item; the last item, the end, has the last class to itself.
 
     Items start dealt over the classes by falling frequency. In each round every item is taken
@@ -211,7 +232,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE
         owner[i] = place % open_classes
     member = np.eye(classes)[owner]
     table = member.T @ b @ member
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         moved = 0
         for i in order:
             own = owner[i]
@@ -239,141 +261,76 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE
             table[new, new] += loop
             owner[i] = new
             moved += new != own
-        if not moved:
-            break
     return owner
 
 
-def opened_edges(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), "<i8").reshape(3, -1)
-
-
-def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
-    """(block, edges): twice an item plus the direction (0 to the right), its neighbour, and how often.
+def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndarray, loop: np.ndarray) -> np.ndarray:
+    """Where :func:`exchange` would put each item alone.
 
-    All edges of an item are in one block; there is a block for every HELD_PAIRS tokens.
+    ``own`` are the items' classes; ``to`` and ``of`` (items by classes) count their neighbours to
+    the right and to the left by class, without ``loop``, the item next to itself.
     """
-    blocks = max(partitions(docs), -(-tokens // HELD_PAIRS))
-
-    def summed(ends: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-        key, place = np.unique(ends * size + other, return_inverse=True)
-        count = np.zeros(len(key), np.int64)
-        np.add.at(count, place, n)
-        return np.stack((key // size, key % size, count))
-
-    def run(batches):
-        items = HashedItems(held.value)
-        end, size = items.base + SHAPES, items.base + SHAPES + 1
-
-        def out(parts):
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
-            a, b = key // size, key % size
-            ends, other, n = np.concatenate((2 * a, 2 * b + 1)), np.concatenate((b, a)), np.concatenate((n, n))
-            block = ends // 2 % blocks
-            order = np.argsort(block, kind="stable")
-            edges, block = np.stack((ends, other, n))[:, order], block[order]
-            first = np.flatnonzero(np.diff(block, prepend=-1))
-            blobs = [zlib.compress(e.astype("<i8").tobytes(), 1) for e in np.split(edges, first[1:], axis=1)]
-            return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "edges"])
-
-        parts, count = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                ids = np.fromiter(map(items.__getitem__, words), np.int64, len(words))
-                parts.append(np.concatenate(([end], ids)) * size + np.concatenate((ids, [end])))
-                count += len(parts[-1])
-                if count > HELD_PAIRS:
-                    yield out(parts)
-                    parts, count = [], 0
-        if parts:
-            yield out(parts)
-
-    def merge(table: pa.Table) -> pa.Table:
-        size = max(FREQUENT, len(held.value)) + SHAPES + 1
-        edges = summed(*np.concatenate([opened_edges(b) for b in table.column("edges").to_pylist()], axis=1), size)
-        return pa.table({"block": table.column("block").slice(0, 1), "edges": pa.array([zlib.compress(edges.astype("<i8").tobytes(), 1)], pa.binary())})
-
-    kind = "block int, edges binary"
-    return save_table(docs.select("text").mapInArrow(run, kind).groupBy("block").applyInArrow(merge, kind), "word-neighbours")
-
-
-def class_table(edges: DataFrame, owner: np.ndarray, classes: int) -> np.ndarray:
-    """Counts of adjacent classes."""
-    held = edges.sparkSession.sparkContext.broadcast(owner)
-
-    def run(batches):
-        table = np.zeros(classes * classes)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                ends, other, n = opened_edges(blob)
-                right = ends % 2 == 0
-                table += np.bincount(held.value[ends[right] // 2] * classes + held.value[other[right]], n[right], classes * classes)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at].astype(np.int64))], ["at", "n"])
-
-    found = edges.select("edges").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(classes * classes)
-    for r in found:
-        table[r["at"]] = r["n"]
-    held.destroy()
-    return table.reshape(classes, classes)
-
-
-def best_class(table: np.ndarray, rows: np.ndarray, cols: np.ndarray, own: int, to: np.ndarray, of: np.ndarray, loop: float) -> int:
-    """Where :func:`exchange` would put one item; ``to`` and ``of`` are without its ``loop``."""
-    classes = len(table)
-    h, g = np.flatnonzero(to), np.flatnonzero(of)
-    right, left = table[:, h].copy(), table[g, :].copy()
-    diagonal = table.diagonal().copy()
-    # Take the item out of its class.
-    right[own] -= to[h]
-    left[:, own] -= of[g]
-    right[:, h == own] -= of[:, None]
-    left[g == own, :] -= to[None, :]
-    diagonal[own] -= to[own] + of[own] + loop
-    right[own, h == own] = left[g == own, own] = diagonal[own]
-    gain_right, gain_left = xlogx(right + to[h]) - xlogx(right), xlogx(left + of[g][:, None]) - xlogx(left)
-    gain = gain_right.sum(axis=1) + gain_left.sum(axis=0)
-    # The diagonal takes both sides and the loop at once.
-    k = np.arange(classes)
-    gain[h] -= gain_right[h, np.arange(len(h))]
-    gain[g] -= gain_left[np.arange(len(g)), g]
-    gain += xlogx(diagonal[k] + to + of + loop) - xlogx(diagonal)
-    sent, got = to.sum() + loop, of.sum() + loop
-    rows, cols = rows.copy(), cols.copy()
-    rows[own] -= sent
-    cols[own] -= got
-    gain -= xlogx(rows + sent) - xlogx(rows) + xlogx(cols + got) - xlogx(cols)
-    gain[CLASSES - 1] = -np.inf
-    best = int(gain.argmax())
-    return best if gain[best] > gain[own] + 1e-7 else own
+    n, classes = to.shape
+    k, every = np.arange(classes), np.arange(n)
+    gain = np.zeros((n, classes))
+    # Classes on the right: adding an item to class g adds its counts to row g. The left is the same, transposed.
+    for counts, others, t in ((to, of, table.T), (of, to, table)):
+        item, h = np.nonzero(counts)
+        step = max(1, HELD_GAINS // classes)
+        for at in range(0, len(item), step):
+            i, c = item[at : at + step], h[at : at + step]
+            cell = t[c].copy()  # by candidate class, without the item
+            rows, mine, add = np.arange(len(i)), own[i], counts[i, c][:, None]
+            cell[rows, mine] -= add[:, 0]
+            at_home = c == mine
+            cell[at_home] -= others[i[at_home]]
+            cell[rows[at_home], mine[at_home]] = 0  # the diagonal is counted apart
+            part = xlogx(cell + add) - xlogx(cell)
+            part[rows, c] = 0
+            np.add.at(gain, i, part) if len(i) < 64 else _add_runs(gain, i, part)
+    diagonal = np.broadcast_to(table.diagonal(), (n, classes)).copy()
+    diagonal[every, own] -= to[every, own] + of[every, own] + loop
+    gain += xlogx(diagonal + to + of + loop[:, None]) - xlogx(diagonal)
+    for totals, size in ((table.sum(axis=1), to.sum(axis=1) + loop), (table.sum(axis=0), of.sum(axis=1) + loop)):
+        rest = np.broadcast_to(totals, (n, classes)).copy()
+        rest[every, own] -= size
+        gain -= xlogx(rest + size[:, None]) - xlogx(rest)
+    gain[:, CLASSES - 1] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[every, best] > gain[every, own] + 1e-7, best, own)
+
+
+def _add_runs(total: np.ndarray, rows: np.ndarray, part: np.ndarray) -> None:
+    """Add the rows of ``part`` to ascending rows of ``total``."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    total[rows[first]] += np.add.reduceat(part, first, axis=0)
 
 
 def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, turn: int, turns: int) -> np.ndarray:
     """(item, class) of the items of a turn that a move alone would help."""
-    classes, held = len(table), edges.sparkSession.sparkContext.broadcast((owner, table))
+    classes, held = len(table), edges.sparkSession.sparkContext.broadcast((owner.astype(np.int32), table))
 
     def run(batches):
         owner, table = held.value
-        rows, cols = table.sum(axis=1), table.sum(axis=0)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 ends, other, n = opened_edges(blob)
-                first = np.flatnonzero(np.diff(ends // 2, prepend=-1))
-                found = []
-                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ends)]):
-                    item = int(ends[lo]) // 2
-                    if item == len(owner) - 1 or zlib.crc32(item.to_bytes(8, "little")) % turns != turn:
-                        continue
-                    e, o, c = ends[lo:hi] % 2 == 0, other[lo:hi], n[lo:hi]
-                    apart = o != item
-                    to, of = (np.bincount(owner[o[d & apart]], c[d & apart], classes) for d in (e, ~e))
-                    new = best_class(table, rows, cols, int(owner[item]), to, of, float(c[e & ~apart].sum()))
-                    if new != owner[item]:
-                        found.append((item, new))
-                cols_out = np.array(found, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(cols_out[:, 0]), pa.array(cols_out[:, 1])], ["item", "class"])
+                item = ends // 2
+                mixed = (item * np.int64(0x9E3779B1) >> 8) % turns
+                mine = (mixed == turn) & (item != len(owner) - 1)
+                ends, other, n = ends[mine], other[mine], n[mine]
+                if not len(ends):
+                    continue
+                items, place = np.unique(ends // 2, return_inverse=True)
+                right, loops = ends % 2 == 0, other == ends // 2
+                loop = np.bincount(place[right & loops], n[right & loops], len(items))
+                sides = []
+                for side in (right & ~loops, ~right & ~loops):
+                    sides.append(np.bincount(place[side] * classes + owner[other[side]], n[side], len(items) * classes).reshape(-1, classes))
+                own = owner[items].astype(np.int64)
+                best = best_classes(table, own, *sides, loop)
+                moved = best != own
+                yield pa.RecordBatch.from_arrays([pa.array(items[moved], pa.int64()), pa.array(best[moved], pa.int64())], ["item", "class"])
 
     found = edges.select("edges").mapInArrow(run, "item long, class long").toArrow()
     held.destroy()
@@ -384,50 +341,45 @@ def log_likelihood(table: np.ndarray) -> float:
     return float(xlogx(table).sum() - xlogx(table.sum(axis=1)).sum() - xlogx(table.sum(axis=0)).sum())
 
 
-def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int, rounds: int = EXCHANGE_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all items, and the class table, after rounds of moves at the same time.
 
-    A round moves the items of one turn. Moves made together may hurt each other; a round that
-    lowers the likelihood is taken back and turns get smaller. Rounds end when a whole cycle of
-    turns gains no thousandth of a per cent, or after ``rounds``.
+    A round moves the items of one turn. Moves made together may hurt each other: a round that
+    lowers the likelihood is taken back, and turns get smaller. The end is when a cycle of turns,
+    or the rounds between two that are taken back, gain less than LEAST_GAIN, so all but the last
+    few rounds raise the likelihood, which bounds their number.
     """
-    table, turns, turn, idle = class_table(edges, owner, classes), 2, 0, 0
-    for _ in range(rounds):
+    table, turns, turn = class_table(edges, owner, classes), 2, 0
+    now = log_likelihood(table)
+    start, before = now, math.inf  # of the cycle, and the gain of the last one
+    while True:
         item, to = moves(edges, owner, table, turn, turns)
         moved = owner.copy()
         moved[item] = to
         fresh = class_table(edges, moved, classes) if len(item) else table
-        gain = log_likelihood(fresh) - log_likelihood(table)
-        if gain > 0:
-            owner, table = moved, fresh
-        elif len(item):
-            turns *= 2
-        idle = 0 if gain > 1e-5 * abs(log_likelihood(table)) else idle + 1
-        turn = (turn + 1) % turns
-        if idle >= turns:
-            break
-    return owner, table
+        turn += 1
+        taken_back = len(item) and log_likelihood(fresh) <= now
+        if not taken_back:
+            owner, table, now = moved, fresh, log_likelihood(fresh)
+        if taken_back or turn == turns:
+            gain, enough = now - start, LEAST_GAIN * abs(now)
+            if gain <= enough and (not taken_back or before <= enough):
+                return owner, table
+            start, before, turn = now, gain, 0
+            turns *= 2 if taken_back else 1
 
 
 @dataclass
 class ClassModel:
-    """Classes of items, transitions between classes, and class and corpus totals."""
+    """Transitions between classes, and class and corpus totals; its size depends on the classes alone."""
 
-    clustered: DataFrame
-    hashes: np.ndarray
-    owner: np.ndarray
     transition: np.ndarray
     class_total: np.ndarray
+    shape_class: np.ndarray
     tokens: int
     distinct: int
     ends: int
 
-    @property
-    def frequent(self) -> list[bytes]:
-        """The clustered words in the order of their items; for tests, they are not needed to score."""
-        rows = self.clustered.collect()
-        return [w for _, w in sorted((int(r["h"]) & (1 << 64) - 1, bytes(r["word"])) for r in rows)]
-
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return (count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
 
@@ -437,35 +389,48 @@ class ClassModel:
 
 
 def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of the packed training ``docs``, and the saved table (word, n) of all words."""
-    vocabulary = save_table(word_counts(docs), "word-counts")
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = vocabulary.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = vocabulary.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = [bytes(r["word"]) for r in top]
-    clustered = vocabulary.where((F.col("word") != F.lit(END)) & (F.col("n") >= LEAST)).select(F.xxhash64("word").alias("h"), "word")
-    hashes = np.sort(clustered.select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    """The model of the packed training ``docs``, and the saved table (word, n, class) of all words."""
+    spark = docs.sparkSession
+    counts = save_table(word_counts(docs), "word-counts")
+    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    clustered = counts.where((F.col("word") != F.lit(END)) & (F.col("n") >= LEAST)).select(F.xxhash64("word").alias("h"), "n")
+    table = clustered.toArrow()
+    hashes, often = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(hashes)
+    hashes, often = hashes[order], often[order]
+    shapes = counts.where((F.col("word") != F.lit(END)) & (F.col("n") >= LEAST))
+    shape = F.crc32(F.expr(f"substring(word, greatest(octet_length(word) - {SHAPE_BYTES - 1}, 1), {SHAPE_BYTES})")) % SHAPES
+    shaped = shapes.select(F.xxhash64("word").alias("h"), shape.cast("int").alias("s")).toArrow()
+    shape_of_item = np.zeros(len(hashes), np.int64)
+    shape_of_item[np.searchsorted(hashes, shaped.column("h").to_numpy().view(np.uint64))] = shaped.column("s").to_numpy()
+
+    held = spark.sparkContext.broadcast(hashes)
+    edges = neighbours(docs, held, tokens)
     # A class for every word of the cube root of their number.
     classes = max(CLASSES, math.ceil(len(hashes) ** (1 / 3)))
-    first = exchange(item_bigrams(docs, frequent), classes)
-    last = first == classes - 1
-    first = np.where(last, CLASSES - 1, np.where(first == CLASSES - 1, classes - 1, first)) if classes > CLASSES else first
-    dense, owner = Items(frequent), np.zeros(max(FREQUENT, len(hashes)) + SHAPES + 1, np.int64)
-    owner[-SHAPES - 1 :] = first[-SHAPES - 1 :]
-    # Words start in the class of their shape or, if they are in the dense table, in their own.
-    shaped = clustered.select("h", (F.crc32(F.expr(f"substring(word, greatest(octet_length(word) - {SHAPE_BYTES - 1}, 1), {SHAPE_BYTES})")) % SHAPES).alias("s")).toArrow()
-    own_hash = shaped.column("h").to_numpy().view(np.uint64)
-    owner[np.searchsorted(hashes, own_hash)] = first[FREQUENT + shaped.column("s").to_numpy()]
-    items = HashedItems(hashes)
-    for w in frequent:
-        if items[w] < items.base:
-            owner[items[w]] = first[dense[w]]
-    held = docs.sparkSession.sparkContext.broadcast(hashes)
-    owner, table = exchange_all(neighbours(docs, held, tokens), owner, classes)
+    # The first exchange is of the most frequent words and of all shapes; other words go with their shape.
+    top = np.lexsort((hashes, -often))[:FREQUENT]
+    dense = np.concatenate((FREQUENT + shape_of_item, FREQUENT + np.arange(SHAPES), [FREQUENT + SHAPES]))
+    dense[top] = np.arange(len(top))
+    first = exchange(class_table(edges, dense, FREQUENT + SHAPES + 1), classes)
+    if classes > CLASSES:  # the end has class CLASSES - 1
+        first = np.where(first == classes - 1, CLASSES - 1, np.where(first == CLASSES - 1, classes - 1, first))
+    owner, table = exchange_all(edges, first[dense], classes)
+
     total = table.sum(axis=0)
     overall = total / max(total.sum(), 1)
     transition = (table + overall[None, :]) / (table.sum(axis=1, keepdims=True) + 1)
-    return ClassModel(clustered, hashes, owner, transition, total, tokens, distinct, ends), vocabulary
+    place = spark.sparkContext.broadcast(owner.astype(np.int32))
+
+    def add_class(batches):
+        items, owner = Items(held.value), place.value
+        for batch in batches:
+            at = np.fromiter(map(items.__getitem__, batch.column(0).to_pylist()), np.int64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(owner[at], pa.int32())], ["word", "n", "class"])
+
+    vocabulary = save_table(counts.mapInArrow(add_class, "word binary, n long, class int"), "word-classes")
+    return ClassModel(transition, total, owner[len(hashes) : len(hashes) + SHAPES], tokens, distinct, ends), vocabulary
 
 
 # ---------------------------------------------------------------- scores
@@ -481,7 +446,7 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
     """
     blocks = max(partitions(docs), -(-text_bytes(docs) // block_bytes))
     blocked = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
-    held = docs.sparkSession.sparkContext.broadcast(replace(model, clustered=None))  # ten-odd bytes a clustered word
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def distinct_words(table: pa.Table) -> pa.Table:
         found: set[bytes] = set()
@@ -495,8 +460,9 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
         listed = words.column("word").to_pylist()
         place = dict(zip(listed, range(len(listed))))
         count = np.append(words.column("n").to_numpy().astype(float), float(m.ends))
-        items = HashedItems(m.hashes)
-        cls = m.owner[np.fromiter((*map(items.__getitem__, listed), items[END]), np.int64, len(listed) + 1)]
+        cls = np.append(words.column("class").to_numpy(), CLASSES - 1)
+        for i in np.flatnonzero(cls < 0).tolist():  # never seen in training
+            cls[i] = m.shape_class[shape_of(listed[i])]
         plain = m.unigram(count)
         share = m.emission(count, cls) * (MIX if m.tokens else 0.0)
         rest = plain * ((1 - MIX) if m.tokens else 1.0)
@@ -515,7 +481,7 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
 
     by_block = blocked.groupBy("block")
     words = by_block.applyInArrow(distinct_words, "block int, word binary")
-    known = words.join(vocabulary, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    known = words.join(vocabulary, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"))
     return by_block.cogroup(known.groupBy("block")).applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
 
 

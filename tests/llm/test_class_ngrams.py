@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from pathloom.llm import class_ngrams as c
@@ -40,10 +41,10 @@ def test_model_scores_and_beats_the_unigram(spark):
     m, vocabulary = c.fit(base_docs.where(F.crc32(F.col("id").cast("string").cast("binary")) % 10 != 0).select("text"))
     one = docs.where("length(text) < 300").orderBy("doc_id").first()
     words = one["text"].encode().lower().split() + [c.END]
-    counts = {bytes(r["word"]): r["n"] for r in vocabulary.where(F.col("word").isin(words)).collect()}
-    items, before, total = c.Items(m.frequent), c.CLASSES - 1, 0.0
+    known = {bytes(r["word"]): (r["n"], r["class"]) for r in vocabulary.where(F.col("word").isin(words)).collect()}
+    before, total = c.CLASSES - 1, 0.0
     for w in words:
-        k, cls = counts.get(w, 0), m.owner[items[w]]
+        k, cls = known.get(w, (0, m.shape_class[c.shape_of(w)]))
         p = c.MIX * m.transition[before, cls] * k / m.class_total[cls] + (1 - c.MIX) * float(m.unigram(np.array(k)))
         total += math.log10(p)
         before = cls
@@ -51,11 +52,17 @@ def test_model_scores_and_beats_the_unigram(spark):
     assert math.isclose(got, total, rel_tol=1e-9)
 
 
-def test_item_bigrams(spark):
+def test_neighbours(spark):
     docs = spark.createDataFrame([("a b a",), ("",), ("a zz",)], "text string")
-    table = c.item_bigrams(docs, [b"a", b"b"])
-    end, zz = c.FREQUENT + c.SHAPES, c.Items([b"a", b"b"])[b"zz"]
-    want = {(end, 0): 2, (0, 1): 1, (1, 0): 1, (0, end): 1, (end, end): 1, (0, zz): 1, (zz, end): 1}
+    hashes = np.sort(np.array([xxhash.xxh64_intdigest(w, 42) for w in (b"a", b"b")], np.uint64))
+    edges = c.neighbours(docs, spark.sparkContext.broadcast(hashes), 8)
+    items = c.Items(hashes)
+    x, y, zz, end = (items[w] for w in (b"a", b"b", b"zz", c.END))
+    want = {(end, x): 2, (x, y): 1, (y, x): 1, (x, end): 1, (end, end): 1, (x, zz): 1, (zz, end): 1}
+    rows = [c.opened_edges(r["edges"]) for r in edges.collect()]
+    found = {(int(e), int(o)): int(n) for block in rows for e, o, n in block.T}
+    assert found == {(2 * p, q): n for (p, q), n in want.items()} | {(2 * q + 1, p): n for (p, q), n in want.items()}
+    table = c.class_table(edges, np.arange(end + 1), end + 1)
     assert {tuple(map(int, at)): int(table[tuple(at)]) for at in np.argwhere(table)} == want
 
 
@@ -87,27 +94,24 @@ def test_words_beyond_the_most_frequent_move_on_their_own(spark):
     """1,200 words with one ending, of two kinds of context."""
     text = lambda i: " ".join(f"left {'a' if k % 2 else 'b'}{k}zzz {'one' if k % 2 else 'two'}" for k in range(i, 1200, 4))
     docs = packed(spark.createDataFrame([(i, text(i % 4)) for i in range(48)], "doc_id long, text string"))
-    m, _ = c.fit(docs.select("text"))
-    items = c.Items(m.frequent)
-    kinds = [Counter(m.owner[items[f"{x}{k}zzz".encode()]] for k in range(1200) if (k % 2 == 1) == (x == "a")) for x in "ab"]
-    assert all(len({items[f"{x}{k}zzz".encode()] for k in range(1200) if (k % 2 == 1) == (x == "a")}) == 600 for x in "ab")
-    assert not kinds[0].keys() & kinds[1].keys()
+    _, vocabulary = c.fit(docs.select("text"))
+    of = {bytes(r["word"]).decode(): r["class"] for r in vocabulary.collect()}
+    kinds = [{k for w, k in of.items() if w.startswith(x) and w.endswith("zzz")} for x in "ab"]
+    assert len(of) == 1204 and not kinds[0] & kinds[1]
 
 
-def test_best_class_is_that_of_all_moves():
+def test_best_classes_are_those_of_all_moves(monkeypatch):
+    monkeypatch.setattr(c, "HELD_GAINS", 5000)
     rng, classes = np.random.default_rng(2), c.CLASSES + 2
     b, owner = rng.integers(0, 9, (120, 120)) * (rng.random((120, 120)) < 0.2), rng.integers(0, classes, 120)
     m = np.eye(classes)[owner]
     table = m.T @ b @ m
-    for i in range(40):
-        each = np.array(b[i], float), np.array(b[:, i], float)
-        for e in each:
-            e[i] = 0
-        to, of = (np.bincount(owner, e, classes) for e in each)
-        found = c.best_class(table, table.sum(axis=1), table.sum(axis=0), int(owner[i]), to, of, float(b[i, i]))
+    alone = b - np.diag(b.diagonal())
+    found = c.best_classes(table, owner, (alone @ m), (alone.T @ m), b.diagonal().astype(float))
+    for i in range(60):
         value = []
         for k in range(classes):
             moved = owner.copy()
             moved[i] = k
             value.append(-np.inf if k == c.CLASSES - 1 else likelihood(b, moved, classes))
-        assert math.isclose(value[found], max(value), rel_tol=1e-9)
+        assert math.isclose(value[found[i]], max(value), rel_tol=1e-9)
