@@ -214,7 +214,7 @@ def xlogx(x: np.ndarray) -> np.ndarray:
 def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """The class of each item; the last item, the end, has the last class to itself.
 
-    Items start dealt over the classes by falling frequency. In each round every item is taken
+    At the start the most frequent items have a class each, all others the last open one. In each round every item is taken
     out of its class and put where the class bigram likelihood
 
         sum N(g,h) log N(g,h) - sum N(g,.) log N(g,.) - sum N(.,h) log N(.,h)
@@ -229,7 +229,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     owner = np.zeros(n, int)
     owner[n - 1] = classes - 1
     for place, i in enumerate(order):
-        owner[i] = place % open_classes
+        owner[i] = min(place, open_classes - 1)
     member = np.eye(classes)[owner]
     table = member.T @ b @ member
     moved = 1
@@ -264,8 +264,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return owner
 
 
-def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndarray, loop: np.ndarray) -> np.ndarray:
-    """Where :func:`exchange` would put each item alone.
+def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndarray, loop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where :func:`exchange` would put each item alone, and what the likelihood's logarithm gains by it.
 
     ``own`` are the items' classes; ``to`` and ``of`` (items by classes) count their neighbours to
     the right and to the left by class, without ``loop``, the item next to itself.
@@ -297,7 +297,8 @@ def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndar
         gain -= xlogx(rest + size[:, None]) - xlogx(rest)
     gain[:, CLASSES - 1] = -np.inf
     best = gain.argmax(axis=1)
-    return np.where(gain[every, best] > gain[every, own] + 1e-7, best, own)
+    best = np.where(gain[every, best] > gain[every, own] + 1e-7, best, own)
+    return best, gain[every, best] - gain[every, own]
 
 
 def _add_runs(total: np.ndarray, rows: np.ndarray, part: np.ndarray) -> None:
@@ -306,8 +307,8 @@ def _add_runs(total: np.ndarray, rows: np.ndarray, part: np.ndarray) -> None:
     total[rows[first]] += np.add.reduceat(part, first, axis=0)
 
 
-def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, turn: int, turns: int) -> np.ndarray:
-    """(item, class) of the items of a turn that a move alone would help."""
+def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Items of a turn that a move alone would help, their new classes, and the sum of what each alone would gain."""
     classes, held = len(table), edges.sparkSession.sparkContext.broadcast((owner.astype(np.int32), table))
 
     def run(batches):
@@ -328,13 +329,13 @@ def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, turn: int, tur
                 for side in (right & ~loops, ~right & ~loops):
                     sides.append(np.bincount(place[side] * classes + owner[other[side]], n[side], len(items) * classes).reshape(-1, classes))
                 own = owner[items].astype(np.int64)
-                best = best_classes(table, own, *sides, loop)
+                best, gain = best_classes(table, own, *sides, loop)
                 moved = best != own
-                yield pa.RecordBatch.from_arrays([pa.array(items[moved], pa.int64()), pa.array(best[moved], pa.int64())], ["item", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(items[moved], pa.int64()), pa.array(best[moved], pa.int64()), pa.array(gain[moved])], ["item", "class", "gain"])
 
-    found = edges.select("edges").mapInArrow(run, "item long, class long").toArrow()
+    found = edges.select("edges").mapInArrow(run, "item long, class long, gain double").toArrow()
     held.destroy()
-    return np.stack((found.column("item").to_numpy(), found.column("class").to_numpy()))
+    return found.column("item").to_numpy(), found.column("class").to_numpy(), float(found.column("gain").to_numpy().sum())
 
 
 def log_likelihood(table: np.ndarray) -> float:
@@ -345,28 +346,29 @@ def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int) -> tuple[np.
     """Classes of all items, and the class table, after rounds of moves at the same time.
 
     A round moves the items of one turn. Moves made together may hurt each other: a round that
-    lowers the likelihood is taken back, and turns get smaller. The end is when a cycle of turns,
-    or the rounds between two that are taken back, gain less than LEAST_GAIN, so all but the last
-    few rounds raise the likelihood, which bounds their number.
+    lowers the likelihood is taken back, and turns get smaller, down to single items, whose moves
+    help. The end is when a whole cycle of turns gains less than LEAST_GAIN, or when the moves of
+    a turn would gain no more than its share of that if none hurt another.
     """
     table, turns, turn = class_table(edges, owner, classes), 2, 0
-    now = log_likelihood(table)
-    start, before = now, math.inf  # of the cycle, and the gain of the last one
+    now = start = log_likelihood(table)
     while True:
-        item, to = moves(edges, owner, table, turn, turns)
+        enough = LEAST_GAIN * abs(now)
+        item, to, promised = moves(edges, owner, table, turn, turns)
         moved = owner.copy()
         moved[item] = to
         fresh = class_table(edges, moved, classes) if len(item) else table
         turn += 1
-        taken_back = len(item) and log_likelihood(fresh) <= now
-        if not taken_back:
-            owner, table, now = moved, fresh, log_likelihood(fresh)
-        if taken_back or turn == turns:
-            gain, enough = now - start, LEAST_GAIN * abs(now)
-            if gain <= enough and (not taken_back or before <= enough):
+        if len(item) and log_likelihood(fresh) <= now:
+            if promised * turns <= enough:
                 return owner, table
-            start, before, turn = now, gain, 0
-            turns *= 2 if taken_back else 1
+            start, turn, turns = now, 0, turns * 2
+            continue
+        owner, table, now = moved, fresh, log_likelihood(fresh)
+        if turn == turns:
+            if now - start <= enough:
+                return owner, table
+            start, turn = now, 0
 
 
 @dataclass

@@ -107,7 +107,7 @@ def test_best_classes_are_those_of_all_moves(monkeypatch):
     m = np.eye(classes)[owner]
     table = m.T @ b @ m
     alone = b - np.diag(b.diagonal())
-    found = c.best_classes(table, owner, (alone @ m), (alone.T @ m), b.diagonal().astype(float))
+    found, gain = c.best_classes(table, owner, (alone @ m), (alone.T @ m), b.diagonal().astype(float))
     for i in range(60):
         value = []
         for k in range(classes):
@@ -115,3 +115,4 @@ def test_best_classes_are_those_of_all_moves(monkeypatch):
             moved[i] = k
             value.append(-np.inf if k == c.CLASSES - 1 else likelihood(b, moved, classes))
         assert math.isclose(value[found[i]], max(value), rel_tol=1e-9)
+        assert math.isclose(gain[i], value[found[i]] - value[owner[i]], abs_tol=1e-6) or owner[i] == c.CLASSES - 1

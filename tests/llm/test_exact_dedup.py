@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pathloom.llm import quotient_filter as q
 from pathloom.llm.exact_dedup import exact_dedup
@@ -57,5 +58,22 @@ def test_repeated_winner_is_kept_once(spark):
     assert sum(r["kept"] for r in found) == 1 and all(r["keep_id"] == 1 and r["group_size"] == 4 for r in found)
 
 
+def test_clashing_fingerprints_are_told_apart_by_bytes(edge, edge_rows):
+    """One fingerprint for all texts, or for two texts only."""
+    for clash in (lambda norm: F.lit(7).cast("long"), lambda norm: F.when(F.length(norm) < 15, 7).otherwise(F.xxhash64(norm)).cast("long")):
+        found = exact_dedup(edge, fingerprint=clash).collect()
+        want = brute(edge_rows)
+        assert sorted(str((r["row"]["doc_id"], r["row"]["text"], r["keep_id"], r["group_size"], r["text_sha256"])) for r in found) == sorted(str((x[0], x[1], *want[x[0], x[1]])) for x in edge_rows)
+        kept = [r["text_sha256"] for r in found if r["kept"]]
+        assert len(kept) == len(set(kept)) == len({v[2] for v in want.values()})
+
+
+def test_null_ids_with_one_text(spark):
+    rows = [(None, "same", i) for i in range(40)] + [(3, "other", 0)]
+    found = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, fp int").repartition(4)).collect()
+    assert sum(r["kept"] for r in found) == 2 and {(r["keep_id"], r["group_size"]) for r in found} == {(None, 40), (3, 1)}
+    assert sorted(r["row"]["fp"] for r in found) == sorted(r[2] for r in rows)
+
+
 def test_empty(none):
     assert exact_dedup(none).count() == 0
