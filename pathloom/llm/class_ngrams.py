@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,40 +56,55 @@ BLOCK_BYTES = 8 << 20
 #: Numbers in a matrix that a task makes to compare classes.
 HELD_GAINS = 2_000_000
 
+#: How many times a count a cell must be for the series of a gain.
+SERIES = 20
 
-def words_of(text: str) -> list[bytes]:
-    """Words with A-Z lower-cased; anything but ASCII white space belongs to a word."""
-    return text.encode().lower().split()
+#: Parts of a block of items: a power of two.
+PARTS = 16
+
+
+def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after another, with A-Z lower-cased, and how many each text has.
+
+    Anything but ASCII white space belongs to a word.
+    """
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    words, edges = lists.values, lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
+    return words.filter(real), np.diff(before[edges])
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
+    """The ids of the texts' words with the end before each text."""
+    return np.insert(ids, np.cumsum(counts) - counts, end)
 
 
 def shape_of(word: bytes) -> int:
     return zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
 
 
-class Items(dict):
+class Items:
     """The item number of each word: its place among the ascending hashes of clustered words, else its shape's, then the end's.
 
     Workers get eight bytes a clustered word, not the words.
     """
 
     def __init__(self, hashes: np.ndarray):
-        super().__init__()
         self.hashes, self.base = hashes, len(hashes)
-        self[END] = self.base + SHAPES
+        self.end = self.base + SHAPES
 
-    def __missing__(self, word: bytes) -> int:
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The items of words that are not the end."""
         from xxhash import xxh64_intdigest
 
-        if len(self) > HELD_WORDS:
-            self.clear()
-            self[END] = self.base + SHAPES
-            if word == END:
-                return self[END]
-        h = np.uint64(xxh64_intdigest(word, 42))
-        at = int(np.searchsorted(self.hashes, h))
-        if at == self.base or self.hashes[at] != h:
-            at = self.base + shape_of(word)
-        self[word] = at
+        h = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+        at = np.searchsorted(self.hashes, h)
+        other = np.flatnonzero(self.hashes[np.minimum(at, self.base - 1)] != h) if self.base else np.arange(len(words))
+        at[other] = [self.base + shape_of(words[i]) for i in other.tolist()]
         return at
 
 
@@ -99,88 +114,114 @@ class Items(dict):
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, count) over the packed ``docs``, one end per document among them."""
 
-    def run(batches):
-        counts = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+    def total(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                counts[END] += 1
-                if len(counts) > HELD_WORDS:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
+            words, counts = words_of(batch.column(0))
+            found = words.value_counts()
+            held.append(pa.table({"word": found.field(0).cast(pa.large_binary()), "n": found.field(1)}))
+            held.append(pa.table({"word": pa.array([END], pa.large_binary()), "n": pa.array([len(counts)], pa.int64())}))
+            size += len(found)
+            if size > HELD_WORDS:
+                held = [total(held)]
+                size = len(held[0])
+                if size > HELD_WORDS // 2:
+                    yield from as_batches(held[0])
+                    held, size = [], 0
+        if held:
+            yield from as_batches(total(held))
+
+    def as_batches(table):
+        for part in table.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches(100_000):
+            if len(part):
+                yield part
 
     local = docs.select("text").mapInArrow(run, "word binary, n long")
     return local.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def packed_edges(edges: np.ndarray) -> bytes:
-    """(2 * item + direction, neighbour, count) columns as bytes; four bytes a number where that is enough."""
+    """(item, neighbour, count) columns as bytes; four bytes a number where that is enough."""
     kind = "<u4" if not edges.size or edges.max() < 1 << 32 else "<u8"
-    return kind[2:].encode() + zlib.compress(edges.astype(kind).tobytes(), 1)
+    raw = edges.astype(kind).tobytes()
+    return kind[2:].encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def opened_edges(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), "<u" + blob[:1].decode()).reshape(3, -1).astype(np.int64)
+    raw = pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, "<u" + blob[:1].decode()).reshape(3, -1)
 
 
-def summed(ends: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+def summed(item: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """Edges in order, each once with its total."""
-    key = ends * size + other
+    key = item.astype(np.int64) * size + other
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    return np.stack((key[first] // size, key[first] % size, np.add.reduceat(n[order], first) if len(key) else n))
+    return np.stack((key[first] // size, key[first] % size, np.add.reduceat(n[order].astype(np.int64), first) if len(key) else n.astype(np.int64)))
+
+
+def mixed(item: np.ndarray) -> np.ndarray:
+    """A number that deals items over parts and turns."""
+    return item.astype(np.int64) * 0x9E3779B1 >> 8
 
 
 def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
-    """(block, edges): twice an item plus the direction (0 to the right), its neighbour, and how often.
+    """(part, right, left): the items of a part with their neighbours on either side, and how often they are.
 
-    All edges of an item are in one block; there is a block for every HELD_PAIRS tokens. ``held``
-    is the broadcast array of hashes. Every text begins and ends with the end.
+    There are blocks of items, one for every HELD_PAIRS tokens, each in PARTS parts; all edges of an
+    item are in one row. ``held`` is the broadcast array of hashes. Every text begins and ends
+    with the end.
     """
     blocks = max(partitions(docs), -(-tokens // HELD_PAIRS))
 
     def run(batches):
         items = Items(held.value)
-        end, size = items.base + SHAPES, items.base + SHAPES + 1
+        size = items.end + 1
 
-        def out(parts):
-            key, n = np.unique(np.concatenate(parts), return_counts=True)
+        def out(words, counts):
+            found = pa.chunked_array(words).combine_chunks().dictionary_encode()
+            ids = items.of(found.dictionary.cast(pa.large_binary()).to_pylist())[found.indices.to_numpy()]
+            a = with_ends(ids, np.concatenate(counts), items.end)
+            key, n = np.unique(a * size + np.append(a[1:], items.end), return_counts=True)
             a, b = key // size, key % size
-            ends, other, n = np.concatenate((2 * a, 2 * b + 1)), np.concatenate((b, a)), np.concatenate((n, n))
-            block = ends // 2 % blocks
-            order = np.argsort(block, kind="stable")
-            edges, block = np.stack((ends, other, n))[:, order], block[order]
-            first = np.flatnonzero(np.diff(block, prepend=-1))
-            blobs = [packed_edges(e) for e in np.split(edges, first[1:], axis=1)]
-            return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(blobs, pa.binary())], ["block", "edges"])
-
-        parts, count = [], 0
+            rows = []
+            for side, (item, other) in enumerate(((a, b), (b, a))):
+                block = item % blocks
+                order = np.argsort(block, kind="stable")
+                edges, block = np.stack((item, other, n))[:, order], block[order]
+                first = np.flatnonzero(np.diff(block, prepend=-1))
+                rows += [(k, side, packed_edges(e)) for k, e in zip(block[first].tolist(), np.split(edges, first[1:], axis=1))]
+            cols = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["block", "side", "edges"])
+
+        words, counts, held_now = [], [], 0
         for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                ids = np.fromiter(map(items.__getitem__, words), np.int64, len(words))
-                parts.append(np.concatenate(([end], ids)) * size + np.concatenate((ids, [end])))
-                count += len(parts[-1])
-                if count > HELD_PAIRS:
-                    yield out(parts)
-                    parts, count = [], 0
-        if parts:
-            yield out(parts)
+            found, each = words_of(batch.column(0))
+            words.append(found)
+            counts.append(each)
+            held_now += len(found)
+            if held_now > HELD_PAIRS:
+                yield out(words, counts)
+                words, counts, held_now = [], [], 0
+        if counts:
+            yield out(words, counts)
 
     def merge(table: pa.Table) -> pa.Table:
         size = len(held.value) + SHAPES + 1
-        edges = summed(*np.concatenate([opened_edges(b) for b in table.column("edges").to_pylist()], axis=1), size)
-        return pa.table({"block": table.column("block").slice(0, 1), "edges": pa.array([packed_edges(edges)], pa.binary())})
+        sides, cols = table.column("side").to_numpy(), [[], []]
+        for side in (0, 1):
+            blobs = [b for b, s in zip(table.column("edges").to_pylist(), sides) if s == side]
+            edges = summed(*np.concatenate([opened_edges(b) for b in blobs], axis=1), size)
+            part = mixed(edges[0]) % PARTS
+            cols[side] = [packed_edges(edges[:, part == k]) for k in range(PARTS)]
+        return pa.table({"part": pa.array(range(PARTS), pa.int32()), "right": pa.array(cols[0], pa.binary()), "left": pa.array(cols[1], pa.binary())})
 
-    kind = "block int, edges binary"
-    return save_table(docs.select("text").mapInArrow(run, kind).groupBy("block").applyInArrow(merge, kind), "word-neighbours")
+    dealt = docs.select("text").mapInArrow(run, "block int, side int, edges binary")
+    return save_table(dealt.groupBy("block").applyInArrow(merge, "part int, right binary, left binary"), "word-neighbours")
 
 
 def class_table(edges: DataFrame, owner: np.ndarray, classes: int) -> np.ndarray:
@@ -191,13 +232,12 @@ def class_table(edges: DataFrame, owner: np.ndarray, classes: int) -> np.ndarray
         table, owner = np.zeros(classes * classes), held.value
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                ends, other, n = opened_edges(blob)
-                right = ends % 2 == 0
-                table += np.bincount(owner[ends[right] // 2] * np.int64(classes) + owner[other[right]], n[right], classes * classes)
+                item, other, n = opened_edges(blob)
+                table += np.bincount(owner[item] * np.int64(classes) + owner[other], n, classes * classes)
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(table[at].astype(np.int64))], ["at", "n"])
 
-    found = edges.select("edges").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = edges.select("right").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(classes * classes)
     table[found.column("at").to_numpy()] = found.column("n").to_numpy()
     held.destroy()
@@ -211,11 +251,12 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """The class of each item; the last item, the end, has the last class to itself.
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, owner: np.ndarray | None = None, movable: int | None = None) -> np.ndarray:
+    """The class of each item; the last item, the end, has the class ``CLASSES - 1`` or the last one to itself.
 
-    At the start the most frequent items have a class each, all others the last open one. In each round every item is taken
-    out of its class and put where the class bigram likelihood
+    At the start the most frequent items have a class each, all others the last open one, unless
+    ``owner`` gives the classes. In each round every item, or every one of the first ``movable``, is
+    taken out of its class and put where the class bigram likelihood
 
         sum N(g,h) log N(g,h) - sum N(g,.) log N(g,.) - sum N(.,h) log N(.,h)
 
@@ -224,12 +265,15 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     n = len(bigrams)
     b = bigrams.astype(float)
     count = b.sum(axis=0)
-    order = [i for i in np.lexsort((np.arange(n), -count)).tolist() if i != n - 1 and count[i] + b[i].sum() > 0]
-    open_classes = classes - 1
-    owner = np.zeros(n, int)
-    owner[n - 1] = classes - 1
-    for place, i in enumerate(order):
-        owner[i] = min(place, open_classes - 1)
+    order = [i for i in np.lexsort((np.arange(n), -count)).tolist() if i < (n - 1 if movable is None else movable) and count[i] + b[i].sum() > 0]
+    closed = classes - 1 if owner is None else CLASSES - 1
+    if owner is None:
+        owner = np.zeros(n, int)
+        owner[n - 1] = closed
+        for place, i in enumerate(order):
+            owner[i] = min(place, classes - 2)
+    else:
+        owner = owner.copy()
     member = np.eye(classes)[owner]
     table = member.T @ b @ member
     moved = 1
@@ -254,8 +298,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             both = xlogx(table[diagonal, diagonal] + to + of + loop) - base[diagonal, diagonal]
             gain = gain_rows.sum(axis=1) - gain_rows[diagonal, diagonal] + gain_cols.sum(axis=0) - gain_cols[diagonal, diagonal] + both
             gain -= xlogx(rows + sent) - xlogx(rows) + xlogx(cols + got) - xlogx(cols)
-            best = int(gain[:open_classes].argmax())
-            new = best if gain[best] > gain[own] + 1e-7 else own
+            gain[closed] = -np.inf
+            best = int(gain.argmax())
+            new = best if gain[best] > gain[own] + 1e-5 else own
             table[new] += to
             table[:, new] += of
             table[new, new] += loop
@@ -271,23 +316,8 @@ def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndar
     the right and to the left by class, without ``loop``, the item next to itself.
     """
     n, classes = to.shape
-    k, every = np.arange(classes), np.arange(n)
-    gain = np.zeros((n, classes))
-    # Classes on the right: adding an item to class g adds its counts to row g. The left is the same, transposed.
-    for counts, others, t in ((to, of, table.T), (of, to, table)):
-        item, h = np.nonzero(counts)
-        step = max(1, HELD_GAINS // classes)
-        for at in range(0, len(item), step):
-            i, c = item[at : at + step], h[at : at + step]
-            cell = t[c].copy()  # by candidate class, without the item
-            rows, mine, add = np.arange(len(i)), own[i], counts[i, c][:, None]
-            cell[rows, mine] -= add[:, 0]
-            at_home = c == mine
-            cell[at_home] -= others[i[at_home]]
-            cell[rows[at_home], mine[at_home]] = 0  # the diagonal is counted apart
-            part = xlogx(cell + add) - xlogx(cell)
-            part[rows, c] = 0
-            np.add.at(gain, i, part) if len(i) < 64 else _add_runs(gain, i, part)
+    every = np.arange(n)
+    gain = neighbour_gains(table.T, own, to, of) + neighbour_gains(table, own, of, to)
     diagonal = np.broadcast_to(table.diagonal(), (n, classes)).copy()
     diagonal[every, own] -= to[every, own] + of[every, own] + loop
     gain += xlogx(diagonal + to + of + loop[:, None]) - xlogx(diagonal)
@@ -297,43 +327,101 @@ def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndar
         gain -= xlogx(rest + size[:, None]) - xlogx(rest)
     gain[:, CLASSES - 1] = -np.inf
     best = gain.argmax(axis=1)
-    best = np.where(gain[every, best] > gain[every, own] + 1e-7, best, own)
+    best = np.where(gain[every, best] > gain[every, own] + 1e-5, best, own)
     return best, gain[every, best] - gain[every, own]
 
 
-def _add_runs(total: np.ndarray, rows: np.ndarray, part: np.ndarray) -> None:
-    """Add the rows of ``part`` to ascending rows of ``total``."""
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
-    total[rows[first]] += np.add.reduceat(part, first, axis=0)
+def neighbour_gains(cells: np.ndarray, own: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What each item (row) adds in each class (column) to the cells of its neighbours' classes, apart from the diagonal.
+
+    ``cells[h, g]`` are the counts of class g beside class h. With a count a at h, a class gains
+    f(c + a) - f(c) for f(x) = x log x and its cell c, which is the series
 
+        a (1 + log c) + a^2 / 2c - a^3 / 6c^2 + ...
 
-def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Items of a turn that a move alone would help, their new classes, and the sum of what each alone would gain."""
-    classes, held = len(table), edges.sparkSession.sparkContext.broadcast((owner.astype(np.int32), table))
+    Sums over h of its terms are products of matrices. Cells that are not SERIES times as large as the
+    count get the exact difference instead, and so do the item's own class, whose cells are
+    without it, and its own class among the neighbours.
+    """
+    n, classes = counts.shape
+    every = np.arange(n)
+    rest = counts.copy()
+    rest[every, own] = 0
+    usable = (cells > 0) & ~np.eye(classes, dtype=bool)
+    safe = np.where(usable, cells, 1.0)
+    terms = [np.where(usable, 1 + np.log(safe), 0.0), *[np.where(usable, (-1.0) ** k / (k * (k - 1) * safe ** (k - 1)), 0.0) for k in range(2, 6)]]
+    # An item takes part in the series at h only for the classes with large cells: all others are put right one by one.
+    item, h = np.nonzero(rest)
+    a = rest[item, h]
+    order = np.argsort(cells, axis=1, kind="stable")
+    ascending = np.take_along_axis(cells, order, axis=1)
+    few = np.empty(len(a), np.int64)
+    by_class = np.argsort(h, kind="stable")
+    edge = np.searchsorted(h[by_class], np.arange(classes + 1))
+    for k in range(classes):
+        mine = by_class[edge[k] : edge[k + 1]]
+        few[mine] = np.searchsorted(ascending[k], SERIES * a[mine])
+    # Where all cells are small, the series would only lose digits.
+    whole = few * 2 > classes
+    rest[item[whole], h[whole]] = 0
+    few[whole] = classes
+    gain = np.zeros((n, classes))
+    power = rest
+    for term in terms:
+        gain += power @ term
+        power = power * rest
+    for at in range(0, len(a), step := max(1, HELD_GAINS // classes)):
+        some = slice(at, at + step)
+        size = few[some]
+        e = np.repeat(np.arange(at, at + len(size)), size)
+        g = order[h[e], np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)]
+        c, x = cells[h[e], g], a[e]
+        exact = np.where(g == h[e], 0.0, xlogx(c + x) - xlogx(c))
+        series = sum(x ** (k + 1) * term[h[e], g] for k, term in enumerate(terms))
+        gain += np.bincount(item[e] * classes + g, exact - np.where(whole[e], 0.0, series), n * classes).reshape(n, classes)
+    # The item's own class, without the item.
+    item, h = np.nonzero(counts)
+    c, x, mine = cells[h, own[item]], counts[item, h], h == own[item]
+    gain[every, own] = np.bincount(item, np.where(mine, 0.0, xlogx(c) - xlogx(np.where(mine, 0.0, c - x))), n)
+    # Its own class among the neighbours, whose cells are without the other side's counts.
+    home = np.flatnonzero(counts[every, own])
+    x, c = counts[home, own[home]][:, None], cells[own[home]] - others[home]
+    part = np.where(c < 0, 0.0, xlogx(np.maximum(c, 0) + x) - xlogx(np.maximum(c, 0)))
+    part[np.arange(len(home)), own[home]] = 0
+    gain[home] += part
+    return gain
+
+
+def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, still: np.ndarray, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Items of a turn that a move alone would help, their new classes, and the sum of what each alone would gain.
+
+    The items of ``still`` (ascending) do not move.
+    """
+    classes, held = len(table), edges.sparkSession.sparkContext.broadcast((owner.astype(np.int32), table, still))
 
     def run(batches):
-        owner, table = held.value
+        owner, table, still = held.value
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                ends, other, n = opened_edges(blob)
-                item = ends // 2
-                mixed = (item * np.int64(0x9E3779B1) >> 8) % turns
-                mine = (mixed == turn) & (item != len(owner) - 1)
-                ends, other, n = ends[mine], other[mine], n[mine]
-                if not len(ends):
+            for right, left in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sides = [opened_edges(right), opened_edges(left)]
+                items = np.union1d(sides[0][0], sides[1][0]).astype(np.int64)
+                items = items[(mixed(items) % turns == turn) & ~np.isin(items, still)]
+                if not len(items):
                     continue
-                items, place = np.unique(ends // 2, return_inverse=True)
-                right, loops = ends % 2 == 0, other == ends // 2
-                loop = np.bincount(place[right & loops], n[right & loops], len(items))
-                sides = []
-                for side in (right & ~loops, ~right & ~loops):
-                    sides.append(np.bincount(place[side] * classes + owner[other[side]], n[side], len(items) * classes).reshape(-1, classes))
+                vectors = []
+                for item, other, n in sides:
+                    place = np.minimum(np.searchsorted(items, item), len(items) - 1)
+                    mine = items[place] == item
+                    place, other, n, loops = place[mine], other[mine], n[mine], (item == other)[mine]
+                    vectors.append(np.bincount(place[~loops] * classes + owner[other[~loops]], n[~loops], len(items) * classes).reshape(-1, classes))
+                    loop = np.bincount(place[loops], n[loops], len(items))  # either side has them all
                 own = owner[items].astype(np.int64)
-                best, gain = best_classes(table, own, *sides, loop)
+                best, gain = best_classes(table, own, *vectors, loop)
                 moved = best != own
                 yield pa.RecordBatch.from_arrays([pa.array(items[moved], pa.int64()), pa.array(best[moved], pa.int64()), pa.array(gain[moved])], ["item", "class", "gain"])
 
-    found = edges.select("edges").mapInArrow(run, "item long, class long, gain double").toArrow()
+    mine = edges.where(F.col("part") % min(turns, PARTS) == turn % PARTS)
+    found = mine.select("right", "left").mapInArrow(run, "item long, class long, gain double").toArrow()
     held.destroy()
     return found.column("item").to_numpy(), found.column("class").to_numpy(), float(found.column("gain").to_numpy().sum())
 
@@ -342,33 +430,49 @@ def log_likelihood(table: np.ndarray) -> float:
     return float(xlogx(table).sum() - xlogx(table.sum(axis=1)).sum() - xlogx(table.sum(axis=0)).sum())
 
 
-def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all items, and the class table, after rounds of moves at the same time.
+def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all items, and the class table, after cycles of two kinds of moves; item ``len(owner) - 1`` is the end.
 
-    A round moves the items of one turn. Moves made together may hurt each other: a round that
-    lowers the likelihood is taken back, and turns get smaller, down to single items, whose moves
-    help. The end is when a whole cycle of turns gains less than LEAST_GAIN, or when the moves of
-    a turn would gain no more than its share of that if none hurt another.
+    The items of ``top``, the most frequent ones, which touch most others, move one after another,
+    while the rest counts by its classes only and stays. Then the rest moves in turns, the items
+    of a turn at the same time. Moves made together may hurt each other: a turn that lowers the
+    likelihood is taken back, and turns get smaller, down to single items, whose moves help. The
+    end is when a cycle gains less than LEAST_GAIN, or when the moves of a turn would gain no more
+    than its share of that if none hurt another.
     """
-    table, turns, turn = class_table(edges, owner, classes), 2, 0
-    now = start = log_likelihood(table)
+    turns, still = 2, np.sort(np.append(top, len(owner) - 1))
     while True:
-        enough = LEAST_GAIN * abs(now)
-        item, to, promised = moves(edges, owner, table, turn, turns)
-        moved = owner.copy()
-        moved[item] = to
-        fresh = class_table(edges, moved, classes) if len(item) else table
-        turn += 1
-        if len(item) and log_likelihood(fresh) <= now:
-            if promised * turns <= enough:
-                return owner, table
-            start, turn, turns = now, 0, turns * 2
-            continue
-        owner, table, now = moved, fresh, log_likelihood(fresh)
-        if turn == turns:
-            if now - start <= enough:
+        dense = len(top) + owner
+        dense[top] = np.arange(len(top))
+        bigrams = class_table(edges, dense, len(top) + classes)
+        first = np.concatenate((owner[top], np.arange(classes)))
+        start = log_likelihood(merged(bigrams, first, classes))
+        after = exchange(bigrams, classes, first, len(top))
+        owner = owner.copy()
+        owner[top] = after[: len(top)]
+        table = merged(bigrams, after, classes)
+        now = log_likelihood(table)
+        turn, taken_back = 0, False
+        while turn < turns and not taken_back:
+            item, to, promised = moves(edges, owner, table, still, turn, turns)
+            moved = owner.copy()
+            moved[item] = to
+            fresh = class_table(edges, moved, classes) if len(item) else table
+            taken_back = len(item) and log_likelihood(fresh) <= now
+            if taken_back and promised * turns > LEAST_GAIN * abs(now):
+                turns *= 2
+            elif taken_back:
                 return owner, table
-            start, turn = now, 0
+            else:
+                owner, table, now, turn = moved, fresh, log_likelihood(fresh), turn + 1
+        if not taken_back and now - start <= LEAST_GAIN * abs(now):
+            return owner, table
+
+
+def merged(bigrams: np.ndarray, owner: np.ndarray, classes: int) -> np.ndarray:
+    """The class table of a table of items."""
+    member = np.eye(classes)[owner]
+    return member.T @ bigrams @ member
 
 
 @dataclass
@@ -418,7 +522,7 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     first = exchange(class_table(edges, dense, FREQUENT + SHAPES + 1), classes)
     if classes > CLASSES:  # the end has class CLASSES - 1
         first = np.where(first == classes - 1, CLASSES - 1, np.where(first == CLASSES - 1, classes - 1, first))
-    owner, table = exchange_all(edges, first[dense], classes)
+    owner, table = exchange_all(edges, first[dense], classes, top)
 
     total = table.sum(axis=0)
     overall = total / max(total.sum(), 1)
@@ -428,7 +532,8 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     def add_class(batches):
         items, owner = Items(held.value), place.value
         for batch in batches:
-            at = np.fromiter(map(items.__getitem__, batch.column(0).to_pylist()), np.int64, len(batch))
+            words = batch.column(0).to_pylist()
+            at = np.where([w == END for w in words], items.end, items.of(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(owner[at], pa.int32())], ["word", "n", "class"])
 
     vocabulary = save_table(counts.mapInArrow(add_class, "word binary, n long, class int"), "word-classes")
@@ -451,35 +556,29 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def distinct_words(table: pa.Table) -> pa.Table:
-        found: set[bytes] = set()
-        for text in table.column("text"):
-            found.update(words_of(text.as_py()))
+        found = words_of(table.column("text"))[0].unique()
         block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+        return pa.table({"block": pa.array([block] * len(found), pa.int32()), "word": found.cast(pa.binary())})
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
         m = held.value
-        listed = words.column("word").to_pylist()
-        place = dict(zip(listed, range(len(listed))))
+        said, counts = words_of(texts.column("text"))
+        listed = words.column("word").combine_chunks().cast(pa.large_binary())
+        ids = pc.index_in(said.cast(pa.large_binary()), value_set=listed).to_numpy()
         count = np.append(words.column("n").to_numpy().astype(float), float(m.ends))
         cls = np.append(words.column("class").to_numpy(), CLASSES - 1)
-        for i in np.flatnonzero(cls < 0).tolist():  # never seen in training
-            cls[i] = m.shape_class[shape_of(listed[i])]
+        unseen = np.flatnonzero(cls < 0)  # in training
+        cls[unseen] = [m.shape_class[shape_of(listed[i].as_py())] for i in unseen.tolist()]
         plain = m.unigram(count)
         share = m.emission(count, cls) * (MIX if m.tokens else 0.0)
         rest = plain * ((1 - MIX) if m.tokens else 1.0)
-        log_plain = np.log10(plain)
-        end = len(listed)
-        rows = []
-        for text in texts.column("text"):
-            said = words_of(text.as_py())
-            at = np.fromiter(map(place.__getitem__, said), np.int64, len(said))
-            at = np.append(at, end)
-            before = np.concatenate(([CLASSES - 1], cls[at[:-1]]))
-            p = m.transition[before, cls[at]] * share[at] + rest[at]
-            rows.append((len(at), int((count[at] > 0).sum()), float(log_plain[at].sum()), float(np.log10(p).sum())))
-        cols = list(zip(*rows)) or [[], [], [], []]
-        return pa.table({"id": texts.column("id"), "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64())})
+        # Every text's words with the end before and after it.
+        before = with_ends(ids, counts, len(listed))
+        at = np.append(before[1:], len(listed))
+        p = m.transition[cls[before], cls[at]] * share[at] + rest[at]
+        start = np.cumsum(counts + 1) - counts - 1
+        sums = [np.add.reduceat(x, start) for x in ((count[at] > 0).astype(np.int64), np.log10(plain)[at], np.log10(p))]
+        return pa.table({"id": texts.column("id"), "n_tokens": pa.array(counts + 1, pa.int64()), "n_known": pa.array(sums[0], pa.int64()), "base_score": pa.array(sums[1], pa.float64()), "score": pa.array(sums[2], pa.float64())})
 
     by_block = blocked.groupBy("block")
     words = by_block.applyInArrow(distinct_words, "block int, word binary")

@@ -3,7 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pathloom.llm import class_ngrams as c
@@ -57,15 +61,23 @@ def test_neighbours(spark):
     hashes = np.sort(np.array([xxhash.xxh64_intdigest(w, 42) for w in (b"a", b"b")], np.uint64))
     edges = c.neighbours(docs, spark.sparkContext.broadcast(hashes), 8)
     items = c.Items(hashes)
-    x, y, zz, end = (items[w] for w in (b"a", b"b", b"zz", c.END))
+    x, y, zz, end = (*map(int, items.of([b"a", b"b", b"zz"])), items.end)
     want = {(end, x): 2, (x, y): 1, (y, x): 1, (x, end): 1, (end, end): 1, (x, zz): 1, (zz, end): 1}
-    rows = [c.opened_edges(r["edges"]) for r in edges.collect()]
-    found = {(int(e), int(o)): int(n) for block in rows for e, o, n in block.T}
-    assert found == {(2 * p, q): n for (p, q), n in want.items()} | {(2 * q + 1, p): n for (p, q), n in want.items()}
+    rows = edges.collect()
+    sides = [{(int(e), int(o)): int(n) for r in rows for e, o, n in c.opened_edges(r[side]).T} for side in ("right", "left")]
+    assert sides[0] == want and sides[1] == {(q, p): n for (p, q), n in want.items()}
+    assert all((c.mixed(c.opened_edges(r["right"])[0]) % c.PARTS == r["part"]).all() for r in rows)
     table = c.class_table(edges, np.arange(end + 1), end + 1)
     assert {tuple(map(int, at)): int(table[tuple(at)]) for at in np.argwhere(table)} == want
 
 
+@given(st.lists(st.text(alphabet="aZ é\t\n\x0b\x0c\r\x1c\u00a0\u2003") | st.text(), max_size=8))
+def test_words(texts):
+    words, counts = c.words_of(pa.array(texts, pa.string()))
+    want = [t.encode().lower().split() for t in texts]
+    assert [w.encode() for w in words.to_pylist()] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+
+
 def likelihood(bigrams, owner, classes):
     m = np.eye(classes)[owner]
     t = m.T @ bigrams @ m
@@ -100,10 +112,13 @@ def test_words_beyond_the_most_frequent_move_on_their_own(spark):
     assert len(of) == 1204 and not kinds[0] & kinds[1]
 
 
-def test_best_classes_are_those_of_all_moves(monkeypatch):
+@pytest.mark.parametrize("high", [9, 4000])
+def test_best_classes_are_those_of_all_moves(monkeypatch, high):
     monkeypatch.setattr(c, "HELD_GAINS", 5000)
     rng, classes = np.random.default_rng(2), c.CLASSES + 2
-    b, owner = rng.integers(0, 9, (120, 120)) * (rng.random((120, 120)) < 0.2), rng.integers(0, classes, 120)
+    b = np.int64(high ** rng.random((120, 120))) * (rng.random((120, 120)) < 0.6)
+    b[60:] *= 40  # cells are large beside the counts of most items
+    owner = rng.integers(0, classes, 120)
     m = np.eye(classes)[owner]
     table = m.T @ b @ m
     alone = b - np.diag(b.diagonal())
@@ -114,5 +129,5 @@ def test_best_classes_are_those_of_all_moves(monkeypatch):
             moved = owner.copy()
             moved[i] = k
             value.append(-np.inf if k == c.CLASSES - 1 else likelihood(b, moved, classes))
-        assert math.isclose(value[found[i]], max(value), rel_tol=1e-9)
-        assert math.isclose(gain[i], value[found[i]] - value[owner[i]], abs_tol=1e-6) or owner[i] == c.CLASSES - 1
+        assert math.isclose(value[found[i]], max(value), abs_tol=2e-5)
+        assert owner[i] == c.CLASSES - 1 or math.isclose(gain[i], value[found[i]] - value[owner[i]], rel_tol=1e-5, abs_tol=1e-4)
