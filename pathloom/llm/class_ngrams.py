@@ -59,6 +59,9 @@ HELD_GAINS = 2_000_000
 #: How many times a count a cell must be for the series of a gain.
 SERIES = 20
 
+#: Parts of the likelihood's logarithm that a move gains at least; less may be the error of the sums.
+TIE = 1e-10
+
 #: Parts of a block of items: a power of two.
 PARTS = 16
 
@@ -276,6 +279,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, owner: np.ndarray | No
         owner = owner.copy()
     member = np.eye(classes)[owner]
     table = member.T @ b @ member
+    least = TIE * abs(log_likelihood(table))
     moved = 1
     while moved:
         moved = 0
@@ -300,7 +304,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, owner: np.ndarray | No
             gain -= xlogx(rows + sent) - xlogx(rows) + xlogx(cols + got) - xlogx(cols)
             gain[closed] = -np.inf
             best = int(gain.argmax())
-            new = best if gain[best] > gain[own] + 1e-5 else own
+            new = best if gain[best] > gain[own] + least else own
             table[new] += to
             table[:, new] += of
             table[new, new] += loop
@@ -327,7 +331,7 @@ def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndar
         gain -= xlogx(rest + size[:, None]) - xlogx(rest)
     gain[:, CLASSES - 1] = -np.inf
     best = gain.argmax(axis=1)
-    best = np.where(gain[every, best] > gain[every, own] + 1e-5, best, own)
+    best = np.where(gain[every, best] > gain[every, own] + TIE * abs(log_likelihood(table)), best, own)
     return best, gain[every, best] - gain[every, own]
 
 
