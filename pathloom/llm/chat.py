@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.columns import bound_batches
+
 #: The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -99,14 +101,34 @@ class Replay:
         return [(role, "".join(parts)) for role, parts in self.messages]
 
 
-def events_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Whole messages as an event log: one ``message`` event for each row."""
-    return turns.select(
+#: Code points of a text that one event carries.
+DELTA_CHARS = 500
+
+
+def events_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", delta_chars: int = DELTA_CHARS) -> DataFrame:
+    """Whole messages as the event log that streaming them would have left.
+
+    Each row opens a message without text, and its text follows in ``delta`` events of at most
+    ``delta_chars`` code points. Rows follow each other by turn, role and text, null turns first,
+    and are numbered in their conversation; a row's events have the sequences from its number
+    times 2**32 on. That takes the exchange by conversation that the replay needs anyway.
+    """
+    rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"),
-        F.col(turn_col).cast("long").alias("seq"),
-        F.lit("message").alias("kind"),
+        F.col(turn_col).cast("long").alias("turn"),
         F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    )
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    numbered = rows.withColumn("number", F.row_number().over(order).cast("long"))
+    part = F.col("part")
+    each = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / delta_chars).cast("int"))))
+    return each.select(
+        "conv_id",
+        (F.shiftleft("number", 32) + part).alias("seq"),
+        F.when(part == 0, "message").otherwise("delta").alias("kind"),
+        F.when(part == 0, F.col("role")).alias("role"),
+        F.when(part > 0, F.substring("text", (part - 1) * delta_chars + 1, F.lit(delta_chars))).alias("text"),
         F.lit(None).cast("long").alias("target"),
     )
 
@@ -128,6 +150,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
     larger than a part leaves in several rows. All events of a conversation pass through one
     task, as replaying them is sequential.
     """
+    bound_batches(events.sparkSession)
     reaches = F.coalesce(F.col("kind").isin("edit", "regenerate") | F.col("target").isNotNull(), F.lit(False))
     log = events.select(*EVENT_COLUMNS).withColumn("back", F.max(reaches).over(Window.partitionBy("conv_id")))
     ordered = log.sortWithinPartitions(
@@ -197,11 +220,13 @@ def replayed(log) -> Iterator[tuple[str, str]]:
     yield from state.settled()
 
 
-def summary(formatted: DataFrame) -> DataFrame:
+def summary(formatted: DataFrame, ordered: bool = False) -> DataFrame:
     """Digests read back from the formatted parts: one row per conversation.
 
     conv_id, n_turns, turns_sha256 (of role, line feed, text, line feed per turn), loss_chars,
-    loss_sha256 (of all text under the loss mask, unescaped) and formatted_chars.
+    loss_sha256 (of all text under the loss mask, unescaped) and formatted_chars. ``ordered``
+    says that each partition has its conversations whole and in order, as
+    :func:`format_conversations` leaves them; then nothing is shuffled.
     """
 
     def digest(batches):
@@ -233,5 +258,5 @@ def summary(formatted: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), None, pa.int64(), None, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([x.hexdigest() for x in c]) if k is None else pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    ordered = formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "part")
-    return ordered.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    formatted = formatted if ordered else formatted.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "part")
+    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

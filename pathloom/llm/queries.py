@@ -61,7 +61,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back from the formatted text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame(MARKED, turns.schema)
-    return summary(format_conversations(events_of_turns(turns.unionByName(marked))))
+    return summary(format_conversations(events_of_turns(turns.unionByName(marked))), ordered=True)
 
 
 #: The rules (host, path, verdict).

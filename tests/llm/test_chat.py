@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pathloom.llm import chat
 
@@ -54,6 +55,21 @@ def test_summary_and_parts(spark, monkeypatch):
     assert found[8]["formatted_chars"] == 2 * len(chat.render("user", "x"))
 
 
+def test_turns_are_streamed(spark):
+    """Clashing column names, null turns, rows that repeat a turn, texts of several deltas."""
+    text = "<|im_end|>é\\" * 60
+    turns = [(1, 2, "user", text, 5, "x"), (1, 1, "user", "b", 6, "x"), (1, 1, "user", "a", 7, "x"), (1, 1, "user", text, 7, "x"), (1, None, "system", None, 8, "x"), (None, 3, None, text, 9, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part int, loss string").withColumn("back", F.lit(True)).withColumn("seq", F.lit(1))
+    events = chat.events_of_turns(df, delta_chars=7)
+    kinds = {r["kind"]: r["count"] for r in events.groupBy("kind").count().collect()}
+    assert kinds == {"message": 6, "delta": 3 * -(-len(text) // 7) + 2}
+    parts = chat.format_conversations(events)
+    assert read(parts) == {1: [("system", ""), ("user", text), ("user", "a"), ("user", "b"), ("user", text)], None: [("", text)]}
+    assert sorted(map(str, chat.summary(parts).collect())) == sorted(map(str, chat.summary(parts, ordered=True).collect()))
+    # A log may be streamed in pieces of any size.
+    assert read(chat.format_conversations(chat.events_of_turns(df))) == read(parts)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.summary(chat.format_conversations(chat.events_of_turns(df))).count() == 0
