@@ -14,10 +14,10 @@ from pathloom.llm.tokens import END_ID, encoder
 from pathloom.shared import save_table
 
 #: Pieces that one task packs together; the waste of dividing them is about one sequence per group.
-GROUP_PIECES = 40_000
+GROUP_PIECES = 20_000
 
-#: Sequences, from the emptiest on, that the search may fail to improve in a row before it ends.
-PATIENCE = 200
+#: The share of bins over the least possible number from which on a second start is tried.
+LOOSE = 0.005
 
 
 # ---------------------------------------------------------------- pieces
@@ -69,12 +69,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Items, longest first, each in the fullest bin that takes it; bins hold item numbers."""
+def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> list[list[int]]:
+    """Items, longest first or in the given order, each in the fullest bin that takes it; bins hold item numbers."""
     bins: list[list[int]] = []
     room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r is set if some bin has room r
-    for item in np.argsort(-lengths, kind="stable").tolist():
+    for item in (np.argsort(-lengths, kind="stable") if order is None else order).tolist():
         n = int(lengths[item])
         fits = rooms >> n
         if fits:
@@ -95,31 +95,36 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 class Search:
     """Local search over the bins that are not full.
 
-    Each step takes content from the emptiest bin and gives it to a fuller one: it moves an
-    item, exchanges one item for one, or two for one. The sum of squared fills grows with every
-    step, so the search ends; a bin that loses its last item is gone.
+    Each step takes content from one bin and gives it to a fuller one, or one that is fuller
+    afterwards: it moves an item, exchanges one item for one, two for one or one for two. The sum
+    of squared fills grows with every step, so the search ends; a bin that loses its last item is
+    gone. The end is when no bin has such a step left, or when no packing can have fewer bins.
     """
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
         self.length, self.bins, self.capacity = lengths.tolist(), bins, capacity
         self.gap = {b: g for b, items in enumerate(bins) if (g := capacity - sum(self.length[i] for i in items)) > 0}
-        self.holders: list[set[int]] = [set() for _ in range(capacity + 1)]  # bins with an item of a length; 0: all
+        # Bins with an item of a length (0: all bins), and with two items of a total; the largest gap among them.
+        self.holders: tuple[list[set[int]], list[set[int]]] = tuple([set() for _ in range(capacity + 1)] for _ in range(2))
+        self.widest = tuple(np.full(capacity + 1, -1) for _ in range(2))
+        self.stale: tuple[set[int], set[int]] = (set(range(capacity + 1)), set(range(capacity + 1)))
         for b in self.gap:
-            self._enter(b)
-        self.widest = np.full(capacity + 1, -1)
-        self.stale = set(range(capacity + 1))
+            for held, sizes in zip(self.holders, self._sizes(b)):
+                for n in sizes:
+                    held[n].add(b)
 
-    def _enter(self, b: int) -> None:
-        for n in {0, *(self.length[i] for i in self.bins[b])}:
-            self.holders[n].add(b)
-
-    def _leave(self, b: int) -> None:
-        for n in {0, *(self.length[i] for i in self.bins[b])}:
-            self.holders[n].discard(b)
-            self.stale.add(n)
+    def _sizes(self, b: int) -> tuple[set[int], set[int]]:
+        """What a bin can give: lengths of single items or nothing, and totals of two."""
+        some = sorted(self.length[i] for i in self.bins[b])
+        single = sorted(set(some))
+        double = {x + y for k, x in enumerate(single) for y in single[k + 1 :]} | {2 * x for x, y in zip(some, some[1:]) if x == y}
+        return {0, *single}, double
 
     def _change(self, b: int, drop: list[int], add: list[int]) -> None:
-        self._leave(b)
+        for held, stale, sizes in zip(self.holders, self.stale, self._sizes(b)):
+            for n in sizes:
+                held[n].discard(b)
+            stale |= sizes
         for i in drop:
             self.bins[b].remove(i)
         self.bins[b] += add
@@ -127,70 +132,85 @@ class Search:
         self.gap.pop(b, None)
         if gap and self.bins[b]:
             self.gap[b] = gap
-            self._enter(b)
-            self.stale |= {0, *(self.length[i] for i in self.bins[b])}
-
-    def _widest(self, source: int) -> np.ndarray:
-        """For each length, the largest gap of a bin other than ``source`` that holds it."""
-        for n in self.stale:
-            self.widest[n] = max((self.gap[b] for b in self.holders[n] if b != source), default=-1)
-        self.stale = {0, *(self.length[i] for i in self.bins[source])}
-        for n in self.stale:
-            self.widest[n] = max((self.gap[b] for b in self.holders[n] if b != source), default=-1)
-        return self.widest
+            for held, stale, sizes in zip(self.holders, self.stale, self._sizes(b)):
+                for n in sizes:
+                    held[n].add(b)
+                stale |= sizes
+
+    def _able(self, kind: int, n: int, most: int) -> list[int]:
+        """The sizes below ``n`` by at most ``most`` for which some bin that can give it has room for ``n`` instead."""
+        low, widest = max(0, n - most), self.widest[kind]
+        for x in [x for x in self.stale[kind] if low <= x < n]:
+            widest[x] = max((self.gap[b] for b in self.holders[kind][x]), default=-1)
+            self.stale[kind].discard(x)
+        return (low + np.flatnonzero(widest[low:n] >= np.arange(n - low, 0, -1))).tolist()
 
     def improve(self, source: int) -> bool:
         """One step that takes from ``source``, if there is one."""
-        items = sorted(self.bins[source], key=lambda i: -self.length[i])
-        singles = [(i,) for i in items]
-        pairs = [(i, j) for k, i in enumerate(items) for j in items[k + 1 :]]
         fill = self.capacity - self.gap[source]
-        widest = self._widest(source)
-        at = np.arange(self.capacity + 1)
+        most = max((g for b, g in self.gap.items() if b != source), default=0)
+        of_length: dict[int, list[int]] = {}
+        for i in self.bins[source]:
+            of_length.setdefault(self.length[i], []).append(i)
+        sizes = sorted(of_length, reverse=True)
+        singles = [(of_length[n][0],) for n in sizes]
+        pairs = [(of_length[x][0], of_length[y][0]) for k, x in enumerate(sizes) for y in sizes[k + 1 :]]
+        pairs += [tuple(same[:2]) for same in of_length.values() if len(same) > 1]
         for given in singles + pairs:
             n = sum(self.length[i] for i in given)
-            if n > self.capacity:
-                continue
             # x: what comes back. 0 is a move, which for two items is two moves at once.
-            can = np.flatnonzero((widest[:n] >= n - at[:n]) & (at[:n] < n))
-            for x in can[:4].tolist():
-                for b in self.holders[x]:
-                    if b != source and self.gap[b] >= n - x and self.capacity - self.gap[b] + n - x > fill:
-                        back = [next(i for i in self.bins[b] if self.length[i] == x)] if x else []
-                        self._change(source, list(given), back)
-                        self._change(b, back, list(given))
-                        return True
+            for kind in (0, 1) if len(given) == 1 else (0,):
+                for x in self._able(kind, n, most):
+                    for b in self.holders[kind][x]:
+                        if b != source and self.gap[b] >= n - x and self.capacity - self.gap[b] + n - x > fill:
+                            back = self._items_of(b, x, kind)
+                            self._change(source, list(given), back)
+                            self._change(b, back, list(given))
+                            return True
         return False
 
+    def _items_of(self, b: int, total: int, kind: int) -> list[int]:
+        """An item of the length ``total``, or two of that total."""
+        if not kind:
+            return [next(i for i in self.bins[b] if self.length[i] == total)] if total else []
+        seen: dict[int, int] = {}
+        for i in self.bins[b]:
+            if total - self.length[i] in seen:
+                return [seen[total - self.length[i]], i]
+            seen[self.length[i]] = i
+        raise KeyError(total)
+
     def run(self, least: int) -> None:
-        """Improve from the emptiest bin on until ``least`` bins are left or nothing helps."""
-        used = sum(1 for b in self.bins if b)
-        failed = 0
-        tried: set[int] = set()
-        while used > least and failed < PATIENCE:
-            source = max((b for b in self.gap if b not in tried), key=lambda b: (self.gap[b], b), default=None)
-            if source is None:
-                break
+        """Improve all bins from the emptiest on, again and again, until ``least`` are left or nothing helps."""
+        used, moved = sum(1 for b in self.bins if b), True
+        while moved and used > least:
             moved = False
-            while source in self.gap and self.improve(source):
-                moved = True
-            if not self.bins[source]:
-                used, failed, tried = used - 1, 0, set()
-                continue
-            if moved:
-                tried.clear()  # what failed before may find a place now
-            tried.add(source)
-            failed += 1
+            for source in sorted(self.gap, key=lambda b: (-self.gap[b], b)):
+                while used > least and source in self.gap and self.improve(source):
+                    moved = True
+                    used -= not self.bins[source]
 
 
-def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each item; bins are numbered without gaps."""
-    bins = best_fit(lengths, capacity)
-    least = lower_bound(lengths, capacity)
+def searched(lengths: np.ndarray, bins: list[list[int]], capacity: int, least: int) -> list[list[int]]:
+    """The bins after the search, without empty ones."""
     if len(bins) > least:
         Search(lengths, bins, capacity).run(least)
+    return [b for b in bins if b]
+
+
+def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each item; bins are numbered without gaps.
+
+    The search starts from best fit with the longest items first. Where that leaves more than
+    LOOSE of the least number of bins to spare, it also starts from best fit in the given order,
+    whose mixed bins leave it more to exchange, and the better result stands.
+    """
+    least = lower_bound(lengths, capacity)
+    bins = searched(lengths, best_fit(lengths, capacity), capacity, least)
+    if len(bins) > least * (1 + LOOSE):
+        bins = min(bins, searched(lengths, best_fit(lengths, capacity, np.arange(len(lengths))), capacity, least), key=len)
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for number, items in enumerate(b for b in bins if b):
+    for number, items in enumerate(bins):
         at = 0
         for i in items:
             where[i], offset[i] = number, at

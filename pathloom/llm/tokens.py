@@ -4,7 +4,8 @@ The reference encoder is ``tokenizers.Tokenizer`` over the JSON file. The same m
 taken from that file, also drive ``tiktoken``, which splits texts by the same pattern several
 times faster. The two libraries may carry different Unicode tables, so only texts whose code
 points are all below U+0250 take the fast way, where the character classes are settled; any
-other text is encoded by ``tokenizers`` itself. Tests hold one against the other.
+other text, and any that contains the string of a special token, is encoded by ``tokenizers``
+itself. Tests hold one against the other.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Separates documents in a stream of ids.
 END_ID = 2
 
-_BEYOND = re.compile("[^\x00-ɏ]")
+_BEYOND = "[^\x00-ɏ]"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -30,23 +31,24 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts by the vocabulary file at ``path``; special strings are ordinary text."""
+    """Ids of texts by the vocabulary file at ``path``, as ``tokenizers`` gives them without adding special tokens."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         special = {t["id"] for t in model["added_tokens"]}
+        self.size = 1 + max([*model["model"]["vocab"].values(), *special])
+        self.beyond = re.compile("|".join([_BEYOND, *[re.escape(t["content"]) for t in model["added_tokens"]]]))
         table = byte_of_char()
         ranks = {bytes(table[c] for c in t): i for t, i in model["model"]["vocab"].items() if i not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if _BEYOND.search(text):
+        if self.beyond.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

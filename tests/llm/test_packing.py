@@ -2,11 +2,13 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from pathloom.llm import packing
+from pathloom.llm import packing, tokens
 from pathloom.llm.tokens import END_ID, PATTERN, Encoder, default_path
 
-TEXTS = ["Hello world's end", "", "  two  spaces\n\n\ttab ", "<|endoftext|>", "naïve café Straße 12.5%", "日本語 и русский", "\x1c\x85\u00a0x\u200b", "a" * 5000, "don't  'll 're"]
+TEXTS = ["Hello world's end", "", "  two  spaces\n\n\ttab ", "<|endoftext|>", "a<|endoftext|> b <|endoftext", "naïve café Straße 12.5%", "日本語 и русский", "\x1c\x85\u00a0x\u200b", "a" * 5000, "don't  'll 're"]
 
 
 def test_pattern_is_the_files():
@@ -21,6 +23,13 @@ def test_encoder_equals_tokenizers(sample):
     assert [encoder.ids(t) for t in texts] == [encoder.exact.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x24F), max_size=60) | st.text(max_size=40) | st.text(alphabet=" \t\n'sSdlvertm0\xa0\x85\u00b2\u00bdé.,-", max_size=80))
+def test_encoder_equals_tokenizers_on_any_text(text):
+    encoder = tokens.encoder(default_path())
+    assert encoder.ids(text) == encoder.exact.encode(text, add_special_tokens=False).ids
+
+
 def test_cut():
     assert packing.cut(1, 4) == [(0, 1)] and packing.cut(4, 4) == [(0, 4)] and packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
@@ -37,6 +46,45 @@ def test_pack(low, high, n):
         assert (offset[where == b][at] == np.concatenate(([0], np.cumsum(lengths[where == b][at])[:-1]))).all()
 
 
+@pytest.mark.parametrize("low,high,n,share", [(200, 400, 1500, 0.96), (150, 500, 3000, 0.97), (250, 520, 3000, 0.97)])
+def test_search_saves_sequences(low, high, n, share):
+    """Mixes without short pieces, where best fit wastes several per cent."""
+    lengths = np.random.default_rng(n).integers(low, high, n)
+    before, after = len(packing.best_fit(lengths, 1024)), packing.pack(lengths, 1024)[0].max() + 1
+    assert packing.lower_bound(lengths, 1024) <= after <= share * before
+
+
+def least_bins(lengths, capacity):
+    """The fewest bins, by trying all places."""
+    best = len(lengths)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(lengths):
+            best = len(room)
+            return
+        for i, r in enumerate(room):
+            if r >= lengths[k] and r not in room[:i]:
+                place(k + 1, room[:i] + [r - lengths[k]] + room[i + 1 :])
+        place(k + 1, room + [capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_mixes_are_packed_as_tightly_as_can_be():
+    rng = np.random.default_rng(4)
+    over = 0
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 21, 9))[::-1].copy()
+        found, least = packing.pack(lengths, 20)[0].max() + 1, least_bins(lengths.tolist(), 20)
+        assert packing.lower_bound(lengths, 20) <= least <= found
+        over += found - least
+    assert over <= 1
+
+
 def test_search_empties_a_bin():
     # Two exchanges of 4 for 3 fill the first bins; then the third has room for the last item.
     lengths, bins = np.array([6, 6, 3, 3, 4, 4, 3]), [[0, 2], [1, 3], [4, 5], [6]]
