@@ -17,6 +17,15 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 8 << 20
 
 
+#: Tables of at most so many rows, of a few numbers and a short string each, are broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 250_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Ask for a broadcast if the table has few enough rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Limit Arrow batches by their bytes, so that long texts do not add up in a worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

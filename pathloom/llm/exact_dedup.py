@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import quotient_filter
-from pathloom.llm.columns import ASCII_SPACE, packed, partitions
+from pathloom.llm.columns import ASCII_SPACE, packed, partitions, small
 from pathloom.shared import save_table
 
-#: Tables of at most so many rows (two longs, a digest and a few numbers each) are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 250_000
-
 #: Fingerprints that one task holds before it turns them into a filter.
 BUFFER = 2_000_000
 
@@ -83,11 +80,6 @@ def as_batches(rows):
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "filter"])
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Ask for a broadcast if the table has few enough rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def fingerprint(norm: Column) -> Column:
     """The 64-bit fingerprint of a normalised text."""
     return F.xxhash64(norm)

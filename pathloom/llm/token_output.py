@@ -5,22 +5,21 @@ of those numbers is its slot in the training order. Shard s holds the slots from
 one record per slot in order, so a reader that has used k sequences goes on at record
 k % records of shard k // records.
 
-A record is a header (id, piece, number of ids, flags), SEQUENCE ids as unsigned 16-bit numbers,
-zero-filled, and a trailer of four zero bytes.
+A record is a header (id, piece, number of ids, flags), SEQUENCE ids as unsigned numbers of 16 bits
+(32 for vocabularies of more than 65,536 entries), zero-filled, and a trailer of four zero bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.columns import BATCH_BYTES, packed
+from pathloom.llm.columns import BATCH_BYTES, packed, small
 from pathloom.llm.tokens import END_ID, encoder
 from pathloom.shared import delete_path, new_path, release
 
@@ -35,9 +34,9 @@ _HEADER = struct.Struct("<qiHH")
 _NULL_ID = 1  # flag: the document has no id
 
 
-def stride(sequence: int = SEQUENCE) -> int:
-    """Bytes of a record."""
-    return _HEADER.size + 2 * sequence + len(TRAILER)
+def stride(sequence: int = SEQUENCE, width: int = 2) -> int:
+    """Bytes of a record whose ids take ``width`` bytes each."""
+    return _HEADER.size + width * sequence + len(TRAILER)
 
 
 # ---------------------------------------------------------------- the permutation
@@ -88,20 +87,20 @@ class Permutation:
 
 def packed_record(id_: int | None, piece: int, ids: np.ndarray) -> bytes:
     """The record of some ids, without padding and trailer."""
-    return _HEADER.pack(id_ or 0, piece, len(ids), _NULL_ID if id_ is None else 0) + ids.astype("<u2").tobytes()
+    return _HEADER.pack(id_ or 0, piece, len(ids), _NULL_ID if id_ is None else 0) + ids.tobytes()
 
 
-def unpacked_record(raw: bytes, at: int) -> tuple[int | None, int, int, bytes]:
+def unpacked_record(raw: bytes, at: int, width: int = 2) -> tuple[int | None, int, int, bytes]:
     """(id, piece, number of ids, ids) of the record at an offset."""
     i, piece, n, flags = _HEADER.unpack_from(raw, at)
     at += _HEADER.size
-    return None if flags & _NULL_ID else i, piece, n, raw[at : at + 2 * n]
+    return None if flags & _NULL_ID else i, piece, n, raw[at : at + width * n]
 
 
 # ---------------------------------------------------------------- writing
 
 
-def records(docs: DataFrame, path: str, sequence: int) -> DataFrame:
+def records(docs: DataFrame, path: str, sequence: int, width: int) -> DataFrame:
     """(record) for every sequence of the packed ``docs``, without padding and trailer."""
 
     def run(batches):
@@ -109,7 +108,7 @@ def records(docs: DataFrame, path: str, sequence: int) -> DataFrame:
         for batch in batches:
             rows, size = [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py()), END_ID], "<u2")
+                ids = np.array([*encode(text.as_py()), END_ID], f"<u{width}")
                 for k, at in enumerate(range(0, len(ids), sequence)):
                     rows.append(packed_record(i, k, ids[at : at + sequence]))
                     size += len(rows[-1])
@@ -121,6 +120,20 @@ def records(docs: DataFrame, path: str, sequence: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "record binary")
 
 
+def id_width(path: str) -> int:
+    """Bytes of an id of the vocabulary."""
+    return 2 if encoder(path).size <= 1 << 16 else 4
+
+
+def dealt_shards(placed: DataFrame, shard_records: int, low: int, high: int) -> DataFrame:
+    """The rows of shards ``low`` to ``high`` - 1 by ranges of shards, in order of their slots in each.
+
+    Shards are equally large, so a range for each of them splits the rows evenly.
+    """
+    part = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int")).where((F.col("shard") >= low) & (F.col("shard") < high))
+    return part.repartitionByRange(high - low, "shard").sortWithinPartitions("shard", "slot")
+
+
 def write_training_order(docs: DataFrame, path: str, out: str, key: str = "pathloom", sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Tokenise, permute and write all sequences below ``out``; returns their number.
 
@@ -130,12 +143,12 @@ def write_training_order(docs: DataFrame, path: str, out: str, key: str = "pathl
 
     Plan: tokenised sequences are saved once. A sequence's number is its row's place in its
     file plus the sequences of the files before, which needs counts per file only. Its slot
-    is computed, so one exchange by shard and a sort inside it write every shard in one piece;
-    turns over ranges of shards bound what is in the exchange at a time.
+    is computed, so an exchange by ranges of shards and a sort inside it write every shard in one
+    piece; turns over ranges of shards bound what is in the exchange at a time.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, id_width(path)
     saved = new_path(spark, "sequences")
-    records(packed(docs, id_col, text_col), path, sequence).write.option("compression", "zstd").parquet(saved)
+    records(packed(docs, id_col, text_col), path, sequence, width).write.option("compression", "zstd").parquet(saved)
     release(spark)
     table = spark.read.schema("record binary").parquet(saved)
     files = table.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count().orderBy("file").collect()
@@ -153,17 +166,16 @@ def write_training_order(docs: DataFrame, path: str, out: str, key: str = "pathl
         return pa.array(order.slots(number.to_numpy()))
 
     # One row per file that a task has written. Only numbers go to Python, the records do not.
-    first = F.broadcast(spark.createDataFrame(starts, "file string, first long"))
+    first = small(spark.createDataFrame(starts, "file string, first long"), len(starts))
     numbered = table.select("record", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     placed = numbered.join(first, "file").select("record", slot_of(F.col("first") + F.col("row")).alias("slot"))
-    placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int"))
-    padded = F.rpad(F.col("record"), stride(sequence) - len(TRAILER), F.lit(b"\x00"))
     per_round = -(-shards // ROUNDS)
     for low in range(0, shards, per_round):
-        part = placed.where((F.col("shard") >= low) & (F.col("shard") < low + per_round))
-        dealt = part.repartition(min(shards, per_round), "shard").sortWithinPartitions("shard", "slot")
-        # The text writer puts the bytes of a string out as they are.
-        dealt.select("shard", padded.cast("string").alias("value")).write.mode("append").partitionBy("shard").option("lineSep", TRAILER).text(out)
+        dealt = dealt_shards(placed, shard_records, low, min(low + per_round, shards))
+        padded = F.rpad(F.col("record"), stride(sequence, width) - len(TRAILER), F.lit(b"\x00"))
+        # The text writer puts the bytes of a string out as they are. A shard has to be one file.
+        writer = dealt.select("shard", padded.cast("string").alias("value")).write.mode("append").partitionBy("shard")
+        writer.option("lineSep", TRAILER).option("maxRecordsPerFile", 0).text(out)
         release(spark)
     delete_path(spark, saved)
     return total
@@ -172,12 +184,12 @@ def write_training_order(docs: DataFrame, path: str, out: str, key: str = "pathl
 # ---------------------------------------------------------------- reading
 
 
-def read_training_order(spark: SparkSession, out: str, start: int = 0, sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS) -> DataFrame:
+def read_training_order(spark: SparkSession, out: str, start: int = 0, sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, width: int = 2) -> DataFrame:
     """(slot, id, piece, length, ids) of all sequences from slot ``start`` on, read back from the shards.
 
-    Shards before the one that holds ``start`` are not opened.
+    Shards before the one that holds ``start`` are not opened. ``width`` is that of an id.
     """
-    size = stride(sequence)
+    size = stride(sequence, width)
 
     def run(batches):
         for batch in batches:
@@ -189,15 +201,10 @@ def read_training_order(spark: SparkSession, out: str, start: int = 0, sequence:
                 for k in range(len(raw) // size):
                     slot = shard * shard_records + k
                     if slot >= start:
-                        rows.append((slot, *unpacked_record(raw, k * size)))
+                        rows.append((slot, *unpacked_record(raw, k * size, width)))
                 cols = list(zip(*rows)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["slot", "id", "piece", "length", "ids"])
 
     files = spark.read.format("binaryFile").load(out).where(F.col("shard") >= start // shard_records)
     return files.select("shard", "content").mapInArrow(run, "slot long, id long, piece int, length int, ids binary")
-
-
-def crc(ids: bytes) -> int:
-    """crc32 of 16-bit ids as little-endian unsigned 32-bit numbers."""
-    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())

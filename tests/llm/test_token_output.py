@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.llm import token_output as t
 from pathloom.llm.tokens import END_ID, Encoder, default_path
@@ -32,5 +33,35 @@ def test_round_trip_and_resume(spark, edge, edge_rows):
     assert sorted(sizes.values())[-2:] == [50 * t.stride(32)] * 2
 
 
+def test_slots_are_those_of_the_permutation(spark, edge):
+    """Turned back, the slots of a document's pieces are numbers that follow each other."""
+    out = new_path(spark, "order")
+    total = t.write_training_order(edge, default_path(), out, key="k", sequence=16, shard_records=40)
+    rows = sorted(t.read_training_order(spark, out, sequence=16, shard_records=40).where("id in (10, 7)").collect(), key=lambda r: (r["id"], r["piece"]))
+    numbers = t.Permutation(total, "k").numbers(np.array([r["slot"] for r in rows]))
+    for i in (7, 10):
+        mine = [int(n) for n, r in zip(numbers, rows) if r["id"] == i]
+        assert len(mine) > 1 and mine == list(range(mine[0], mine[0] + len(mine)))
+
+
+def test_shards_are_dealt_by_ranges(spark):
+    placed = spark.range(1000).select(F.lit(b"r").alias("record"), F.col("id").alias("slot"))
+    dealt = t.dealt_shards(placed, 100, 2, 8)
+    assert "rangepartitioning" in dealt._jdf.queryExecution().executedPlan().toString()
+    parts = dealt.select("slot", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["slot"] for r in parts) == list(range(200, 800))
+    shards = {}
+    for r in parts:
+        shards.setdefault(r["p"], []).append(r["slot"])
+    assert all(v == sorted(v) and len(v) % 100 == 0 for v in shards.values()) and len(shards) > 3
+
+
+def test_wide_ids():
+    ids = np.array([1, 70_000, 2], "<u4")
+    raw = b"??" + t.packed_record(5, 3, ids)
+    assert t.unpacked_record(raw, 2, 4) == (5, 3, 3, ids.tobytes()) and t.stride(8, 4) - t.stride(8) == 16
+    assert t.id_width(default_path()) == 2
+
+
 def test_empty(spark, none):
     assert t.write_training_order(none, default_path(), new_path(spark, "order")) == 0
