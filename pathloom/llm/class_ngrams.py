@@ -62,6 +62,9 @@ SERIES = 20
 #: Parts of the likelihood's logarithm that a move gains at least; less may be the error of the sums.
 TIE = 1e-10
 
+#: The exchange of one item after another ends when a round over all raises the likelihood's logarithm by less than this part.
+SWEEP_GAIN = 1e-7
+
 #: Parts of a block of items: a power of two.
 PARTS = 16
 
@@ -263,7 +266,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, owner: np.ndarray | No
 
         sum N(g,h) log N(g,h) - sum N(g,.) log N(g,.) - sum N(.,h) log N(.,h)
 
-    is greatest; an item stays on a tie. Rounds end when none moves.
+    is greatest; an item stays on a tie. Rounds end when one gains less than SWEEP_GAIN.
     """
     n = len(bigrams)
     b = bigrams.astype(float)
@@ -279,10 +282,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, owner: np.ndarray | No
         owner = owner.copy()
     member = np.eye(classes)[owner]
     table = member.T @ b @ member
-    least = TIE * abs(log_likelihood(table))
-    moved = 1
-    while moved:
-        moved = 0
+    before, now = -math.inf, log_likelihood(table)
+    while now - before > SWEEP_GAIN * abs(now):
+        before = now
         for i in order:
             own = owner[i]
             loop = b[i, i]
@@ -304,12 +306,12 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, owner: np.ndarray | No
             gain -= xlogx(rows + sent) - xlogx(rows) + xlogx(cols + got) - xlogx(cols)
             gain[closed] = -np.inf
             best = int(gain.argmax())
-            new = best if gain[best] > gain[own] + least else own
+            new = best if gain[best] > gain[own] + TIE * abs(now) else own
             table[new] += to
             table[:, new] += of
             table[new, new] += loop
             owner[i] = new
-            moved += new != own
+        now = log_likelihood(table)
     return owner
 
 
