@@ -453,7 +453,9 @@ def simhash_groups(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str
     links = save_table(trie_links(table.select(F.col("fp").alias("id"), "fp", F.lit(b"").alias("sig")), n, BITS, budget), "simhash-links")
     groups = connected_components(links).select(F.col("node").alias("fp"), "component")
     linked = table.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # A table of its own, so that the join shuffles both sides and a large component can be split.
+    linked = save_table(linked, "linked-fingerprints")
+    least = save_table(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     labels = save_table(linked.join(least, "component").select("fp", "component_id"), "fingerprint-labels")
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 

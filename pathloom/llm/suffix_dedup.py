@@ -1,7 +1,8 @@
 """Removal of byte strings that occur earlier in the corpus, by suffix sorting.
 
 A byte goes if it lies in a string of WIDTH bytes that also starts earlier, in a document with
-a smaller id or before in the same one. Every start position is judged, in four steps.
+a smaller id or before in the same one. Rows that share an id, or have none, follow each other by
+a hash of their texts, then by their texts. Every start position is judged, in four steps.
 
 1. Winnowing gives each position an anchor: the gram of GRAM bytes with the least hash inside
    its string. Equal strings have equal anchors at equal distances, so only positions whose
@@ -36,8 +37,8 @@ WIDTH = 100
 WINDOW = 64
 GRAM = WIDTH - WINDOW + 1
 
-#: Bytes of text in a block, and bytes that are winnowed at once (below 2**24).
-BLOCK_BYTES, PIECE = 8 << 20, 1 << 17
+#: Bytes of text in a block, bytes that are winnowed at once (below 2**24), and bytes of text for which there is a bucket.
+BLOCK_BYTES, PIECE, BUCKET_BYTES = 8 << 20, 1 << 17, 64 << 20
 
 _LOW = np.uint64((1 << 24) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -144,23 +145,27 @@ def contexts(buffer: bytes, s: Segments, which: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A block's documents in order of their ids, joined."""
+    """A block's documents in order, joined; ``hashes`` order those of one id."""
 
     ids: np.ndarray
     nulls: np.ndarray
+    hashes: np.ndarray
     buffer: bytes
     bounds: np.ndarray
 
 
 def block_of(table: pa.Table) -> Block:
+    from xxhash import xxh64_intdigest
+
     ids = table.column("id")
     texts = table.column("text").to_pylist()
     nulls = np.array([x is None for x in ids.to_pylist()], bool)
     numbers = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-    order = sorted(range(len(texts)), key=lambda i: (bool(nulls[i]), int(numbers[i]), texts[i]))
+    hashes = np.fromiter((xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts))
+    order = sorted(range(len(texts)), key=lambda i: (bool(nulls[i]), int(numbers[i]), int(hashes[i]), texts[i]))
     joined = [texts[i] for i in order]
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in joined], dtype=np.int64)))
-    return Block(numbers[order], nulls[order], b"".join(joined), bounds)
+    return Block(numbers[order], nulls[order], hashes[order], b"".join(joined), bounds)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -288,7 +293,7 @@ def unit_messages(block: Block, states: pa.Table, number: int, buckets: int) ->
     rows = []
     for b, i, j in slices(u.key, buckets):
         used, place = np.unique(doc[i:j], return_inverse=True)
-        blob = u.key[i:j].tobytes() + u.more[i:j].tobytes() + place.astype("<u4").tobytes() + block.ids[used].astype("<i8").tobytes()
+        blob = u.key[i:j].tobytes() + u.more[i:j].tobytes() + place.astype("<u4").tobytes() + block.ids[used].astype("<i8").tobytes() + block.hashes[used].tobytes()
         rows.append((b, number, 1, j - i, zlib.compress(blob, 1)))
     return message_table(rows)
 
@@ -296,13 +301,13 @@ def unit_messages(block: Block, states: pa.Table, number: int, buckets: int) ->
 def judge_units(table: pa.Table) -> pa.Table:
     """For each entry of each message whether its document is the smallest that has the unit.
 
-    A document is in one block only, so two blocks never tie.
+    Rows with one id and one text are in one block, so two blocks never tie.
     """
     sizes, blobs = table.column("n").to_pylist(), [zlib.decompress(b) for b in table.column("data").to_pylist()]
     key = np.concatenate([np.frombuffer(b, np.uint64, n) for n, b in zip(sizes, blobs)])
     more = np.concatenate([np.frombuffer(b, np.uint32, n, 8 * n) for n, b in zip(sizes, blobs)])
-    ids = np.concatenate([np.frombuffer(b, "<i8", -1, 16 * n)[np.frombuffer(b, "<u4", n, 12 * n)] for n, b in zip(sizes, blobs)])
-    order = np.lexsort((ids, more, key))
+    ids, hashes = (np.concatenate([np.frombuffer(b, kind, -1, 16 * n).reshape(2, -1)[side][np.frombuffer(b, "<u4", n, 12 * n)] for n, b in zip(sizes, blobs)]) for side, kind in enumerate(("<i8", "<u8")))
+    order = np.lexsort((hashes, ids, more, key))
     first = np.ones(len(order), bool)
     k, m = key[order], more[order]
     first[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
@@ -343,20 +348,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     which may split a character).
 
     * a null text is empty; texts shorter than WIDTH are never touched
-    * rows that repeat an id count as different documents, ordered by their texts; null ids
-      come after all others
+    * rows that repeat an id count as different documents, ordered by a hash of their texts;
+      null ids come after all others
     * an empty table gives an empty result; extra columns are ignored
 
-    Plan: documents are dealt into blocks by a hash of the id, and one exchange of the texts
+    Plan: documents are dealt into blocks by a hash of id and text, and one exchange of the texts
     serves three steps. Blocks and buckets exchange messages in which a string occurs once per
     block, however often the block has it. Neither the positions of all texts nor the texts of
     a group are ever gathered.
     """
     base = packed(docs, id_col, text_col).select("id", F.col("text").cast("binary").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions(docs)
-    blocks = max(buckets, -(-total // block_bytes))
-    dealt = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "text").groupBy("block")
+    buckets = max(partitions(docs), -(-total // BUCKET_BYTES))
+    blocks = max(partitions(docs), -(-total // block_bytes))
+    dealt = base.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text").groupBy("block")
 
     def number(table: pa.Table) -> int:
         return table.column("block")[0].as_py()

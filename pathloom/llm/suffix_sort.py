@@ -1,9 +1,10 @@
 """Deep-shallow sorting of suffixes.
 
-The first bytes of all suffixes are sorted by multikey quicksort, whose characters here are
-words of eight bytes, so that one vectorised step splits every group of equal beginnings. Groups
-that are still together at the shallow depth have long common prefixes; each is ordered by a
-blind trie, which finds a suffix's place by a few single bytes and one comparison.
+The first bytes of all suffixes are sorted by multikey quicksort: a group of equal beginnings is
+parted in three by the character of a pivot; the middle part goes on to the next character, the
+others stay at theirs. Characters are words of eight bytes here, and a step parts all groups at
+once. Groups that are still together at the shallow depth have long common prefixes; each is
+ordered by a blind trie, which finds a suffix's place by a few single bytes and one comparison.
 """
 
 from __future__ import annotations
@@ -21,25 +22,32 @@ def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def shallow_sort(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): ``at[order]`` ascends by the first ``depth`` bytes; ``first`` marks where they change."""
-    order = np.argsort(words_at(data, at), kind="stable")
-    keys = words_at(data, at[order])
-    first = np.ones(len(at), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    for d in range(8, depth, 8):
-        alone = first & np.append(first[1:], True)
-        open_at = np.flatnonzero(~alone)
-        if not len(open_at):
-            break
-        group = np.cumsum(first)[open_at]
-        keys = words_at(data, at[order[open_at]] + d)
-        inner = np.lexsort((keys, group))
-        order[open_at] = order[open_at[inner]]
-        keys = keys[inner]
-        starts = np.ones(len(open_at), bool)
-        starts[1:] = (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])
-        first[open_at] = starts
-    return order, first
+    """(order, first): ``at[order]`` ascends by the first ``depth`` bytes; ``first`` marks where they change.
+
+    Suffixes that are equal so far keep their order.
+    """
+    order, first = np.arange(len(at)), np.zeros(len(at), bool)
+    first[:1] = True
+    # The groups to part: their beginnings, sizes, and the bytes in which their members agree.
+    start, size, agreed = np.zeros(1, np.int64), np.array([len(at)]), np.zeros(1, np.int64)
+    while True:
+        several = (size > 1) & (agreed < depth)
+        start, size, agreed = start[several], size[several], agreed[several]
+        if not len(start):
+            return order, first
+        group = np.repeat(np.arange(len(start)), size)
+        before = np.cumsum(size) - size
+        place = np.arange(len(group)) - before[group] + start[group]
+        keys = words_at(data, at[order[place]] + agreed[group])
+        pivot = keys[before + size // 2][group]
+        side = group * 3 + (keys >= pivot) + (keys > pivot)
+        parted = np.argsort(side, kind="stable")
+        order[place] = order[place[parted]]
+        side = side[parted]
+        edge = np.flatnonzero(np.diff(side, prepend=-1))
+        first[place[edge]] = True
+        # The middle parts agree in eight bytes more.
+        start, size, agreed = place[edge], np.diff(np.append(edge, len(side))), agreed[group[edge]] + np.where(side[edge] % 3 == 1, 8, 0)
 
 
 class BlindTrie:

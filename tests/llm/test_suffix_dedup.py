@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -23,7 +24,7 @@ def test_sorted_classes(buffer, seed):
 
 def brute(rows):
     seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42))):
         b = (text or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - s.WIDTH + 1):
@@ -60,6 +61,25 @@ def test_hard_texts(spark):
     check(spark, rows, block_bytes=2000)
 
 
+def test_ids_that_repeat_or_lack(spark):
+    """Many rows without an id, or with one id, in several blocks."""
+    rnd = random.Random(8)
+    passages = ["".join(rnd.choice("abcdefgh ") for _ in range(130)) for _ in range(6)]
+    rows = [(i, " ".join(rnd.sample(passages, 2)) + str(rnd.random())) for i in [None] * 30 + [4] * 20 + list(range(10))]
+    check(spark, rows, block_bytes=1500)
+
+
+def test_shallow_sort_alone():
+    rnd = np.random.default_rng(3)
+    data = rnd.integers(97, 99, 4000).astype(np.uint8)
+    at = rnd.permutation(3900)[:2500]
+    order, first = x.shallow_sort(data, at, 16)
+    text = [data[p : p + 16].tobytes() for p in at.tolist()]
+    want = sorted(range(len(at)), key=lambda i: (text[i], i))
+    assert order.tolist() == want and first.tolist() == [k == 0 or text[want[k]] != text[want[k - 1]] for k in range(len(want))]
+    assert [len(r) for r in x.shallow_sort(data, at[:0], 16)] == [0, 0]
+
+
 def test_long_text_spans_pieces(spark, monkeypatch):
     rnd = random.Random(9)
     text = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(200_000))
@@ -68,4 +88,8 @@ def test_long_text_spans_pieces(spark, monkeypatch):
 
 def test_edges(edge, edge_rows, none, spark):
     check(spark, [(r[0], r[1]) for r in edge_rows if r[0] not in (7, 8)], edge.where("doc_id is null or doc_id not in (7, 8)"))
+    # The two very long texts are equal, and nothing in them repeats.
+    long = {r["id"]: r for r in s.remove_repeats(edge.where("doc_id in (7, 8)")).collect()}
+    size = long[7]["n_bytes"]
+    assert size > 200_000 and long[7]["spans"] == [] and [tuple(e) for e in long[8]["spans"]] == [(0, size)] and long[8]["kept"] == b""
     assert s.remove_repeats(none).count() == 0
