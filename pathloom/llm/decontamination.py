@@ -41,8 +41,8 @@ WALKS, SAMPLED = 4, 2
 #: Share of equal positions that a pair at the allowed distance is reckoned to have, and the recall that the number of tables aims at.
 AGREEMENT, RECALL = 0.45, 0.995
 
-#: Words and windows that a task works on at once.
-CHUNK_WORDS, CHUNK_WINDOWS = 500_000, 20_000
+#: Words of texts that a task scans at once, and words of windows, or cells of a comparison, that it holds.
+CHUNK_WORDS, CHUNK_CELLS = 500_000, 1_000_000
 
 _PUNCTUATION = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
@@ -68,6 +68,13 @@ def shared_runs(n: int) -> int:
     return n - q + 1 - allowed(n) * q
 
 
+def coins(walk: int, step: int, words: np.ndarray) -> np.ndarray:
+    """The random bit of a walk, a step and each word; all item lengths share them."""
+    x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((walk << 40 | step) * 0xD6E8FEB86659FD93 % (1 << 64))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(63)).astype(np.int64)
+
+
 def tables() -> int:
     """Hash tables needed for the recall."""
     return math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT**SAMPLED))
@@ -102,8 +109,6 @@ class Index:
         lengths = sorted({len(c) for c in coded})
         self.longest = max(lengths, default=0)
         rng = np.random.default_rng(seed)
-        # The random bit of each walk, word and step, eight steps to a byte; all lengths share them.
-        self.coins = rng.integers(0, 256, (WALKS, self.base, -(-2 * self.longest // 8)), dtype=np.uint8)
         self.groups = [self._group(n, [(k, c) for k, c in enumerate(coded) if len(c) == n], rng) for n in lengths]
         # For each run length: the sorted codes, and which groups each belongs to.
         self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -156,7 +161,7 @@ class Index:
                 word = ended[rows, at]
                 for t in reads.get(step, ()):
                     found[t] = found[t] * self.base + word
-                at = np.minimum(at + ((self.coins[walk, word, step >> 3] >> (step & 7)) & 1), group.n)
+                at = np.minimum(at + coins(walk, step, word), group.n)
         return found
 
     def candidates(self, group: Group, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,40 +205,88 @@ class Index:
             return
         size = hi - lo + 1
         starts = np.unique(np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum()))
-        for k in range(0, len(starts), CHUNK_WINDOWS):
-            part = starts[k : k + CHUNK_WINDOWS]
+        step = max(1, CHUNK_CELLS // group.n)
+        pairs = []
+        for k in range(0, len(starts), step):
+            part = starts[k : k + step]
             window, item = self.candidates(group, words[part[:, None] + np.arange(group.n)])
-            for c in range(0, len(window), CHUNK_WINDOWS):
-                p = part[window[c : c + CHUNK_WINDOWS]]
-                i = item[c : c + CHUNK_WINDOWS]
-                edits, end = passage_distance(group.words[i], words[p[:, None] + np.arange(-e, group.n + e)])
-                for j in np.flatnonzero(edits <= e).tolist():
-                    yield int(group.number[i[j]]), int(edits[j]), int(p[j])
-
-
-def passage_distance(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits from each item to any passage of the text in its row, and where that ends."""
+            pairs.append((part[window], item))
+        p, i = (np.concatenate(x) for x in zip(*pairs))
+        # Candidates of an item that overlap are compared as one stretch of text, up to twice the item's length.
+        order = np.lexsort((p, i))
+        p, i = p[order], i[order]
+        low, high, item = [], [], []
+        for a, q in zip(p.tolist(), i.tolist()):
+            if item and item[-1] == q and a - low[-1] <= group.n:
+                high[-1] = a
+            else:
+                low.append(a)
+                high.append(a)
+                item.append(q)
+        low, high, item = np.array(low), np.array(high), np.array(item)
+        for at in range(0, len(low), step):
+            lo, hi, it = low[at : at + step], high[at : at + step], item[at : at + step]
+            width = int((hi - lo).max()) + group.n + 2 * e
+            place = lo[:, None] - e + np.arange(width)
+            # Beyond the last candidate's reach, and beyond the texts, there are no words.
+            inside = (place < (hi + group.n + e)[:, None]) & (place < len(words))
+            text = np.where(inside, words[np.minimum(place, len(words) - 1)], 0)
+            edits, end = passage_distance(group.words[it], text)
+            good = np.flatnonzero(edits <= e)
+            begin = passage_start(group.words[it[good]], text[good], end[good])
+            for j, b in zip(good.tolist(), begin.tolist()):
+                yield int(group.number[it[j]]), int(edits[j]), int(lo[j]) - e + b
+
+
+def edit_columns(items: np.ndarray, texts: np.ndarray, anchored: bool):
+    """After each word of the text in its row, the least edits from the item to what ends there.
+
+    That is any passage or, if ``anchored``, the whole text so far.
+    """
     n = items.shape[1]
     ramp = np.arange(n + 1, dtype=np.int64)
     column = np.broadcast_to(ramp, (len(items), n + 1)).copy()
-    best, end = column[:, n].copy(), np.zeros(len(items), np.int64)
+    yield column[:, n]
     for j in range(texts.shape[1]):
         new = np.empty_like(column)
-        new[:, 0] = 0
+        new[:, 0] = j + 1 if anchored else 0
         new[:, 1:] = np.minimum(column[:, :-1] + (items != texts[:, j : j + 1]), column[:, 1:] + 1)
         column = np.minimum.accumulate(new - ramp, axis=1) + ramp
-        better = column[:, n] < best
-        best[better], end[better] = column[better, n], j + 1
+        yield column[:, n]
+
+
+def passage_distance(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits from each item to any passage of the text in its row, and where the first such passage ends."""
+    best, end = np.full(len(items), items.shape[1] + 1), np.zeros(len(items), np.int64)
+    for j, edits in enumerate(edit_columns(items, texts, False)):
+        better = edits < best
+        best[better], end[better] = edits[better], j
     return best, end
 
 
+def passage_start(items: np.ndarray, texts: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the shortest of the nearest passages begins that ends at ``end``."""
+    if not len(items):
+        return end
+    most = min(int(end.max()), 2 * items.shape[1] + 1)
+    place = end[:, None] - 1 - np.arange(most)
+    back = np.where(place >= 0, np.take_along_axis(texts, np.maximum(place, 0), axis=1), 0)
+    best, size = np.full(len(items), items.shape[1] + most + 2), np.zeros(len(items), np.int64)
+    for j, edits in enumerate(edit_columns(items[:, ::-1], back, True)):
+        better = edits < best
+        best[better], size[better] = edits[better], j
+    return end - size
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Find benchmark items in documents.
 
     Returns ``row`` (the input row) and ``matches``, an array of (item_id, edits, start): for
     each item of which some passage of the document is within the allowed distance, the least
-    edits and the first word of the first window that has them (negative if it begins before
-    the text).
+    edits and the first word of the passage that has them.
+
+    The distance is counted in words: EDIT_RATE times the item's words, rounded down, and none for
+    items of fewer than SHORT_ITEM words, of which an edit would leave too little to tell.
 
     * a null document or item text counts as empty; an item without words is never found
     * items that repeat are each found; a document is judged by its text alone
@@ -282,7 +335,6 @@ def search(docs: DataFrame, items: list[tuple[int, str]], schema: StructType) ->
             def flush():
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 for item, edits, at in index.scan(np.concatenate(parts)):
-                    # A window may begin before its text, though never by more than the padding.
                     doc = int(np.searchsorted(bounds, at, "right")) - 1
                     key = (doc, item)
                     best[key] = min(best.get(key, (1 << 30, 0)), (edits, at - starts[doc]))

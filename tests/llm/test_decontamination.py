@@ -62,6 +62,32 @@ def test_recall_and_precision(spark):
     assert not any(hit[n] for n in hit if n not in leaks)
 
 
+def test_starts():
+    rnd = random.Random(2)
+    for _ in range(60):
+        item = [rnd.randrange(1, 6) for _ in range(8)]
+        text = [rnd.randrange(1, 6) for _ in range(20)]
+        (best,), (end,) = d.passage_distance(np.array([item]), np.array([text]))
+        (begin,) = d.passage_start(np.array([item]), np.array([text]), np.array([end]))
+        passage = text[begin:end]
+        whole = list(d.edit_columns(np.array([item]), np.array([passage]).reshape(1, -1), True))[-1][0]
+        assert whole == best == distance(item, text)
+
+
+def test_long_items(spark):
+    """Items of 5,000 words, one copied with edits, one not; the passage is found at its place."""
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [[rnd.choice(vocabulary) for _ in range(n)] for n in (5000, 5000, 900)]
+    before = [rnd.choice(vocabulary) for _ in range(300)]
+    docs = [(0, before + edited(items[0], 200, rnd) + before), (1, before + items[2]), (2, before * 3)]
+    found = d.matches(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    hit = {r["row"]["doc_id"]: [tuple(m) for m in r["matches"]] for r in found}
+    assert hit[1] == [(2, 0, 300)] and hit[2] == []
+    [(item, edits, start)] = hit[0]
+    assert item == 0 and 150 < edits <= 200 and abs(start - 300) <= 3
+
+
 def test_edges(spark, edge, edge_rows, none):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (1, "the quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "x"), (None, "runs away from the BIG, bad wolf in the dark"), (5, "?!")], "item_id long, text string")
     found = d.matches(edge, items).collect()
