@@ -10,14 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.columns import fold, packed
+from pathloom.llm.columns import fold, packed, small
+from pathloom.shared import save_table
 
 #: Labelled rows per language that a model is fitted on, at most.
 SAMPLE_PER_LANGUAGE = 300
 
-#: Languages a model can have; fitting fails beyond that rather than leave some out.
-MAX_LANGUAGES = 1_000
-
 #: Clusters per language.
 CENTROIDS = 4
 
@@ -29,7 +27,7 @@ REJECT_RATIO = 0.25
 
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 _PAIRS, _TRIPLES = 64 * 64, 1 << 15
 DIMENSIONS = _PAIRS + _TRIPLES
 
@@ -48,6 +46,11 @@ def _codes() -> bytes:
 _CODES = _codes()
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter (Unicode category L); digits in other shapes are none."""
+    return any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
+
+
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray, int]:
     """(dimensions, counts, n) of the byte pairs and triples of a lower-cased text.
 
@@ -86,7 +89,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine to the nearest centroid, rejected)."""
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not has_letter(text) or not self.languages:
             return UNDETERMINED, 0.0, True
         at, counts, n = ngram_counts(text)
         near = weighted(at, counts, self.idf) @ self.centroids[at]
@@ -116,17 +119,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
     """At most ``per_language`` labelled rows of each language, chosen by a hash of the id.
 
-    Counting first bounds what enters the window to about twice the sample.
+    Counting first bounds what enters the window to about twice the sample. The counts, a row a
+    language, join the rows, so there may be any number of languages.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit((2.0 * per_language + 50) / n)).otherwise(share)
-    chance = F.pmod(F.xxhash64(F.lit("language sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    near = rows.withColumn("chance", chance).where(F.col("chance") < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "chance")
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    counts = save_table(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    share = F.lit(2.0 * per_language + 50) / F.col("rows")
+    chance = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.withColumn("chance", chance).join(small(counts, counts.count()), "lang").where(F.col("chance") < share).select("lang", "text", "chance")
     first = Window.partitionBy("lang").orderBy("chance", F.xxhash64("text"))
     return near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("lang", "text")
 
@@ -135,7 +135,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit a model on a bounded sample of the labelled rows.
 
     Rows with a null label or text are left out, and so are texts without letters. Without any
-    row the model knows no language and answers ``und``.
+    row the model knows no language and answers ``und``. The driver gets the n-gram counts of at
+    most ``per_language`` rows a language, some 6 KB each and never more than 300 KB, whatever
+    the corpus; a language adds up to 600 KB of centroids to the model.
     """
 
     def vectors(batches):
@@ -146,7 +148,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 ["lang", "at", "counts", "n"],
             )
 
-    chosen = sample(docs, id_col, text_col, lang_col, per_language).where(F.col("text").rlike(r"\p{L}"))
+    chosen = sample(docs.where(F.col(text_col).rlike(r"\p{L}")), id_col, text_col, lang_col, per_language)
     rows = chosen.mapInArrow(vectors, "lang string, at array<int>, counts array<int>, n long").toArrow()
     langs, n = np.array(rows.column("lang").to_pylist(), object), rows.column("n").to_numpy()
     found = [(np.array(a), np.array(c)) for a, c in zip(rows.column("at").to_pylist(), rows.column("counts").to_pylist())]
