@@ -4,7 +4,9 @@ Words are clustered by the exchange algorithm: a word moves to the class in whic
 likelihood of the class bigrams grows most, until no move helps. The probability of a word
 after another is then the transition between their classes times the word's share of its class,
 
-    P(w | v) = mix * P(class w | class v) * count(w) / count(class w) + (1 - mix) * unigram(w).
+    P(w | v) = mix * P(class w | class v) * P(w | class w) + (1 - mix) * unigram(w),
+
+where 0.1 is added to the counts of a class's words and of one word it has not seen.
 
 Every word that occurs LEAST times is clustered on its own. Any rarer word is clustered together
 with the rare words that share its shape (a hash of its last bytes), so every word never seen has
@@ -487,6 +489,7 @@ class ClassModel:
 
     transition: np.ndarray
     class_total: np.ndarray
+    class_words: np.ndarray
     shape_class: np.ndarray
     tokens: int
     distinct: int
@@ -496,8 +499,7 @@ class ClassModel:
         return (count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
 
     def emission(self, count: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        total = self.class_total[cls]
-        return np.divide(count, total, out=np.zeros(len(count)), where=total > 0)
+        return (count + 0.1) / (self.class_total[cls] + 0.1 * (self.class_words[cls] + 1))
 
 
 def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
@@ -543,7 +545,10 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(owner[at], pa.int32())], ["word", "n", "class"])
 
     vocabulary = save_table(counts.mapInArrow(add_class, "word binary, n long, class int"), "word-classes")
-    return ClassModel(transition, total, owner[len(hashes) : len(hashes) + SHAPES], tokens, distinct, ends), vocabulary
+    words = np.zeros(classes)
+    for r in vocabulary.groupBy("class").agg(F.count("*").alias("n")).collect():
+        words[r["class"]] = r["n"]
+    return ClassModel(transition, total, words, owner[len(hashes) : len(hashes) + SHAPES], tokens, distinct, ends), vocabulary
 
 
 # ---------------------------------------------------------------- scores

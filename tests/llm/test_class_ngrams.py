@@ -40,6 +40,7 @@ def test_model_scores_and_beats_the_unigram(spark):
     found = c.score_documents(docs).where("held_out")
     base, model = found.agg(F.sum("base_score"), F.sum("score")).first()
     assert model > base
+    assert 10 ** ((base - model) / found.agg(F.sum("n_tokens")).first()[0]) < 0.75  # of the unigram's perplexity
     # The score of one document, step by step.
     base_docs = packed(docs)
     m, vocabulary = c.fit(base_docs.where(F.crc32(F.col("id").cast("string").cast("binary")) % 10 != 0).select("text"))
@@ -49,7 +50,7 @@ def test_model_scores_and_beats_the_unigram(spark):
     before, total = c.CLASSES - 1, 0.0
     for w in words:
         k, cls = known.get(w, (0, m.shape_class[c.shape_of(w)]))
-        p = c.MIX * m.transition[before, cls] * k / m.class_total[cls] + (1 - c.MIX) * float(m.unigram(np.array(k)))
+        p = c.MIX * m.transition[before, cls] * (k + 0.1) / (m.class_total[cls] + 0.1 * (m.class_words[cls] + 1)) + (1 - c.MIX) * float(m.unigram(np.array(k)))
         total += math.log10(p)
         before = cls
     got = c.score_documents(docs).where(F.col("id") == one["doc_id"]).first()["score"]
