@@ -59,7 +59,7 @@ BLOCK_BYTES = 8 << 20
 HELD_GAINS = 2_000_000
 
 #: How many times a count a cell must be for the series of a gain.
-SERIES = 20
+SERIES = 8
 
 #: Parts of the likelihood's logarithm that a move gains at least; less may be the error of the sums.
 TIE = 1e-10
@@ -68,7 +68,7 @@ TIE = 1e-10
 SWEEP_GAIN = 1e-7
 
 #: Parts of a block of items: a power of two.
-PARTS = 16
+PARTS = 4
 
 
 def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -347,9 +347,10 @@ def neighbour_gains(cells: np.ndarray, own: np.ndarray, counts: np.ndarray, othe
 
         a (1 + log c) + a^2 / 2c - a^3 / 6c^2 + ...
 
-    Sums over h of its terms are products of matrices. Cells that are not SERIES times as large as the
-    count get the exact difference instead, and so do the item's own class, whose cells are
-    without it, and its own class among the neighbours.
+    Sums over h of its terms are products of matrices, and so are those of f(a) for empty cells.
+    Other cells that are not SERIES times as large as the count get the exact difference instead,
+    and so do the item's own class, whose cells are without it, and its own class among the
+    neighbours.
     """
     n, classes = counts.shape
     every = np.arange(n)
@@ -363,30 +364,34 @@ def neighbour_gains(cells: np.ndarray, own: np.ndarray, counts: np.ndarray, othe
     a = rest[item, h]
     order = np.argsort(cells, axis=1, kind="stable")
     ascending = np.take_along_axis(cells, order, axis=1)
+    empty = (cells == 0).sum(axis=1)
     few = np.empty(len(a), np.int64)
     by_class = np.argsort(h, kind="stable")
     edge = np.searchsorted(h[by_class], np.arange(classes + 1))
     for k in range(classes):
         mine = by_class[edge[k] : edge[k + 1]]
         few[mine] = np.searchsorted(ascending[k], SERIES * a[mine])
-    # Where all cells are small, the series would only lose digits.
-    whole = few * 2 > classes
+    skip = empty[h]
+    # Where most cells are small, the series would only lose digits.
+    whole = (few - skip) * 2 > classes
     rest[item[whole], h[whole]] = 0
-    few[whole] = classes
-    gain = np.zeros((n, classes))
+    few[whole], skip[whole] = classes, 0
+    gain = xlogx(rest) @ ((cells == 0) & ~np.eye(classes, dtype=bool)).astype(float)
     power = rest
     for term in terms:
         gain += power @ term
         power = power * rest
     for at in range(0, len(a), step := max(1, HELD_GAINS // classes)):
         some = slice(at, at + step)
-        size = few[some]
+        size = few[some] - skip[some]
         e = np.repeat(np.arange(at, at + len(size)), size)
-        g = order[h[e], np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)]
+        g = order[h[e], np.arange(len(e)) - np.repeat(np.cumsum(size) - size - skip[some], size)]
         c, x = cells[h[e], g], a[e]
         exact = np.where(g == h[e], 0.0, xlogx(c + x) - xlogx(c))
-        series = sum(x ** (k + 1) * term[h[e], g] for k, term in enumerate(terms))
-        gain += np.bincount(item[e] * classes + g, exact - np.where(whole[e], 0.0, series), n * classes).reshape(n, classes)
+        off = ~whole[e]
+        for k, term in enumerate(terms):
+            exact[off] -= x[off] ** (k + 1) * term[h[e[off]], g[off]]
+        gain += np.bincount(item[e] * classes + g, exact, n * classes).reshape(n, classes)
     # The item's own class, without the item.
     item, h = np.nonzero(counts)
     c, x, mine = cells[h, own[item]], counts[item, h], h == own[item]
@@ -412,14 +417,17 @@ def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, still: np.ndar
         for batch in batches:
             for right, left in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sides = [opened_edges(right), opened_edges(left)]
-                items = np.union1d(sides[0][0], sides[1][0]).astype(np.int64)
+                firsts = [np.flatnonzero(np.diff(x[0].astype(np.int64), prepend=-1)) for x in sides]
+                items = np.union1d(*[x[0][first] for x, first in zip(sides, firsts)]).astype(np.int64)
                 items = items[(mixed(items) % turns == turn) & ~np.isin(items, still)]
                 if not len(items):
                     continue
                 vectors = []
-                for item, other, n in sides:
-                    place = np.minimum(np.searchsorted(items, item), len(items) - 1)
-                    mine = items[place] == item
+                for (item, other, n), first in zip(sides, firsts):
+                    # Edges come in order of their items.
+                    at = np.minimum(np.searchsorted(items, item[first]), len(items) - 1)
+                    length = np.diff(np.append(first, len(item)))
+                    place, mine = np.repeat(at, length), np.repeat(items[at] == item[first], length)
                     place, other, n, loops = place[mine], other[mine], n[mine], (item == other)[mine]
                     vectors.append(np.bincount(place[~loops] * classes + owner[other[~loops]], n[~loops], len(items) * classes).reshape(-1, classes))
                     loop = np.bincount(place[loops], n[loops], len(items))  # either side has them all
