@@ -31,3 +31,39 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert 102 not in ids["decontamination"]
     packed = c.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == ids["decontamination"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, component_id long, matches int"
+
+
+def through(spark, rows, items, path):
+    """The ids that each stage keeps, and the columns and rows of packing."""
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{path}/documents.parquet"), []
+    for _, stage in c.STAGES[:-1]:
+        found = save_table(stage(spark, docs, str(path)), "stage")
+        assert found.columns == docs.columns
+        docs = found
+        kept.append(sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect()))
+    return kept, c.STAGES[-1][1](spark, docs, str(path))
+
+
+def test_empty_table(spark, tmp_path):
+    kept, packed = through(spark, [], [(1, "some benchmark item with more than eight words in it")], tmp_path)
+    assert kept == [[]] * 4 and packed.count() == 0 and packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_null_and_repeated_rows(spark, tmp_path):
+    extra = ("r", 1, 2, 3)
+    long = " ".join(f"word{i} and more of the same kind here" for i in range(4000))
+    text = "this is a plain english text with quite a few words that a language model can tell from noise number {}"
+    rows = [(i, text.format(" ".join(chr(97 + (i * k) % 26) * 3 for k in range(1, 9))), "en", "s", 1, *extra) for i in range(1, 31)]
+    rows += [(None, None, None, None, None, None, None, None, None), (40, None, "en", "s", 1, *extra), (41, "", "en", "s", 1, *extra), (42, " \n", None, None, 0, *extra), (43, "?!", "en", "s", 1, *extra)]
+    rows += [(50, long, "en", "s", 1, *extra), (50, long, "en", "s", 1, *extra), (None, long + " end", "en", "s", 1, *extra), (51, None, None, None, None, None, None, None, None)]
+    kept, packed = through(spark, rows, [(1, None), (None, ""), (2, "words that no document has in this order at all")], tmp_path)
+    assert not {"40", "41", "42", "43", "51"} & set(kept[0]) and {"50", "None"} <= set(kept[0])
+    assert kept[1].count("50") == 1 and kept[1].count("None") == 1
+    # A row without an id takes no part in near dedup.
+    assert "50" in kept[2] and "None" in kept[2] and kept[3] == kept[2]
+    assert sorted({str(r["doc_id"]) for r in packed.collect()}) == sorted(set(kept[3]))
