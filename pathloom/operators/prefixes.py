@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import codec
+from pathloom.shared import save_table
 
 
 def lengths_of(paths: DataFrame) -> list[int]:
@@ -55,7 +56,8 @@ def covered(rows: DataFrame, stems: DataFrame) -> DataFrame:
     yields each row once and needs no distinct. A stem table that is small is broadcast by
     Spark's own size check; a larger one is shuffled.
     """
-    least = prefix_minimal(stems.select("path").distinct())
+    # Their lengths are asked for twice; saved, the stems are computed once.
+    least = save_table(prefix_minimal(save_table(stems.select("path").distinct(), "stems", free=False)), "least-stems", free=False)
     lengths = lengths_of(least)
     if not lengths:
         return rows.where("false")
