@@ -5,9 +5,9 @@ documents make a binary trie; the trie is joined with itself by walking pairs of
 the bits in which their prefixes differ, and leaving a pair as soon as the budget is exceeded.
 
 :func:`simhash_groups` links 64-bit fingerprints within a budget of bits. :func:`similar_groups`
-links documents whose shingle sets have a Jaccard similarity of about a threshold or more; at 0.8
-some tenth of all bits differ, more than one trie join can afford, so it repeats the join over
-short keys cut from a long fingerprint, takes pairs whose whole fingerprints are near enough as
+links documents whose shingle sets have a Jaccard similarity of a threshold or more; at 0.8 some
+seventh of all bits differ, more than one trie join can afford, so it repeats the join over short
+keys cut from a long fingerprint, takes pairs whose whole fingerprints are near enough as
 candidates, and confirms each by its sets of shingles. Texts of few shingles, where SimHashes say
 little, get their candidates from an exact prefix filter instead.
 """
@@ -34,8 +34,8 @@ BITS = 64
 #: Fingerprints below a node of the trie at which the tries are cut into units of work.
 NODE_SIZE = 16_384
 
-#: The same where whole long fingerprints travel along.
-WIDE_NODE_SIZE = 65_536
+#: Long fingerprints that a unit joins; where a bucket has more than twice as many, its parts are paired.
+UNIT_ROWS = 262_144
 
 #: Nodes of the cut trie at most; beyond NODE_SIZE times this, nodes grow instead.
 MAX_NODES = 4_096
@@ -168,19 +168,20 @@ class Budget:
         return [Budget(self.depth, self.total, u) for u in (self.total // 2, (self.total + 1) // 2 - 1) if u >= 0]
 
 
-def join_tries(left: np.ndarray, right: np.ndarray | None, budget: Budget, confirm=None) -> tuple[np.ndarray, np.ndarray]:
+def join_tries(left: np.ndarray, right: np.ndarray | None, budget: Budget, confirm=None, parent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (x, y) between ascending keys within the budget; indices count ``left``, then ``right``.
 
     ``right`` None joins ``left`` with itself. The two tries are walked together from pair to
     pair of nodes; a pair carries the bits by which its prefixes differ and is dropped when they
-    exceed the budget. ``confirm(x, y)``, if given, decides on each pair of leaves. Rather than
+    exceed the budget. ``confirm(x, y)``, if given, decides on each pair of leaves, and ``parent``
+    tells which belong together from the start (each its set's smallest member). Rather than
     every link, the result has the edges of a spanning forest: pairs of nodes whose leaves are
     linked already are dropped too, which is why the walk is made with growing budgets.
     """
     values = left if right is None else np.concatenate((left, right))
     n, shift = len(left), 0 if right is None else len(left)
     a, b = Trie(left), Trie(left if right is None else right)
-    parent = np.arange(len(values))
+    parent = np.arange(len(values)) if parent is None else parent.copy()
     for limit in [x for x in (1, 2) if x < budget.total] + [budget.total]:
         label = roots(parent, np.arange(len(values)))
         changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
@@ -326,25 +327,22 @@ def node_pairs(nodes: list[tuple[int, int]], budget: Budget) -> list[tuple[int,
     return found
 
 
-def trie_links(table: DataFrame, n: int, depth: int, total: int, node_size: int = NODE_SIZE, bounds: tuple[int, int] | None = None) -> DataFrame:
+def trie_links(table: DataFrame, n: int, depth: int, total: int, node_size: int = NODE_SIZE) -> DataFrame:
     """(a, b) edges between ``id`` that span every group linked within ``total`` bits of the key.
 
-    ``table`` has ``n`` rows of ``id`` (long), ``fp`` (long; its ``depth`` most balanced bits are
-    the key) and ``sig``. With ``bounds`` (sure, most) given, the edges are pairs whose ``sig``,
-    all of the same length, differ in at most ``most`` bits: a spanning forest of those within
-    ``sure`` bits, marked in a column ``sure``, and every other pair that the forest of its unit
-    does not connect.
+    ``table`` has ``n`` rows of ``id`` (long) and ``fp`` (long; its ``depth`` most balanced bits are
+    the key).
     """
     order = bit_order(table, depth)
     half, links = depth // 2, None
     for k, budget in enumerate(Budget(depth, total, total).halves()):
         turn = order if k == 0 else order[half:] + order[:half]
-        part = rotation_links(table, turn, n, budget, node_size, bounds)
+        part = rotation_links(table, turn, n, budget, node_size)
         links = part if links is None else links.unionByName(part)
     return links.distinct()
 
 
-def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, node_size: int, bounds: tuple[int, int] | None) -> DataFrame:
+def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, node_size: int) -> DataFrame:
     nodes = frontier(table, order, n, node_size)
     pairs = node_pairs(nodes, budget)
     starts = np.array([(p & (1 << BITS) - 1) << (BITS - d) if d else 0 for d, p in nodes], np.uint64)
@@ -364,7 +362,6 @@ def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, n
         part = pa.Table.from_batches(held)
         ids = part.column("id").to_numpy()
         keys = reordered(part.column("fp").to_numpy().view(np.uint64), order)
-        sigs = joined(part.column("sig"))
         at = np.searchsorted(starts, keys, side="right") - 1
         by_node = np.argsort(at, kind="stable")
         edges = np.searchsorted(at[by_node], np.arange(len(starts) + 1))
@@ -372,7 +369,7 @@ def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, n
             mine = by_node[edges[k] : edges[k + 1]]
             if len(mine):
                 rows = units_of.get(int(node), [])
-                blob = keys[mine].tobytes() + ids[mine].tobytes() + sigs[mine].tobytes()
+                blob = keys[mine].tobytes() + ids[mine].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([u for u, _ in rows], pa.int32()), pa.array([s for _, s in rows], pa.int32()), pa.array([len(mine)] * len(rows), pa.int32()), pa.array([blob] * len(rows), pa.binary())],
                     ["unit", "side", "n", "data"],
@@ -382,31 +379,28 @@ def rotation_links(table: DataFrame, order: list[int], n: int, budget: Budget, n
         i, j = pairs[unit.column("unit")[0].as_py()]
         sides = [opened(unit, side) for side in ((0,) if i == j else (0, 1))]
         if any(s is None for s in sides):
-            empty = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
-            return pa.table(empty if bounds is None else empty | {"sure": np.zeros(0, bool)})
-        ids, sigs = (np.concatenate([s[k] for s in sides]) for k in (1, 2))
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        ids = np.concatenate([s[1] for s in sides])
+        x, y = join_tries(sides[0][0], sides[1][0] if i != j else None, budget)
+        return pa.table({"a": ids[x], "b": ids[y]})
 
-        if bounds is None:
-            x, y = join_tries(sides[0][0], sides[1][0] if i != j else None, budget)
-            return pa.table({"a": ids[x], "b": ids[y]})
-        forest, found, unsure = np.arange(len(ids)), [], []
+    return table.select("id", "fp").mapInArrow(deal, "unit int, side int, n int, data binary").groupBy("unit").applyInArrow(match, "a long, b long")
 
-        def confirm(x, y):
-            bits = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64)
-            sure, maybe = bits <= bounds[0], (bits > bounds[0]) & (bits <= bounds[1])
-            found.append(np.stack(spanning(forest, x[sure], y[sure])))
-            unsure.append(np.unique(np.stack((np.minimum(x[maybe], y[maybe]), np.maximum(x[maybe], y[maybe]))), axis=1))
-            return sure
 
-        join_tries(sides[0][0], sides[1][0] if i != j else None, budget, confirm)
-        none = np.zeros((2, 0), np.int64)
-        x, y = np.unique(np.concatenate([none, *unsure], axis=1), axis=1)
-        apart = roots(forest, x) != roots(forest, y)
-        n_sure = sum(f.shape[1] for f in found)
-        x, y = np.concatenate([none, *found, np.stack((x[apart], y[apart]))], axis=1)
-        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "sure": np.arange(len(x)) < n_sure})
+def opened(unit: pa.Table, side: int):
+    """(keys, ids) of one side of a unit, by ascending keys."""
+    found = []
+    for s, n, blob in zip(*(unit.column(c).to_pylist() for c in ("side", "n", "data"))):
+        if s == side:
+            found.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n)))
+    if not found:
+        return None
+    keys, ids = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], ids[order]
 
-    return table.select("id", "fp", "sig").mapInArrow(deal, "unit int, side int, n int, data binary").groupBy("unit").applyInArrow(match, "a long, b long" if bounds is None else "a long, b long, sure boolean")
+
+# ---------------------------------------------------------------- long fingerprints
 
 
 def joined(sigs: pa.ChunkedArray) -> np.ndarray:
@@ -415,17 +409,100 @@ def joined(sigs: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint64).reshape(len(blobs), -1)
 
 
-def opened(unit: pa.Table, side: int):
-    """(keys, ids, sigs) of one side of a unit, by ascending keys."""
-    found = []
-    for s, n, blob in zip(*(unit.column(c).to_pylist() for c in ("side", "n", "data"))):
-        if s == side:
-            found.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n), np.frombuffer(blob, np.uint64, -1, 16 * n).reshape(n, -1)))
-    if not found:
-        return None
-    keys, ids, sigs = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(keys, kind="stable")
-    return keys[order], ids[order], sigs[order]
+def buckets_of(sigs: np.ndarray, exact: int) -> np.ndarray:
+    """For each fingerprint and word the bucket: the word's number, and ``exact`` bits of its lower half."""
+    low = (sigs & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - exact)
+    return (np.arange(sigs.shape[1], dtype=np.int64) << exact) + low.astype(np.int64)
+
+
+def unit_pairs(sides: list[np.ndarray], word: int, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of a unit. Rows are a node, its set of nodes, and a fingerprint; ``word`` has the key."""
+    rows, n_left = np.concatenate(sides), len(sides[0])
+    nodes, sigs = rows[:, 0].view(np.int64), rows[:, 2:]
+    upper = sigs[:, word] >> np.uint64(32)
+    _, first, place = np.unique(rows[:, 1], return_index=True, return_inverse=True)
+    sets = first[place]  # the first row of its set
+    found = [(nodes[:0], nodes[:0])]
+    for k, budget in enumerate(Budget(32, KEY_BUDGET, KEY_BUDGET).halves() if len(nodes) else []):
+        turned = upper if k == 0 else (upper << np.uint64(16) | upper >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+        keys = turned << np.uint64(32)
+        order = np.concatenate((np.argsort(keys[:n_left], kind="stable"), n_left + np.argsort(keys[n_left:], kind="stable")))
+        _, first, place = np.unique(sets[order], return_index=True, return_inverse=True)
+
+        def confirm(x, y):
+            x, y = order[x], order[y]
+            near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= most
+            if forest:
+                x, y = spanning(sets, x[near], y[near])
+                found.append((nodes[x], nodes[y]))
+                return near
+            found.append((nodes[x[near]], nodes[y[near]]))
+            return np.zeros(len(near), bool)
+
+        right = keys[order[n_left:]] if len(sides) > 1 else None
+        join_tries(keys[order[:n_left]], right, budget, confirm, first[place])
+        sets = roots(sets, np.arange(len(sets)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
+    return (nodes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def key_links(table: DataFrame, words: int, exact: int, most: int, forest: bool) -> DataFrame:
+    """(a, b), a < b: pairs of ``node`` of different ``comp`` whose ``sig`` differ in at most ``most`` bits.
+
+    A pair is found where one of the words of their fingerprints agrees in ``exact`` bits of the
+    lower half and within KEY_BUDGET in the upper half, which is the key of the trie join. With
+    ``forest``, the pairs of a unit are a spanning forest of those; else they are all of them.
+
+    Units are the buckets; one of over twice UNIT_ROWS is dealt into parts, and pairs of parts are
+    units of their own.
+    """
+
+    def sizes(batches):
+        for batch in batches:
+            if len(batch):
+                found, n = np.unique(buckets_of(joined(batch.column(0)), exact), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["bucket", "n"])
+
+    counts = table.select("sig").mapInArrow(sizes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    split = {r["bucket"]: -(-r["n"] // UNIT_ROWS) for r in counts.where(F.col("n") > 2 * UNIT_ROWS).collect()}
+
+    def deal(batches):
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        part = pa.Table.from_batches(held)
+        sigs = joined(part.column("sig"))
+        rows = np.concatenate((part.column("node").to_numpy().view(np.uint64)[:, None], part.column("comp").to_numpy().view(np.uint64)[:, None], sigs), axis=1)
+        buckets = buckets_of(sigs, exact)
+        out = []
+        for word in range(sigs.shape[1]):
+            order = np.argsort(buckets[:, word], kind="stable")
+            first = np.flatnonzero(np.diff(buckets[order, word], prepend=-1))
+            for mine in np.split(order, first[1:]):
+                bucket = int(buckets[mine[0], word])
+                parts = split.get(bucket, 1)
+                own = part_of(rows[mine, 0], parts)
+                for k in range(parts):
+                    data = rows[mine[own == k]].tobytes() if parts > 1 else rows[mine].tobytes()
+                    if data:
+                        out += [(bucket, min(k, j), max(k, j), int(k > j), data) for j in range(parts)]
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "i", "j", "side", "data"])
+                out = []
+
+    def match(unit: pa.Table) -> pa.Table:
+        bucket, i, j = (unit.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        blobs = list(zip(unit.column("side").to_pylist(), unit.column("data").to_pylist()))
+        sides = [np.frombuffer(b"".join(d for k, d in blobs if k == side), np.uint64).reshape(-1, words + 2) for side in range(1 + (i != j))]
+        a, b = unit_pairs(sides, bucket >> exact, most, forest)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    dealt = table.select("node", "comp", "sig").mapInArrow(deal, "bucket long, i int, j int, side int, data binary")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(match, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- operators
@@ -460,15 +537,12 @@ def simhash_groups(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
 
-#: Bits of a key cut from a long fingerprint, how many of them may differ, and the recall at the threshold that sets the number of keys.
-KEY_BITS, KEY_BUDGET, KEY_RECALL = 32, 4, 0.999
+#: How many bits of a key, 32 bits of a long fingerprint, may differ, and the recall at the threshold that sets the number of keys.
+KEY_BUDGET, KEY_RECALL = 4, 0.999
 
 #: Standard deviations of the estimated distance by which the whole fingerprint of a candidate may exceed the threshold's.
 SLACK = 4.0
 
-#: Standard deviations below the threshold's distance from which on a link is taken for sure until its shingles are compared.
-SURE = 6.0
-
 #: Distinct shingles up to which candidates come from the prefix filter, not from SimHashes.
 FEW = 64
 
@@ -482,15 +556,15 @@ def differing(similarity: float) -> float:
 
 
 def keys_needed(n: int, similarity: float) -> tuple[int, int]:
-    """(bits of a key, number of keys) for ``n`` fingerprints.
+    """(bits that agree, number of words) for ``n`` fingerprints.
 
-    Two bits more for every fourfold growth beyond four million hold the number of chance hits
-    per fingerprint down; more bits need more keys for the same recall.
+    A bit more that has to agree for every doubling beyond UNIT_ROWS holds the buckets' size; more
+    bits need more words for the same recall.
     """
-    bits = KEY_BITS + 2 * max(0, math.ceil(math.log(max(n, 1) / 2**22, 4)))
+    exact = max(0, math.ceil(math.log2(max(n, 1) / UNIT_ROWS)))
     p = differing(similarity)
-    hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(KEY_BUDGET + 1))
-    return min(bits, BITS), math.ceil(math.log(1 - KEY_RECALL) / math.log(1 - hit))
+    hit = (1 - p) ** exact * sum(math.comb(32, k) * p**k * (1 - p) ** (32 - k) for k in range(KEY_BUDGET + 1))
+    return min(exact, 32), math.ceil(math.log(1 - KEY_RECALL) / math.log(1 - hit))
 
 
 def shingle_set(text: str, size: int) -> tuple[np.ndarray, bytes]:
@@ -540,7 +614,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``links`` (a, b, sure) with ``good``: whether their shingle sets are similar enough.
+    """``links`` (a, b) with ``good``: whether their shingle sets are similar enough.
 
     ``table`` (node, least, digest) tells the nodes' texts in ``base``: one of id ``least`` whose
     set has the digest. Only the texts of linked nodes are read again.
@@ -558,15 +632,15 @@ def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, sim
 
     def compare(batches):
         for batch in batches:
-            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(good, pa.bool_())], ["a", "b", "sure", "good"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(table.select("node", "least", "digest"), "node")
     texts = wanted.join(base.select("id", "text"), F.col("id") == F.col("least")).select("node", "digest", "text")
     known = save_table(texts.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
     both = links.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return save_table(both.select("a", "b", "sure", "x", "y").mapInArrow(compare, "a long, b long, sure boolean, good boolean"), "compared-links")
+    return save_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean"), "compared-links")
 
 
 def few_links(table: DataFrame, similarity: float) -> DataFrame:
@@ -639,33 +713,29 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     key brings a pair at the threshold together with a chance of KEY_RECALL, a closer pair with a
     greater one, and the whole fingerprint may exceed the threshold's distance by SLACK deviations.
 
-    Pairs that links within SURE deviations connect are not compared. Should a single one of
-    those links turn out to be false, all candidates are found again without them.
+    The pairs of texts of many shingles come in two turns. The first takes a spanning forest of the
+    candidates of each unit, so a group of copies costs a link for each, not for each pair. The
+    second takes every candidate pair that the links confirmed so far do not connect.
     """
     base = packed(docs, id_col, text_col).where("id is not null")
-    bits, words = keys_needed(base.count(), similarity)
+    exact, words = keys_needed(base.count(), similarity)
     few = math.floor(FEW / similarity + 1e-9)
     prints = save_table(long_fingerprints(base, size, words, few), "long-fingerprints")
     # Equal sets are one node.
     table = prints.groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("few").alias("few"))
     table = save_table(table.withColumn("node", F.monotonically_increasing_id()), "distinct-shingle-sets")
-    long = table.where("sig is not null")
-    n = long.count()
+    long = table.where("sig is not null").select("node", "sig")
     p = differing(similarity)
-    mean, deviation = BITS * words * p, math.sqrt(BITS * words * p * (1 - p))
-    most = math.floor(mean + SLACK * deviation)
-    for sure in (math.floor(mean - SURE * deviation), -1):
-        links = None
-        for w in range(words):
-            word = F.substring("sig", 8 * w + 1, 8)  # its bits in any order make a key
-            keyed = long.select(F.col("node").alias("id"), F.conv(F.hex(word), 16, -10).cast("long").alias("fp"), "sig")
-            part = save_table(trie_links(keyed, n, bits, KEY_BUDGET, WIDE_NODE_SIZE, (sure, most)), "similar-links")
-            links = part if links is None else links.unionByName(part)
-        links = save_table(links.groupBy("a", "b").agg(F.max("sure").alias("sure")), "candidates")
-        checked = compared(links, table, base, size, similarity)
-        if not checked.where("sure and not good").count():
-            break
-    links = checked.where("good").select("a", "b").unionByName(few_links(table.where(F.col("n").between(1, few)).select("node", "n", "few"), similarity))
+    most = math.floor(BITS * words * p + SLACK * math.sqrt(BITS * words * p * (1 - p)))
+    tree = save_table(key_links(long.withColumn("comp", F.col("node")), words, exact, most, True), "candidates")
+    checked = compared(tree, table, base, size, similarity)
+    few_known = few_links(table.where(F.col("n").between(1, few)).select("node", "n", "few"), similarity)
+    links = save_table(checked.where("good").select("a", "b").unionByName(few_known), "similar-links")
+    sets = connected_components(links)
+    marked = long.join(sets, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    rest = key_links(save_table(marked.select("node", "comp", "sig"), "marked-fingerprints"), words, exact, most, False)
+    rest = save_table(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    links = links.unionByName(compared(rest, table, base, size, similarity).where("good").select("a", "b"))
     least = table.select("node", "least")
     named = links.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = prints.join(table.select("digest", "least"), "digest").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))

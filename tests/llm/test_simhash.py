@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from pathloom.llm import simhash as s
@@ -87,9 +88,25 @@ def test_similar_groups(spark, none):
 
 
 def test_key_plan():
-    assert s.keys_needed(1000, 0.8) == s.keys_needed(10**6, 0.8)
-    bits, n = s.keys_needed(10**10, 0.8)
-    assert bits > s.KEY_BITS and n > s.keys_needed(1000, 0.8)[1]
+    assert s.keys_needed(1000, 0.8) == s.keys_needed(s.UNIT_ROWS, 0.8)
+    exact, n = s.keys_needed(10**10, 0.8)
+    assert 2**exact * s.UNIT_ROWS >= 10**10 and n > s.keys_needed(1000, 0.8)[1]
+
+
+@pytest.mark.parametrize("unit_rows", [40, 12])
+def test_many_buckets_and_large_ones(spark, monkeypatch, unit_rows):
+    """Groups of near copies and a large one, with few fingerprints to a unit."""
+    monkeypatch.setattr(s, "UNIT_ROWS", unit_rows)
+    rng, rows = np.random.default_rng(5), []
+    for k in range(90):
+        base = [f"g{k}w{i}" for i in range(200)]
+        for c in range(60 if k == 7 else 2):
+            words = list(base)
+            for at in rng.choice(200, int(rng.integers(1, 3)), replace=False):
+                words[at] = f"x{rng.integers(10**6)}"
+            rows.append((100 * k + c, " ".join(words)))
+    found = s.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["id"], r["component_id"]) for r in found} == jaccard_components(rows, 5, 0.8)
 
 
 def test_components(spark):
