@@ -56,7 +56,7 @@ HELD_WORDS, HELD_PAIRS = 400_000, 2_000_000
 BLOCK_BYTES = 8 << 20
 
 #: Numbers in a matrix that a task makes to compare classes.
-HELD_GAINS = 2_000_000
+HELD_GAINS = 500_000
 
 #: How many times a count a cell must be for the series of a gain.
 SERIES = 8
@@ -86,6 +86,11 @@ def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), np.diff(before[edges])
 
 
+def release_memory() -> None:
+    """Give back what Arrow holds for later; a worker stays, and others need the room."""
+    pa.default_memory_pool().release_unused()
+
+
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     """The ids of the texts' words with the end before each text."""
     return np.insert(ids, np.cumsum(counts) - counts, end)
@@ -141,6 +146,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             yield from as_batches(total(held))
+        release_memory()
 
     def as_batches(table):
         for part in table.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches(100_000):
@@ -215,8 +221,10 @@ def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
             if held_now > HELD_PAIRS:
                 yield out(words, counts)
                 words, counts, held_now = [], [], 0
+                release_memory()
         if counts:
             yield out(words, counts)
+        release_memory()
 
     def merge(table: pa.Table) -> pa.Table:
         size = len(held.value) + SHAPES + 1
@@ -575,11 +583,13 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def distinct_words(table: pa.Table) -> pa.Table:
+        release_memory()
         found = words_of(table.column("text"))[0].unique()
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(found), pa.int32()), "word": found.cast(pa.binary())})
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        release_memory()
         m = held.value
         said, counts = words_of(texts.column("text"))
         listed = words.column("word").combine_chunks().cast(pa.large_binary())
