@@ -94,6 +94,13 @@ def test_micro_batches(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(source)
         upsert.join_batches(stream, f"{tmp_path}/t", f"{tmp_path}/c", SUM).awaitTermination(120)
     assert back(upsert.current(spark, f"{tmp_path}/t")) == {b"a": 12, b"b": 5, b"c": 1} and len(upsert.versions(spark, f"{tmp_path}/t")) == 2
+    assert back(upsert.current(spark, f"{tmp_path}/t", before=1)) == {b"a": 2, b"b": 5}
+    # The second version has the buckets of its own paths only.
+    assert len(list((tmp_path / "t" / "v=1").glob("bucket=*"))) <= 2
+    for k in range(3):
+        spark.createDataFrame([(bytearray(b"a"), 1, 9 + k), (bytearray(b"b"), 1, 9 + k), (bytearray(b"c"), 1, 9 + k)], schema).write.mode("append").parquet(source)
+        upsert.join_batches(spark.readStream.schema(schema).parquet(source), f"{tmp_path}/t", f"{tmp_path}/c", SUM).awaitTermination(120)
+    assert back(upsert.current(spark, f"{tmp_path}/t")) == {b"a": 15, b"b": 8, b"c": 4} and upsert.versions(spark, f"{tmp_path}/t") == [3, 4]
 
 
 def test_shared_tables(spark):
