@@ -17,6 +17,7 @@ against a shared class table. All counts are of the whole training corpus.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from dataclasses import dataclass
@@ -87,8 +88,11 @@ def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def release_memory() -> None:
-    """Give back what Arrow holds for later; a worker stays, and others need the room."""
+    """Give back what Arrow and the C library hold for later; a worker stays, and others need the room."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there is none beside glibc
+    if trim:
+        trim(0)
 
 
 def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
@@ -227,6 +231,7 @@ def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
         release_memory()
 
     def merge(table: pa.Table) -> pa.Table:
+        release_memory()
         size = len(held.value) + SHAPES + 1
         sides, cols = table.column("side").to_numpy(), [[], []]
         for side in (0, 1):
@@ -443,6 +448,7 @@ def moves(edges: DataFrame, owner: np.ndarray, table: np.ndarray, still: np.ndar
                 best, gain = best_classes(table, own, *vectors, loop)
                 moved = best != own
                 yield pa.RecordBatch.from_arrays([pa.array(items[moved], pa.int64()), pa.array(best[moved], pa.int64()), pa.array(gain[moved])], ["item", "class", "gain"])
+        release_memory()
 
     mine = edges.where(F.col("part") % min(turns, PARTS) == turn % PARTS)
     found = mine.select("right", "left").mapInArrow(run, "item long, class long, gain double").toArrow()
