@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.columns import packed
+from pathloom.llm.columns import packed, small
 from pathloom.llm.components import connected_components
 from pathloom.shared import save_table
 
@@ -637,7 +637,9 @@ def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, sim
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(table.select("node", "least", "digest"), "node")
-    texts = wanted.join(base.select("id", "text"), F.col("id") == F.col("least")).select("node", "digest", "text")
+    wanted = save_table(wanted, "linked-nodes", free=False)
+    # Behind its count the list of ids is broadcast, and texts stay where they are.
+    texts = small(wanted, wanted.count()).join(base.select("id", "text"), F.col("id") == F.col("least")).select("node", "digest", "text")
     known = save_table(texts.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
     both = links.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return save_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean"), "compared-links")
