@@ -43,8 +43,8 @@ MAX_NODES = 4_096
 #: Leaf pairs of two nodes from which on they are compared outright.
 BRUTE = 64
 
-#: Node pairs that a task expands, and leaf pairs that it compares, at once.
-CHUNK, LEAVES = 50_000, 250_000
+#: Node pairs that a task expands, leaf pairs that it compares, and pairs that it holds before it keeps a forest of them, at once.
+CHUNK, LEAVES, HELD_PAIRS = 50_000, 250_000, 2_000_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -415,46 +415,70 @@ def buckets_of(sigs: np.ndarray, exact: int) -> np.ndarray:
     return (np.arange(sigs.shape[1], dtype=np.int64) << exact) + low.astype(np.int64)
 
 
-def unit_pairs(sides: list[np.ndarray], word: int, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of nodes of a unit. Rows are a node, its set of nodes, and a fingerprint; ``word`` has the key."""
+def unit_pairs(sides: list[np.ndarray], word: int, sure: int, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of a unit. Rows are a node, its set of nodes, and a fingerprint; ``word`` has the key.
+
+    A forest takes pairs within ``sure`` bits as they come, and of the others the nearest first: of
+    a group around one text, the links to that text rather than those between its copies.
+    """
     rows, n_left = np.concatenate(sides), len(sides[0])
     nodes, sigs = rows[:, 0].view(np.int64), rows[:, 2:]
     upper = sigs[:, word] >> np.uint64(32)
     _, first, place = np.unique(rows[:, 1], return_index=True, return_inverse=True)
     sets = first[place]  # the first row of its set
     found = [(nodes[:0], nodes[:0])]
+    none = np.zeros(0, np.int64)
     for k, budget in enumerate(Budget(32, KEY_BUDGET, KEY_BUDGET).halves() if len(nodes) else []):
         turned = upper if k == 0 else (upper << np.uint64(16) | upper >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
         keys = turned << np.uint64(32)
         order = np.concatenate((np.argsort(keys[:n_left], kind="stable"), n_left + np.argsort(keys[n_left:], kind="stable")))
-        _, first, place = np.unique(sets[order], return_index=True, return_inverse=True)
-
-        def confirm(x, y):
-            x, y = order[x], order[y]
-            near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= most
-            if forest:
-                x, y = spanning(sets, x[near], y[near])
-                found.append((nodes[x], nodes[y]))
-                return near
-            found.append((nodes[x[near]], nodes[y[near]]))
-            return np.zeros(len(near), bool)
-
         right = keys[order[n_left:]] if len(sides) > 1 else None
-        join_tries(keys[order[:n_left]], right, budget, confirm, first[place])
-        sets = roots(sets, np.arange(len(sets)))
+        for limit in (sure, most) if forest else (most,):
+            _, first, place = np.unique(sets[order], return_index=True, return_inverse=True)
+            held = [none, none]
+
+            def confirm(x, y):
+                x, y = order[x], order[y]
+                near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= limit
+                x, y = x[near], y[near]
+                if not forest:
+                    found.append((nodes[x], nodes[y]))
+                elif limit == sure:
+                    x, y = spanning(sets, x, y)
+                    found.append((nodes[x], nodes[y]))
+                    return near
+                else:
+                    held[0], held[1] = np.append(held[0], x), np.append(held[1], y)
+                    if len(held[0]) > HELD_PAIRS:
+                        held[:] = nearest_first(sets.copy(), *held, sigs)
+                return np.zeros(len(near), bool)
+
+            join_tries(keys[order[:n_left]], right, budget, confirm, first[place])
+            if len(held[0]):
+                x, y = nearest_first(sets, *held, sigs)
+                found.append((nodes[x], nodes[y]))
+            sets = roots(sets, np.arange(len(sets)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def nearest_first(sets: np.ndarray, x: np.ndarray, y: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join the sets like :func:`spanning`, by pairs in order of their distance."""
+    bits = np.concatenate([np.bitwise_count(sigs[x[at : at + LEAVES]] ^ sigs[y[at : at + LEAVES]]).sum(axis=1, dtype=np.int64) for at in range(0, len(x), LEAVES)])
+    order = np.argsort(bits, kind="stable")
+    return spanning(sets, x[order], y[order])
+
+
 def part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
     return (nodes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
 
 
-def key_links(table: DataFrame, words: int, exact: int, most: int, forest: bool) -> DataFrame:
+def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int, forest: bool) -> DataFrame:
     """(a, b), a < b: pairs of ``node`` of different ``comp`` whose ``sig`` differ in at most ``most`` bits.
 
     A pair is found where one of the words of their fingerprints agrees in ``exact`` bits of the
     lower half and within KEY_BUDGET in the upper half, which is the key of the trie join. With
-    ``forest``, the pairs of a unit are a spanning forest of those; else they are all of them.
+    ``forest``, the pairs of a unit are a spanning forest of those, in which near ones come first;
+    else they are all of them. What is within ``sure`` bits needs no order.
 
     Units are the buckets; one of over twice UNIT_ROWS is dealt into parts, and pairs of parts are
     units of their own.
@@ -498,7 +522,7 @@ def key_links(table: DataFrame, words: int, exact: int, most: int, forest: bool)
         bucket, i, j = (unit.column(c)[0].as_py() for c in ("bucket", "i", "j"))
         blobs = list(zip(unit.column("side").to_pylist(), unit.column("data").to_pylist()))
         sides = [np.frombuffer(b"".join(d for k, d in blobs if k == side), np.uint64).reshape(-1, words + 2) for side in range(1 + (i != j))]
-        a, b = unit_pairs(sides, bucket >> exact, most, forest)
+        a, b = unit_pairs(sides, bucket >> exact, sure, most, forest)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     dealt = table.select("node", "comp", "sig").mapInArrow(deal, "bucket long, i int, j int, side int, data binary")
@@ -716,7 +740,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     greater one, and the whole fingerprint may exceed the threshold's distance by SLACK deviations.
 
     The pairs of texts of many shingles come in two turns. The first takes a spanning forest of the
-    candidates of each unit, so a group of copies costs a link for each, not for each pair. The
+    candidates of each unit, by their nearest pairs, so a group of copies costs a link for each, not for each pair. The
     second takes every candidate pair that the links confirmed so far do not connect.
     """
     base = packed(docs, id_col, text_col).where("id is not null")
@@ -728,14 +752,14 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     table = save_table(table.withColumn("node", F.monotonically_increasing_id()), "distinct-shingle-sets")
     long = table.where("sig is not null").select("node", "sig")
     p = differing(similarity)
-    most = math.floor(BITS * words * p + SLACK * math.sqrt(BITS * words * p * (1 - p)))
-    tree = save_table(key_links(long.withColumn("comp", F.col("node")), words, exact, most, True), "candidates")
+    sure, most = (math.floor(BITS * words * p + d * math.sqrt(BITS * words * p * (1 - p))) for d in (-SLACK, SLACK))
+    tree = save_table(key_links(long.withColumn("comp", F.col("node")), words, exact, sure, most, True), "candidates")
     checked = compared(tree, table, base, size, similarity)
     few_known = few_links(table.where(F.col("n").between(1, few)).select("node", "n", "few"), similarity)
     links = save_table(checked.where("good").select("a", "b").unionByName(few_known), "similar-links")
     sets = connected_components(links)
     marked = long.join(sets, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    rest = key_links(save_table(marked.select("node", "comp", "sig"), "marked-fingerprints"), words, exact, most, False)
+    rest = key_links(save_table(marked.select("node", "comp", "sig"), "marked-fingerprints"), words, exact, sure, most, False)
     rest = save_table(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
     links = links.unionByName(compared(rest, table, base, size, similarity).where("good").select("a", "b"))
     least = table.select("node", "least")
