@@ -415,15 +415,15 @@ def buckets_of(sigs: np.ndarray, exact: int) -> np.ndarray:
     return (np.arange(sigs.shape[1], dtype=np.int64) << exact) + low.astype(np.int64)
 
 
-def unit_pairs(sides: list[np.ndarray], word: int, sure: int, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of nodes of a unit. Rows are a node, its set of nodes, and a fingerprint; ``word`` has the key.
+def unit_pairs(sides: list[np.ndarray], sure: int, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes of a unit. Rows are a node, its set of nodes, the words to compare, and the word with the key.
 
     A forest takes pairs within ``sure`` bits as they come, and of the others the nearest first: of
     a group around one text, the links to that text rather than those between its copies.
     """
     rows, n_left = np.concatenate(sides), len(sides[0])
-    nodes, sigs = rows[:, 0].view(np.int64), rows[:, 2:]
-    upper = sigs[:, word] >> np.uint64(32)
+    nodes, sigs = rows[:, 0].view(np.int64), rows[:, 2:-1]
+    upper = rows[:, -1] >> np.uint64(32)
     _, first, place = np.unique(rows[:, 1], return_index=True, return_inverse=True)
     sets = first[place]  # the first row of its set
     found = [(nodes[:0], nodes[:0])]
@@ -499,10 +499,11 @@ def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int, fo
             return
         part = pa.Table.from_batches(held)
         sigs = joined(part.column("sig"))
-        rows = np.concatenate((part.column("node").to_numpy().view(np.uint64)[:, None], part.column("comp").to_numpy().view(np.uint64)[:, None], sigs), axis=1)
+        rows = np.concatenate((part.column("node").to_numpy().view(np.uint64)[:, None], part.column("comp").to_numpy().view(np.uint64)[:, None], sigs[:, :COMPARED], sigs[:, :1]), axis=1)
         buckets = buckets_of(sigs, exact)
         out = []
         for word in range(sigs.shape[1]):
+            rows[:, -1] = sigs[:, word]
             order = np.argsort(buckets[:, word], kind="stable")
             first = np.flatnonzero(np.diff(buckets[order, word], prepend=-1))
             for mine in np.split(order, first[1:]):
@@ -519,10 +520,10 @@ def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int, fo
                 out = []
 
     def match(unit: pa.Table) -> pa.Table:
-        bucket, i, j = (unit.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        i, j = (unit.column(c)[0].as_py() for c in ("i", "j"))
         blobs = list(zip(unit.column("side").to_pylist(), unit.column("data").to_pylist()))
-        sides = [np.frombuffer(b"".join(d for k, d in blobs if k == side), np.uint64).reshape(-1, words + 2) for side in range(1 + (i != j))]
-        a, b = unit_pairs(sides, bucket >> exact, sure, most, forest)
+        sides = [np.frombuffer(b"".join(d for k, d in blobs if k == side), np.uint64).reshape(-1, min(words, COMPARED) + 3) for side in range(1 + (i != j))]
+        a, b = unit_pairs(sides, sure, most, forest)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     dealt = table.select("node", "comp", "sig").mapInArrow(deal, "bucket long, i int, j int, side int, data binary")
@@ -561,6 +562,9 @@ def simhash_groups(docs: DataFrame, size: int = 4, budget: int = 4, id_col: str
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
 
+#: Words of two long fingerprints that are compared; further ones only serve as keys.
+COMPARED = 12
+
 #: How many bits of a key, 32 bits of a long fingerprint, may differ, and the recall at the threshold that sets the number of keys.
 KEY_BUDGET, KEY_RECALL = 4, 0.999
 
@@ -752,7 +756,8 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     table = save_table(table.withColumn("node", F.monotonically_increasing_id()), "distinct-shingle-sets")
     long = table.where("sig is not null").select("node", "sig")
     p = differing(similarity)
-    sure, most = (math.floor(BITS * words * p + d * math.sqrt(BITS * words * p * (1 - p))) for d in (-SLACK, SLACK))
+    bits = BITS * min(words, COMPARED)
+    sure, most = (math.floor(bits * p + d * math.sqrt(bits * p * (1 - p))) for d in (-SLACK, SLACK))
     tree = save_table(key_links(long.withColumn("comp", F.col("node")), words, exact, sure, most, True), "candidates")
     checked = compared(tree, table, base, size, similarity)
     few_known = few_links(table.where(F.col("n").between(1, few)).select("node", "n", "few"), similarity)
