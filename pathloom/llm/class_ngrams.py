@@ -471,11 +471,15 @@ def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int, top: np.ndar
     than its share of that if none hurt another.
     """
     turns, still = 2, np.sort(np.append(top, len(owner) - 1))
+
+    def dense(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table of the frequent words and the classes, which has the class table in it, and its items' classes."""
+        place = len(top) + owner
+        place[top] = np.arange(len(top))
+        return class_table(edges, place, len(top) + classes), np.concatenate((owner[top], np.arange(classes)))
+
+    bigrams, first = dense(owner)
     while True:
-        dense = len(top) + owner
-        dense[top] = np.arange(len(top))
-        bigrams = class_table(edges, dense, len(top) + classes)
-        first = np.concatenate((owner[top], np.arange(classes)))
         start = log_likelihood(merged(bigrams, first, classes))
         after = exchange(bigrams, classes, first, len(top))
         owner = owner.copy()
@@ -487,14 +491,21 @@ def exchange_all(edges: DataFrame, owner: np.ndarray, classes: int, top: np.ndar
             item, to, promised = moves(edges, owner, table, still, turn, turns)
             moved = owner.copy()
             moved[item] = to
-            fresh = class_table(edges, moved, classes) if len(item) else table
+            turn += 1
+            if not len(item) and turn < turns:
+                continue
+            # The last table of a cycle serves the next one's exchange as well.
+            found = dense(moved) if turn == turns else None
+            fresh = merged(*found, classes) if found else class_table(edges, moved, classes)
             taken_back = len(item) and log_likelihood(fresh) <= now
             if taken_back and promised * turns > LEAST_GAIN * abs(now):
                 turns *= 2
+                bigrams, first = dense(owner)
             elif taken_back:
                 return owner, table
             else:
-                owner, table, now, turn = moved, fresh, log_likelihood(fresh), turn + 1
+                owner, table, now = moved, fresh, log_likelihood(fresh)
+                bigrams, first = found or (bigrams, first)
         if not taken_back and now - start <= LEAST_GAIN * abs(now):
             return owner, table
 
@@ -617,7 +628,8 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
 
     by_block = blocked.groupBy("block")
     words = by_block.applyInArrow(distinct_words, "block int, word binary")
-    known = words.join(vocabulary, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"))
+    # Words of the vocabulary are unique, so its parts are even and small enough to be hashed; the blocks' words need no sort.
+    known = words.join(vocabulary.hint("shuffle_hash"), "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"))
     return by_block.cogroup(known.groupBy("block")).applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
 
 
