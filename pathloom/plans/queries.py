@@ -14,7 +14,7 @@ from pathloom.operators.frame import PathFrame
 from pathloom.operators.prefixes import covered_by, prefix_minimal
 from pathloom.plans import tables as T
 from pathloom.plans.tables import FLAG_A, FLAG_B, GEO, INNER, NAMES, ORDERS, SIZES, TA, TB, URLS, WORDS, keyed_sql, nodes_sql, shown, table, taxa_sql
-from pathloom.shared import new_path
+from pathloom.shared import new_path, save_table
 from pathloom.sources import dag, path_files
 from pathloom.sources import tables as stored
 
@@ -970,6 +970,7 @@ def sequence_build(spark, d):
 def sequence_drop_heads(spark, d):
     """The second stage: the sequences without their first 0 to 9 numbers; a number takes two bytes."""
     t, found = _sequence_map(spark, d), None
+    t = t._with(save_table(t.df, "sequences"))
     long = lambda k: t._with(t.df.where(F.octet_length("path") >= 9 + 2 * k))
     for k in range(10):
         part = relocate.drop_head(long(k), b"", 2 * k).df.select(F.lit(k).cast("long").alias("dropped"), "value")
