@@ -415,42 +415,35 @@ def buckets_of(sigs: np.ndarray, exact: int) -> np.ndarray:
     return (np.arange(sigs.shape[1], dtype=np.int64) << exact) + low.astype(np.int64)
 
 
-def unit_pairs(sides: list[np.ndarray], sure: int, most: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of nodes of a unit. Rows are a node, its set of nodes, the words to compare, and the word with the key.
+def unit_pairs(sides: list[np.ndarray], sure: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of a unit. Rows are a node, the words to compare, and the word with the key.
 
-    A forest takes pairs within ``sure`` bits as they come, and of the others the nearest first: of
-    a group around one text, the links to that text rather than those between its copies.
+    It takes pairs within ``sure`` bits as they come, and of the others the nearest first: of a
+    group around one text, the links to that text rather than those between its copies.
     """
     rows, n_left = np.concatenate(sides), len(sides[0])
-    nodes, sigs = rows[:, 0].view(np.int64), rows[:, 2:-1]
-    upper = rows[:, -1] >> np.uint64(32)
-    _, first, place = np.unique(rows[:, 1], return_index=True, return_inverse=True)
-    sets = first[place]  # the first row of its set
-    found = [(nodes[:0], nodes[:0])]
-    none = np.zeros(0, np.int64)
+    nodes, sigs = rows[:, 0].view(np.int64), rows[:, 1:-1]
+    upper, sets = rows[:, -1] >> np.uint64(32), np.arange(len(rows))
+    found, none = [(nodes[:0], nodes[:0])], np.zeros(0, np.int64)
     for k, budget in enumerate(Budget(32, KEY_BUDGET, KEY_BUDGET).halves() if len(nodes) else []):
         turned = upper if k == 0 else (upper << np.uint64(16) | upper >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
         keys = turned << np.uint64(32)
         order = np.concatenate((np.argsort(keys[:n_left], kind="stable"), n_left + np.argsort(keys[n_left:], kind="stable")))
         right = keys[order[n_left:]] if len(sides) > 1 else None
-        for limit in (sure, most) if forest else (most,):
+        for limit in (sure, most):
             _, first, place = np.unique(sets[order], return_index=True, return_inverse=True)
             held = [none, none]
 
             def confirm(x, y):
                 x, y = order[x], order[y]
                 near = np.bitwise_count(sigs[x] ^ sigs[y]).sum(axis=1, dtype=np.int64) <= limit
-                x, y = x[near], y[near]
-                if not forest:
-                    found.append((nodes[x], nodes[y]))
-                elif limit == sure:
-                    x, y = spanning(sets, x, y)
+                if limit == sure:
+                    x, y = spanning(sets, x[near], y[near])
                     found.append((nodes[x], nodes[y]))
                     return near
-                else:
-                    held[0], held[1] = np.append(held[0], x), np.append(held[1], y)
-                    if len(held[0]) > HELD_PAIRS:
-                        held[:] = nearest_first(sets.copy(), *held, sigs)
+                held[0], held[1] = np.append(held[0], x[near]), np.append(held[1], y[near])
+                if len(held[0]) > HELD_PAIRS:
+                    held[:] = nearest_first(sets.copy(), *held, sigs)
                 return np.zeros(len(near), bool)
 
             join_tries(keys[order[:n_left]], right, budget, confirm, first[place])
@@ -472,13 +465,13 @@ def part_of(nodes: np.ndarray, parts: int) -> np.ndarray:
     return (nodes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
 
 
-def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int, forest: bool) -> DataFrame:
-    """(a, b), a < b: pairs of ``node`` of different ``comp`` whose ``sig`` differ in at most ``most`` bits.
+def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int) -> DataFrame:
+    """(a, b), a < b: pairs of ``node`` whose ``sig`` differ in at most ``most`` bits.
 
     A pair is found where one of the words of their fingerprints agrees in ``exact`` bits of the
-    lower half and within KEY_BUDGET in the upper half, which is the key of the trie join. With
-    ``forest``, the pairs of a unit are a spanning forest of those, in which near ones come first;
-    else they are all of them. What is within ``sure`` bits needs no order.
+    lower half and within KEY_BUDGET in the upper half, which is the key of the trie join. The
+    pairs of a unit are a spanning forest of those, in which near ones come first; what is within
+    ``sure`` bits needs no order.
 
     Units are the buckets; one of over twice UNIT_ROWS is dealt into parts, and pairs of parts are
     units of their own.
@@ -499,7 +492,7 @@ def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int, fo
             return
         part = pa.Table.from_batches(held)
         sigs = joined(part.column("sig"))
-        rows = np.concatenate((part.column("node").to_numpy().view(np.uint64)[:, None], part.column("comp").to_numpy().view(np.uint64)[:, None], sigs[:, :COMPARED], sigs[:, :1]), axis=1)
+        rows = np.concatenate((part.column("node").to_numpy().view(np.uint64)[:, None], sigs[:, :COMPARED], sigs[:, :1]), axis=1)
         buckets = buckets_of(sigs, exact)
         out = []
         for word in range(sigs.shape[1]):
@@ -522,11 +515,11 @@ def key_links(table: DataFrame, words: int, exact: int, sure: int, most: int, fo
     def match(unit: pa.Table) -> pa.Table:
         i, j = (unit.column(c)[0].as_py() for c in ("i", "j"))
         blobs = list(zip(unit.column("side").to_pylist(), unit.column("data").to_pylist()))
-        sides = [np.frombuffer(b"".join(d for k, d in blobs if k == side), np.uint64).reshape(-1, min(words, COMPARED) + 3) for side in range(1 + (i != j))]
-        a, b = unit_pairs(sides, sure, most, forest)
+        sides = [np.frombuffer(b"".join(d for k, d in blobs if k == side), np.uint64).reshape(-1, min(words, COMPARED) + 2) for side in range(1 + (i != j))]
+        a, b = unit_pairs(sides, sure, most)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = table.select("node", "comp", "sig").mapInArrow(deal, "bucket long, i int, j int, side int, data binary")
+    dealt = table.select("node", "sig").mapInArrow(deal, "bucket long, i int, j int, side int, data binary")
     return dealt.groupBy("bucket", "i", "j").applyInArrow(match, "a long, b long").distinct()
 
 
@@ -574,6 +567,9 @@ SLACK = 4.0
 #: Distinct shingles up to which candidates come from the prefix filter, not from SimHashes.
 FEW = 64
 
+#: Texts of a cluster that a task compares with each other; where there are over twice as many, its parts are paired.
+CLUSTER_ROWS = 10_000
+
 #: Rows of the prefix filter that are compared together.
 PREFIX_ROWS = 20_000
 
@@ -641,8 +637,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common / (len(a) + len(b) - common) >= similarity
 
 
-def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, similarity: float) -> DataFrame:
-    """``links`` (a, b) with ``good``: whether their shingle sets are similar enough.
+def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``links`` (a, b) with ``good``, whether their shingle sets are similar enough, and those sets (node, hashes).
 
     ``table`` (node, least, digest) tells the nodes' texts in ``base``: one of id ``least`` whose
     set has the digest. Only the texts of linked nodes are read again.
@@ -670,7 +666,63 @@ def compared(links: DataFrame, table: DataFrame, base: DataFrame, size: int, sim
     texts = small(wanted, wanted.count()).join(base.select("id", "text"), F.col("id") == F.col("least")).select("node", "digest", "text")
     known = save_table(texts.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]), "shingle-sets")
     both = links.join(known.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return save_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean"), "compared-links")
+    return save_table(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, good boolean"), "compared-links"), known
+
+
+def cluster_links(tree: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between sets that ``known`` links leave apart, which join all similar ones.
+
+    Every candidate pair is in one component of the candidates' forest ``tree``, a cluster. Where
+    a cluster has nodes of several components of ``sets`` (node, component), its nodes' shingle sets
+    (``known``) meet in a task, which counts what they have in common with each other and hands
+    on links alone. A cluster of over twice CLUSTER_ROWS nodes is dealt into parts, and pairs of
+    parts meet.
+    """
+    clusters = save_table(connected_components(tree).select("node", F.col("component").alias("cluster")), "clusters")
+    marked = clusters.join(sets, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("comp"))
+    marked = save_table(marked, "clusters")
+    several = save_table(marked.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high"), "open-clusters")
+    open_ = marked.join(several.select("cluster", F.greatest(F.lit(1), F.ceil(F.col("n") / CLUSTER_ROWS) * (F.col("n") > 2 * CLUSTER_ROWS).cast("int")).cast("int").alias("parts")), "cluster")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = open_.join(known, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node", "comp", "hashes")
+
+    def match(unit: pa.Table) -> pa.Table:
+        two = unit.column("i")[0].as_py() != unit.column("j")[0].as_py()
+        second = unit.column("second").to_numpy() if two else np.zeros(len(unit), bool)
+        a, b = alike([np.frombuffer(h, np.uint64) for h in unit.column("hashes").to_pylist()], unit.column("comp").to_numpy(), second, two, similarity)
+        nodes = unit.column("node").to_numpy()
+        return pa.table({"a": nodes[a], "b": nodes[b]})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(match, "a long, b long")
+
+
+def alike(sets: list[np.ndarray], comp: np.ndarray, second: np.ndarray, two: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of similar sets that join all components of similar sets, given those of ``comp``.
+
+    With ``two``, sets that are ``second`` are compared with the others, else all with each other.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    # For each shingle the sets that have it.
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(shingle, kind="stable")
+    holders, begin = holder[order], np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2))
+    label, a, b = np.unique(comp, return_inverse=True)[1], [], []
+    ends = np.cumsum(size)
+    for x in np.flatnonzero(~second).tolist():
+        mine = shingle[ends[x] - size[x] : ends[x]]
+        length = begin[mine + 1] - begin[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        common = np.bincount(holders[at], minlength=len(sets))
+        near = (common >= similarity * (size + size[x] - common)) & (label != label[x])
+        near &= second if two else np.arange(len(sets)) > x
+        for y in np.flatnonzero(near).tolist():
+            if label[y] != label[x]:
+                a.append(x)
+                b.append(y)
+                label[label == label[y]] = label[x]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def few_links(table: DataFrame, similarity: float) -> DataFrame:
@@ -744,8 +796,9 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     greater one, and the whole fingerprint may exceed the threshold's distance by SLACK deviations.
 
     The pairs of texts of many shingles come in two turns. The first takes a spanning forest of the
-    candidates of each unit, by their nearest pairs, so a group of copies costs a link for each, not for each pair. The
-    second takes every candidate pair that the links confirmed so far do not connect.
+    candidates of each unit, by their nearest pairs, so a group of copies costs a link for each, not
+    for each pair. The second compares all texts of a connected cluster of candidates that the
+    links confirmed so far leave apart, in a task that has their shingle sets.
     """
     base = packed(docs, id_col, text_col).where("id is not null")
     exact, words = keys_needed(base.count(), similarity)
@@ -758,15 +811,11 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_c
     p = differing(similarity)
     bits = BITS * min(words, COMPARED)
     sure, most = (math.floor(bits * p + d * math.sqrt(bits * p * (1 - p))) for d in (-SLACK, SLACK))
-    tree = save_table(key_links(long.withColumn("comp", F.col("node")), words, exact, sure, most, True), "candidates")
-    checked = compared(tree, table, base, size, similarity)
+    tree = save_table(key_links(long, words, exact, sure, most), "candidates")
+    checked, known = compared(tree, table, base, size, similarity)
     few_known = few_links(table.where(F.col("n").between(1, few)).select("node", "n", "few"), similarity)
     links = save_table(checked.where("good").select("a", "b").unionByName(few_known), "similar-links")
-    sets = connected_components(links)
-    marked = long.join(sets, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    rest = key_links(save_table(marked.select("node", "comp", "sig"), "marked-fingerprints"), words, exact, sure, most, False)
-    rest = save_table(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-    links = links.unionByName(compared(rest, table, base, size, similarity).where("good").select("a", "b"))
+    links = links.unionByName(save_table(cluster_links(tree, known, connected_components(links), similarity), "similar-links"))
     least = table.select("node", "least")
     named = links.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = prints.join(table.select("digest", "least"), "digest").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))

@@ -97,6 +97,7 @@ def test_key_plan():
 def test_many_buckets_and_large_ones(spark, monkeypatch, unit_rows):
     """Groups of near copies and a large one, with few fingerprints to a unit."""
     monkeypatch.setattr(s, "UNIT_ROWS", unit_rows)
+    monkeypatch.setattr(s, "CLUSTER_ROWS", 9)
     rng, rows = np.random.default_rng(5), []
     for k in range(90):
         base = [f"g{k}w{i}" for i in range(200)]
@@ -156,3 +157,22 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     want = jaccard_components(rows, 5, 0.8)
     assert 100 < len(want) < 700
     assert {(r["id"], r["component_id"]) for r in found} == want
+
+
+def test_alike_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for two in (False, True):
+        base = np.unique(rng.integers(0, 10**9, 60).astype(np.uint64))
+        sets = [np.unique(np.concatenate((base[rng.random(len(base)) < 0.93], rng.integers(0, 10**9, rng.integers(0, 12)).astype(np.uint64)))) for _ in range(40)]
+        comp, second = rng.integers(0, 30, 40), (np.arange(40) % 2 == 1) if two else np.zeros(40, bool)
+        a, b = s.alike(sets, comp, second, two, 0.8)
+
+        def joined_by(pairs):
+            label = comp.copy()
+            for x, y in pairs:
+                label[label == label[y]] = label[x]
+            return {frozenset(np.flatnonzero(label == k).tolist()) for k in set(label.tolist())}
+
+        every = [(x, y) for x in range(40) for y in range(40) if x < y and (not two or second[x] != second[y]) and s.similar(sets[x], sets[y], 0.8)]
+        assert joined_by(zip(a, b)) == joined_by(every) and len(a) <= 39
+        assert all(s.similar(sets[x], sets[y], 0.8) for x, y in zip(a, b))
