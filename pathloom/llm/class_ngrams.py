@@ -80,11 +80,13 @@ def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
     if not len(texts):
         return pa.array([], pa.string()), np.zeros(0, np.int64)
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
-    words, edges = lists.values, lists.offsets.to_numpy()
-    real = pc.greater(pc.binary_length(words), 0)
-    before = np.concatenate(([0], np.cumsum(real.to_numpy(zero_copy_only=False))))
-    return words.filter(real), np.diff(before[edges])
+    # Without white space at its ends a text that is not empty splits in words alone.
+    plain = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    some = pc.greater(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
+    lists = pc.ascii_split_whitespace(plain if some.all() else plain.filter(pa.array(some)))
+    counts = np.zeros(len(texts), np.int64)
+    counts[some] = np.diff(lists.offsets.to_numpy())
+    return lists.values, counts
 
 
 def release_memory() -> None:

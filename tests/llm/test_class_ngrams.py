@@ -77,6 +77,11 @@ def test_words(texts):
     words, counts = c.words_of(pa.array(texts, pa.string()))
     want = [t.encode().lower().split() for t in texts]
     assert [w.encode() for w in words.to_pylist()] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+    # A part of an array, and an array in parts.
+    words, counts = c.words_of(pa.array(texts, pa.string())[1:])
+    assert [w.encode() for w in words.to_pylist()] == [w for x in want[1:] for w in x] and counts.tolist() == [len(x) for x in want[1:]]
+    words, counts = c.words_of(pa.chunked_array([pa.array(texts, pa.string())[:2], pa.array(texts, pa.string())[2:]]))
+    assert [w.encode() for w in words.to_pylist()] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
 
 
 def likelihood(bigrams, owner, classes):
