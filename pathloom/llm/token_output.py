@@ -128,10 +128,11 @@ def id_width(path: str) -> int:
 def dealt_shards(placed: DataFrame, shard_records: int, low: int, high: int) -> DataFrame:
     """The rows of shards ``low`` to ``high`` - 1 by ranges of shards, in order of their slots in each.
 
-    Shards are equally large, so a range for each of them splits the rows evenly.
+    Shards are equally large and their bounds are known, so a range of slots for each splits the
+    rows evenly; nothing has to be sampled to find the bounds.
     """
     part = placed.withColumn("shard", F.floor(F.col("slot") / shard_records).cast("int")).where((F.col("shard") >= low) & (F.col("shard") < high))
-    return part.repartitionByRange(high - low, "shard").sortWithinPartitions("shard", "slot")
+    return part.repartitionById(high - low, F.col("shard") - low).sortWithinPartitions("shard", "slot")
 
 
 def write_training_order(docs: DataFrame, path: str, out: str, key: str = "pathloom", sequence: int = SEQUENCE, shard_records: int = SHARD_RECORDS, id_col: str = "doc_id", text_col: str = "text") -> int:
