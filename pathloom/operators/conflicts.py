@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.operators.prefixes import lengths_of, prefixes_of
+from pathloom.shared import save_table
 
 
 def conflicts(requests: DataFrame) -> DataFrame:
@@ -25,10 +26,12 @@ def path_status(probes: DataFrame, requests: DataFrame) -> DataFrame:
 
     ``unavailable`` beside a writer, ``reading`` beside readers only, else ``available``.
     """
-    held = requests.select(F.col("path").alias("prefix"), "writes").groupBy("prefix").agg(F.bool_or("writes").alias("writes"))
-    above = prefixes_of(probes.select("path").distinct(), lengths_of(requests)).join(held, "prefix").select("path", "writes")
-    inner = prefixes_of(held.withColumnRenamed("prefix", "path"), lengths_of(probes)).select(F.col("prefix"), "writes")
-    below = probes.select("path").distinct().join(inner, F.col("path") == F.col("prefix")).select("path", "writes")
-    found = above.unionByName(below).groupBy("path").agg(F.bool_or("writes").alias("w"))
+    held = save_table(requests.groupBy("path").agg(F.bool_or("writes").alias("writes")), "held", free=False)
+    # Spark's estimates do not count what an explode adds, so all joins are merges: a broadcast could exceed the driver.
+    above = prefixes_of(probes.select("path").distinct(), lengths_of(held)).join(held.select(F.col("path").alias("prefix"), "writes").hint("merge"), "prefix")
+    # A prefix leaves each task once, however many requests are below it.
+    below = prefixes_of(held, lengths_of(probes)).groupBy("prefix").agg(F.bool_or("writes").alias("writes"))
+    either = above.select("path", "writes").unionByName(below.select(F.col("prefix").alias("path"), "writes"))
+    found = either.groupBy("path").agg(F.bool_or("writes").alias("w"))
     status = F.when(F.col("w").isNull(), "available").when(F.col("w"), "unavailable").otherwise("reading")
-    return probes.join(found, "path", "left").withColumn("status", status).drop("w")
+    return probes.join(found.hint("merge"), "path", "left").withColumn("status", status).drop("w")

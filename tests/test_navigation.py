@@ -222,6 +222,18 @@ def test_conflicts(spark):
     assert found == {b"a": "unavailable", b"a/x": "reading", b"z!": "unavailable", b"q": "available", b"a/b/c/d": "unavailable"}
 
 
+def test_path_status_at_size(spark):
+    # Exploded prefixes are many more than Spark expects: no join may gather them in the driver, small as their tables look.
+    rows = [(b"a" * i + b"/" * (i % 3), i % 7 == 0) for i in range(1, 60)] + [(b"a" * 10, False), (b"b", False)]
+    requests = spark.createDataFrame([(i, bytearray(p), w) for i, (p, w) in enumerate(rows)], "id long, path binary, writes boolean")
+    probes = [b"", b"a", b"a" * 5, b"a" * 5, b"a" * 59, b"a" * 80, b"a//", b"a/", b"bb", b"b", b"c"]
+    found = conflicts.path_status(spark.createDataFrame([(bytearray(p),) for p in probes], "path binary"), requests)
+    near = {p: [w for r, w in rows if r.startswith(p) or p.startswith(r)] for p in probes}
+    want = [(p, "unavailable" if any(near[p]) else "reading" if near[p] else "available") for p in probes]
+    assert sorted((bytes(r["path"]), r["status"]) for r in found.collect()) == sorted(want)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 def test_masks(spark):
     rnd, rows = random.Random(2), []
     for i in range(12):
