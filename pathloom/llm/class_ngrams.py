@@ -134,13 +134,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, count) over the packed ``docs``, one end per document among them."""
 
     def total(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        # One thread: each of several would keep memory of its own.
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             words, counts = words_of(batch.column(0))
             found = words.value_counts()
+            del words
             held.append(pa.table({"word": found.field(0).cast(pa.large_binary()), "n": found.field(1)}))
             held.append(pa.table({"word": pa.array([END], pa.large_binary()), "n": pa.array([len(counts)], pa.int64())}))
             size += len(found)
@@ -150,6 +152,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if size > HELD_WORDS // 2:
                     yield from as_batches(held[0])
                     held, size = [], 0
+            release_memory()
         if held:
             yield from as_batches(total(held))
         release_memory()
@@ -201,35 +204,53 @@ def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
     def run(batches):
         items = Items(held.value)
         size = items.end + 1
-
-        def out(words, counts):
-            found = pa.chunked_array(words).combine_chunks().dictionary_encode()
-            ids = items.of(found.dictionary.cast(pa.large_binary()).to_pylist())[found.indices.to_numpy()]
-            a = with_ends(ids, np.concatenate(counts), items.end)
-            key, n = np.unique(a * size + np.append(a[1:], items.end), return_counts=True)
-            a, b = key // size, key % size
+        kind = np.int32 if size < 1 << 31 else np.int64
+
+        def numbers(texts):
+            words, counts = words_of(texts)
+            found = words.dictionary_encode()
+            ids = items.of(found.dictionary.cast(pa.large_binary()).to_pylist()).astype(kind)
+            return with_ends(ids[found.indices.to_numpy()], counts, items.end)
+
+        def out(held_ids):
+            # The largest arrays of a worker: few at a time, and changed in place.
+            ids = np.concatenate(held_ids)
+            held_ids.clear()
+            key = ids.astype(np.int64)
+            key *= size
+            key[:-1] += ids[1:]
+            key[-1] += items.end
+            del ids
+            key.sort()
+            new = np.ones(len(key), bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
+            first = np.flatnonzero(new)
+            n = np.diff(first, append=len(key)).astype(np.int32)
+            key = key[first]
+            del first
+            a, b = (key // size).astype(kind), (key % size).astype(kind)
+            del key
             rows = []
             for side, (item, other) in enumerate(((a, b), (b, a))):
-                block = item % blocks
+                block = (item % blocks).astype(np.int32)
                 order = np.argsort(block, kind="stable")
-                edges, block = np.stack((item, other, n))[:, order], block[order]
+                block = block[order]
                 first = np.flatnonzero(np.diff(block, prepend=-1))
-                rows += [(k, side, packed_edges(e)) for k, e in zip(block[first].tolist(), np.split(edges, first[1:], axis=1))]
+                for k, some in zip(block[first].tolist(), np.split(order, first[1:])):
+                    rows.append((k, side, packed_edges(np.stack((item[some], other[some], n[some])))))
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()))], ["block", "side", "edges"])
 
-        words, counts, held_now = [], [], 0
+        held_ids, held_now = [], 0
         for batch in batches:
-            found, each = words_of(batch.column(0))
-            words.append(found)
-            counts.append(each)
-            held_now += len(found)
+            held_ids.append(numbers(batch.column(0)))
+            held_now += len(held_ids[-1])
             if held_now > HELD_PAIRS:
-                yield out(words, counts)
-                words, counts, held_now = [], [], 0
-                release_memory()
-        if counts:
-            yield out(words, counts)
+                yield out(held_ids)
+                held_now = 0
+            release_memory()
+        if held_now:
+            yield out(held_ids)
         release_memory()
 
     def merge(table: pa.Table) -> pa.Table:

@@ -1,4 +1,6 @@
 import math
+import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -137,3 +139,47 @@ def test_best_classes_are_those_of_all_moves(monkeypatch, high):
             value.append(-np.inf if k == c.CLASSES - 1 else likelihood(b, moved, classes))
         assert math.isclose(value[found[i]], max(value), abs_tol=2e-5)
         assert owner[i] == c.CLASSES - 1 or math.isclose(gain[i], value[found[i]] - value[owner[i]], rel_tol=1e-5, abs_tol=1e-4)
+
+
+def test_neighbours_hold_little(monkeypatch):
+    # What a worker holds while it counts neighbours decides whether two of them fit beside an executor.
+    steps, rnd = [], random.Random(4)
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def mapInArrow(self, step, _):
+            steps.append(step)
+            return self
+
+        applyInArrow = mapInArrow
+
+    class Held:
+        value = np.sort(np.array([xxhash.xxh64_intdigest(b"w%d" % i, 42) for i in range(300)], np.uint64))
+
+    monkeypatch.setattr(c, "save_table", lambda df, _: df)
+    monkeypatch.setattr(c, "partitions", lambda _: 3)
+    texts = [" ".join(f"w{min(int(rnd.expovariate(0.01)), 400)}" for _ in range(1000)) for _ in range(400)]
+    batches = [pa.record_batch([pa.array(texts[i : i + 100])], ["text"]) for i in range(0, 400, 100)] + [pa.record_batch([pa.array([], pa.string())], ["text"])]
+    c.neighbours(Frame(), Held(), 400_000)
+    tracemalloc.start()
+    found = list(steps[0](batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * 400_400
+    items, want = c.Items(Held.value), Counter()
+    for text in texts:
+        ids = [items.end, *items.of([w.encode() for w in text.split()]).tolist(), items.end]
+        want.update(zip(ids, ids[1:]))
+    for side in (0, 1):
+        got = Counter()
+        for batch in found:
+            for r in batch.to_pylist():
+                if r["side"] == side:
+                    for item, other, n in c.opened_edges(r["edges"]).T.tolist():
+                        assert item % 3 == r["block"]
+                        got[(item, other) if side == 0 else (other, item)] += n
+        assert got == want
