@@ -50,18 +50,24 @@ MIX = 0.85
 #: The end of a text among the words; no word is empty.
 END = b""
 
-#: Distinct words, or word pairs, that a task holds before it hands on their counts.
-HELD_WORDS, HELD_PAIRS = 400_000, 2_000_000
+#: Bytes of words, or word pairs, that a task holds before it hands on their counts.
+HELD_BYTES, HELD_PAIRS = 32 << 20, 2_000_000
 
 #: UTF-8 bytes of text in a block whose distinct words are looked up together.
 BLOCK_BYTES = 8 << 20
 
+#: Blocks whose words, if one task looked all of them up, would be as many as it looks up in its part.
+BLOCKS_A_PART = 4
+
 #: Numbers in a matrix that a task makes to compare classes.
 HELD_GAINS = 500_000
 
 #: How many times a count a cell must be for the series of a gain.
 SERIES = 8
 
+#: How many times the smallest cell a count may be for the series to keep its digits.
+STEEP = 100
+
 #: Parts of the likelihood's logarithm that a move gains at least; less may be the error of the sums.
 TIE = 1e-10
 
@@ -106,6 +112,77 @@ def shape_of(word: bytes) -> int:
     return zlib.crc32(word[-SHAPE_BYTES:]) % SHAPES
 
 
+def places_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of an array of strings or binaries without nulls, and where each begins and how long it is."""
+    large = pa.types.is_large_binary(words.type) or pa.types.is_large_string(words.type)
+    _, offsets, data = words.buffers()
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges = np.frombuffer(offsets, np.int64 if large else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), edges[:-1], np.diff(edges)
+
+
+def by_length(lengths: np.ndarray, longest: int):
+    """(length, places of the words that have it) up to ``longest``, where all longer ones are with it."""
+    capped = np.minimum(lengths, longest).astype(np.uint8)
+    order = np.argsort(capped, kind="stable")
+    edge = np.searchsorted(capped[order], np.arange(longest + 2))
+    for k in range(longest + 1):
+        if edge[k] < edge[k + 1]:
+            yield k, order[edge[k] : edge[k + 1]]
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word with Spark's seed; words of less than 32 bytes are hashed all at once, length by length."""
+    from xxhash import xxh64_intdigest
+
+    data, starts, lengths = places_of(words)
+    raw = np.ascontiguousarray(data)
+    eight, four = (np.ndarray(max(0, len(raw) - k + 1), f"<u{k}", raw, strides=(1,)) if len(raw) >= k else np.zeros(0, f"<u{k}") for k in (8, 4))
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, k: x << np.uint64(k) | x >> np.uint64(64 - k)
+    found = np.empty(len(lengths), np.uint64)
+    for length, those in by_length(lengths, 32):
+        at = starts[those]
+        if length == 32:
+            found[those] = [xxh64_intdigest(raw[b : b + n], 42) for b, n in zip(at.tolist(), lengths[those].tolist())]
+            continue
+        h = np.full(len(at), p5 + np.uint64(42 + length))
+        for k in range(0, length - 7, 8):
+            h = turned(h ^ turned(eight[at + k] * p2, 31) * p1, 27) * p1 + p4
+        if length & 4:
+            h = turned(h ^ four[at + (length & ~7)].astype(np.uint64) * p1, 23) * p2 + p3
+        for k in range(length & ~3, length):
+            h = turned(h ^ raw[at + k].astype(np.uint64) * p5, 11) * p1
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        found[those] = h ^ h >> np.uint64(32)
+    return found
+
+
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """:func:`shape_of` each word."""
+    data, starts, lengths = places_of(words)
+    found = np.empty(len(lengths), np.int64)
+    for length, those in by_length(lengths, SHAPE_BYTES):
+        crc = np.full(len(those), 0xFFFFFFFF, np.uint32)
+        for k in range(length, 0, -1):
+            crc = CRC[(crc ^ data[starts[those] + lengths[those] - k]) & 255] ^ crc >> 8
+        found[those] = (crc ^ np.uint32(0xFFFFFFFF)) % SHAPES
+    return found
+
+
+def crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+#: What a byte makes of a CRC-32.
+CRC = crc_table()
+
+
 class Items:
     """The item number of each word: its place among the ascending hashes of clustered words, else its shape's, then the end's.
 
@@ -116,14 +193,13 @@ class Items:
         self.hashes, self.base = hashes, len(hashes)
         self.end = self.base + SHAPES
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """The items of words that are not the end."""
-        from xxhash import xxh64_intdigest
-
-        h = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+        h = hashes_of(words)
         at = np.searchsorted(self.hashes, h)
         other = np.flatnonzero(self.hashes[np.minimum(at, self.base - 1)] != h) if self.base else np.arange(len(words))
-        at[other] = [self.base + shape_of(words[i]) for i in other.tolist()]
+        at[other] = self.base + shapes_of(words.take(pa.array(other)))
         return at
 
 
@@ -133,28 +209,26 @@ class Items:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, count) over the packed ``docs``, one end per document among them."""
 
-    def total(held: list[pa.Table]) -> pa.Table:
-        # One thread: each of several would keep memory of its own.
-        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+    def total(held: list[pa.Array], texts: int) -> pa.Table:
+        # All words at once: counts of parts would be hashed again to add them up.
+        found = pa.chunked_array(held, held[0].type).value_counts()
+        held.clear()
+        end = pa.table({"word": pa.array([END], pa.large_binary()), "n": pa.array([texts], pa.int64())})
+        return pa.concat_tables([pa.table({"word": found.field(0).cast(pa.large_binary()), "n": found.field(1)}), end])
 
     def run(batches):
-        held, size = [], 0
+        held, size, texts = [], 0, 0
         for batch in batches:
             words, counts = words_of(batch.column(0))
-            found = words.value_counts()
+            held.append(words)
+            size, texts = size + words.nbytes, texts + len(counts)
             del words
-            held.append(pa.table({"word": found.field(0).cast(pa.large_binary()), "n": found.field(1)}))
-            held.append(pa.table({"word": pa.array([END], pa.large_binary()), "n": pa.array([len(counts)], pa.int64())}))
-            size += len(found)
-            if size > HELD_WORDS:
-                held = [total(held)]
-                size = len(held[0])
-                if size > HELD_WORDS // 2:
-                    yield from as_batches(held[0])
-                    held, size = [], 0
+            if size > HELD_BYTES:
+                yield from as_batches(total(held, texts))
+                size = texts = 0
             release_memory()
-        if held:
-            yield from as_batches(total(held))
+        if texts:
+            yield from as_batches(total(held, texts))
         release_memory()
 
     def as_batches(table):
@@ -173,9 +247,9 @@ def packed_edges(edges: np.ndarray) -> bytes:
     return kind[2:].encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def opened_edges(blob: bytes) -> np.ndarray:
+def opened_edges(blob: bytes, columns: int = 3) -> np.ndarray:
     raw = pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), "zstd", asbytes=True)
-    return np.frombuffer(raw, "<u" + blob[:1].decode()).reshape(3, -1)
+    return np.frombuffer(raw, "<u" + blob[:1].decode()).reshape(columns, -1)
 
 
 def summed(item: np.ndarray, other: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -209,7 +283,7 @@ def neighbours(docs: DataFrame, held, tokens: int) -> DataFrame:
         def numbers(texts):
             words, counts = words_of(texts)
             found = words.dictionary_encode()
-            ids = items.of(found.dictionary.cast(pa.large_binary()).to_pylist()).astype(kind)
+            ids = items.of(found.dictionary).astype(kind)
             return with_ends(ids[found.indices.to_numpy()], counts, items.end)
 
         def out(held_ids):
@@ -362,13 +436,18 @@ def best_classes(table: np.ndarray, own: np.ndarray, to: np.ndarray, of: np.ndar
     n, classes = to.shape
     every = np.arange(n)
     gain = neighbour_gains(table.T, own, to, of) + neighbour_gains(table, own, of, to)
-    diagonal = np.broadcast_to(table.diagonal(), (n, classes)).copy()
-    diagonal[every, own] -= to[every, own] + of[every, own] + loop
-    gain += xlogx(diagonal + to + of + loop[:, None]) - xlogx(diagonal)
+
+    def rise(cells: np.ndarray, left: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What counts (items by classes) add to the cells of the classes; the items' own are without ``left``."""
+        found = xlogx(cells + counts) - xlogx(cells)
+        rest = cells[own] - left
+        found[every, own] = xlogx(rest + (counts[every, own] if counts.shape[1] > 1 else counts[:, 0])) - xlogx(rest)
+        return found
+
+    both = to + of + loop[:, None]
+    gain += rise(table.diagonal(), both[every, own], both)
     for totals, size in ((table.sum(axis=1), to.sum(axis=1) + loop), (table.sum(axis=0), of.sum(axis=1) + loop)):
-        rest = np.broadcast_to(totals, (n, classes)).copy()
-        rest[every, own] -= size
-        gain -= xlogx(rest + size[:, None]) - xlogx(rest)
+        gain -= rise(totals, size, size[:, None])
     gain[:, CLASSES - 1] = -np.inf
     best = gain.argmax(axis=1)
     best = np.where(gain[every, best] > gain[every, own] + TIE * abs(log_likelihood(table)), best, own)
@@ -389,49 +468,60 @@ def neighbour_gains(cells: np.ndarray, own: np.ndarray, counts: np.ndarray, othe
     neighbours.
     """
     n, classes = counts.shape
-    every = np.arange(n)
+    every, apart = np.arange(n), ~np.eye(classes, dtype=bool)
+    whose, h = np.nonzero(counts)
+    x = counts[whose, h]
+    # The item's own class, without the item.
+    held, home_cells = xlogx(cells), cells[h, own[whose]]
+    mine = h == own[whose]
+    of_own = np.bincount(whose, np.where(mine, 0.0, held[h, own[whose]] - xlogx(np.where(mine, 0.0, home_cells - x))), n)
+    # An item takes part in the series at h only for the classes with large cells: all others are put right one by one.
+    item, h, a = whose[~mine], h[~mine], x[~mine]
     rest = counts.copy()
     rest[every, own] = 0
-    usable = (cells > 0) & ~np.eye(classes, dtype=bool)
+    usable = (cells > 0) & apart
     safe = np.where(usable, cells, 1.0)
     terms = [np.where(usable, 1 + np.log(safe), 0.0), *[np.where(usable, (-1.0) ** k / (k * (k - 1) * safe ** (k - 1)), 0.0) for k in range(2, 6)]]
-    # An item takes part in the series at h only for the classes with large cells: all others are put right one by one.
-    item, h = np.nonzero(rest)
-    a = rest[item, h]
-    order = np.argsort(cells, axis=1, kind="stable")
-    ascending = np.take_along_axis(cells, order, axis=1)
-    empty = (cells == 0).sum(axis=1)
-    few = np.empty(len(a), np.int64)
-    by_class = np.argsort(h, kind="stable")
+    # The diagonal is in order among the empty cells, so it is left out with them.
+    other = np.where(apart, cells, 0.0)
+    order = np.argsort(other, axis=1, kind="stable")
+    ascending = np.take_along_axis(other, order, axis=1)
+    empty = (other == 0).sum(axis=1)
+    few, steep = np.empty(len(a), np.int64), np.empty(len(a), bool)
+    by_class = np.argsort(h.astype(np.int16 if classes < 1 << 15 else np.int64), kind="stable")
     edge = np.searchsorted(h[by_class], np.arange(classes + 1))
     for k in range(classes):
-        mine = by_class[edge[k] : edge[k + 1]]
-        few[mine] = np.searchsorted(ascending[k], SERIES * a[mine])
-    skip = empty[h]
-    # Where most cells are small, the series would only lose digits.
-    whole = (few - skip) * 2 > classes
+        at = by_class[edge[k] : edge[k + 1]]
+        few[at] = np.searchsorted(ascending[k], SERIES * a[at])
+        steep[at] = a[at] > STEEP * ascending[k, min(empty[k], classes - 1)]
+    size = np.maximum(few - empty[h], 0)
+    # Where most cells are small, or one is tiny, the series would only lose digits.
+    whole = (size * 2 > classes) | (steep & (size > 0))
     rest[item[whole], h[whole]] = 0
-    few[whole], skip[whole] = classes, 0
-    gain = xlogx(rest) @ ((cells == 0) & ~np.eye(classes, dtype=bool)).astype(float)
+    gain = xlogx(rest) @ ((cells == 0) & apart).astype(float)
     power = rest
     for term in terms:
         gain += power @ term
         power = power * rest
-    for at in range(0, len(a), step := max(1, HELD_GAINS // classes)):
+    flat = gain.reshape(-1)
+    wholes = np.flatnonzero(whole)
+    for at in range(0, len(wholes), step := max(1, HELD_GAINS // classes)):
+        some = wholes[at : at + step]
+        exact = np.where(apart[h[some]], xlogx(cells[h[some]] + a[some, None]) - held[h[some]], 0.0)
+        flat += np.bincount((item[some, None] * classes + np.arange(classes)).ravel(), exact.ravel(), n * classes)
+    # The exact difference less the series, for the other pairs with small cells.
+    pairs = np.flatnonzero(~whole & (size > 0))
+    size = size[pairs]
+    ends = np.cumsum(size)
+    first = h[pairs] * classes + empty[h[pairs]] - (ends - size)
+    for at in range(0, len(pairs), step):
         some = slice(at, at + step)
-        size = few[some] - skip[some]
-        e = np.repeat(np.arange(at, at + len(size)), size)
-        g = order[h[e], np.arange(len(e)) - np.repeat(np.cumsum(size) - size - skip[some], size)]
-        c, x = cells[h[e], g], a[e]
-        exact = np.where(g == h[e], 0.0, xlogx(c + x) - xlogx(c))
-        off = ~whole[e]
-        for k, term in enumerate(terms):
-            exact[off] -= x[off] ** (k + 1) * term[h[e[off]], g[off]]
-        gain += np.bincount(item[e] * classes + g, exact, n * classes).reshape(n, classes)
-    # The item's own class, without the item.
-    item, h = np.nonzero(counts)
-    c, x, mine = cells[h, own[item]], counts[item, h], h == own[item]
-    gain[every, own] = np.bincount(item, np.where(mine, 0.0, xlogx(c) - xlogx(np.where(mine, 0.0, c - x))), n)
+        place = np.arange(ends[at] - size[at], ends[some][-1]) + np.repeat(first[some], size[some])
+        c, x = ascending.take(place), np.repeat(a[pairs[some]], size[some])
+        t = x / c
+        exact = (c + x) * np.log1p(t) - x * (1 + t * (1 / 2 - t * (1 / 6 - t * (1 / 12 - t / 20))))
+        flat += np.bincount(np.repeat(item[pairs[some]] * classes, size[some]) + order.take(place), exact, n * classes)
+    gain[every, own] = of_own
     # Its own class among the neighbours, whose cells are without the other side's counts.
     home = np.flatnonzero(counts[every, own])
     x, c = counts[home, own[home]][:, None], cells[own[home]] - others[home]
@@ -596,8 +686,8 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     def add_class(batches):
         items, owner = Items(held.value), place.value
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            at = np.where([w == END for w in words], items.end, items.of(words))
+            words = batch.column(0)
+            at = np.where(places_of(words)[2] == len(END), items.end, items.of(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(owner[at], pa.int32())], ["word", "n", "class"])
 
     vocabulary = save_table(counts.mapInArrow(add_class, "word binary, n long, class int"), "word-classes")
@@ -610,34 +700,78 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
 # ---------------------------------------------------------------- scores
 
 
+def dealt(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of different words by their hashes (of equal ones by their bytes), and the part of each in that order."""
+    h = hashes_of(words)
+    order = np.argsort(h)
+    if (h[order[1:]] == h[order[:-1]]).any():
+        order = np.array(sorted(range(len(h)), key=lambda i: (h[i], words[i].cast(pa.large_binary()).as_py())))
+    return order, ((h[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_words(words: pa.Array) -> bytes:
+    """The words as bytes: how many, their lengths, then all of them."""
+    data, starts, lengths = places_of(words)
+    some = data[starts[0] : starts[-1] + lengths[-1]] if len(words) else data
+    return len(words).to_bytes(8, "little") + lengths.astype("<u4").tobytes() + some.tobytes()
+
+
+def opened_words(blob: bytes) -> pa.Array:
+    n = int.from_bytes(blob[:8], "little")
+    edges = np.append(0, np.cumsum(np.frombuffer(blob, "<u4", n, 8), dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(blob[8 + 4 * n :])])
+
+
 def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of the packed ``docs``.
 
-    Documents are dealt into blocks of about ``block_bytes``. The distinct words of each block
-    join the table of word counts, so a word that is everywhere is looked up once per block,
-    and the vocabulary, which grows with the corpus, is never sent to all tasks. Each block is
-    then scored next to the counts of its words.
+    Documents are dealt into blocks of about ``block_bytes``. The distinct words of each block meet
+    the table of word counts, so a word that is everywhere is looked up once per block, and the
+    vocabulary, which grows with the corpus, is never sent to all tasks. The words of a block that
+    belong to one part of the vocabulary travel in one row, and so do the counts on their way back.
+    Each block is then scored next to the counts of its words.
     """
     blocks = max(partitions(docs), -(-text_bytes(docs) // block_bytes))
+    # Fewer parts make longer rows, and a part has to fit in a task.
+    parts = max(partitions(docs), -(-blocks // BLOCKS_A_PART))
     blocked = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def distinct_words(table: pa.Table) -> pa.Table:
         release_memory()
         found = words_of(table.column("text"))[0].unique()
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(found), pa.int32()), "word": found.cast(pa.binary())})
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        order, part = dealt(found, parts)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        found = found.take(pa.array(order))
+        packs = [packed_words(found[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)])]
+        block = pa.array(np.full(len(first), table.column("block")[0].as_py(), np.int32))
+        return pa.table({"part": pa.array(part[first], pa.int32()), "block": block, "words": pa.array(packs, pa.binary())})
+
+    def look_up(asked: pa.Table, listed: pa.Table) -> pa.Table:
+        release_memory()
+        words = [opened_words(x) for x in asked.column("words").to_pylist()]
+        known = listed.column("word").combine_chunks().cast(pa.large_binary())
+        at = pc.index_in(pa.concat_arrays(words) if words else pa.array([], pa.large_binary()), value_set=known).fill_null(len(known)).to_numpy()
+        # A class is one more here, and none is for words that training lacks.
+        both = np.stack((np.append(listed.column("n").to_numpy(), 0)[at], np.append(listed.column("class").to_numpy() + 1, 0)[at]))
+        counts = [packed_edges(x) for x in np.split(both, np.cumsum([len(x) for x in words])[:-1], axis=1)] if words else []
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "counts": pa.array(counts, pa.binary())})
+
+    def run(texts: pa.Table, counted: pa.Table) -> pa.Table:
         release_memory()
         m = held.value
         said, counts = words_of(texts.column("text"))
-        listed = words.column("word").combine_chunks().cast(pa.large_binary())
-        ids = pc.index_in(said.cast(pa.large_binary()), value_set=listed).to_numpy()
-        count = np.append(words.column("n").to_numpy().astype(float), float(m.ends))
-        cls = np.append(words.column("class").to_numpy(), CLASSES - 1)
+        found = said.dictionary_encode()
+        listed, ids = found.dictionary, found.indices.to_numpy()
+        del said, found
+        blobs = counted.column("counts").to_pylist()
+        rows = [opened_edges(blobs[i], 2).astype(np.int64) for i in np.argsort(counted.column("part").to_numpy()).tolist()]
+        both = np.zeros((2, len(listed)), np.int64)
+        both[:, dealt(listed, parts)[0]] = np.concatenate(rows, axis=1) if rows else both
+        count = np.append(both[0].astype(float), float(m.ends))
+        cls = np.append(both[1] - 1, CLASSES - 1)
         unseen = np.flatnonzero(cls < 0)  # in training
-        cls[unseen] = [m.shape_class[shape_of(listed[i].as_py())] for i in unseen.tolist()]
+        cls[unseen] = m.shape_class[shapes_of(listed.take(pa.array(unseen)))]
         plain = m.unigram(count)
         share = m.emission(count, cls) * (MIX if m.tokens else 0.0)
         rest = plain * ((1 - MIX) if m.tokens else 1.0)
@@ -646,14 +780,16 @@ def score(docs: DataFrame, model: ClassModel, vocabulary: DataFrame, block_bytes
         at = np.append(before[1:], len(listed))
         p = m.transition[cls[before], cls[at]] * share[at] + rest[at]
         start = np.cumsum(counts + 1) - counts - 1
-        sums = [np.add.reduceat(x, start) for x in ((count[at] > 0).astype(np.int64), np.log10(plain)[at], np.log10(p))]
+        sums = [np.add.reduceat(x, start) for x in ((count > 0).astype(np.int64)[at], np.log10(plain)[at], np.log10(p))]
         return pa.table({"id": texts.column("id"), "n_tokens": pa.array(counts + 1, pa.int64()), "n_known": pa.array(sums[0], pa.int64()), "base_score": pa.array(sums[1], pa.float64()), "score": pa.array(sums[2], pa.float64())})
 
     by_block = blocked.groupBy("block")
-    words = by_block.applyInArrow(distinct_words, "block int, word binary")
-    # Words of the vocabulary are unique, so its parts are even and small enough to be hashed; the blocks' words need no sort.
-    known = words.join(vocabulary.hint("shuffle_hash"), "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(-1)).alias("class"))
-    return by_block.cogroup(known.groupBy("block")).applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
+    asked = by_block.applyInArrow(distinct_words, "part int, block int, words binary")
+    # As in dealt.
+    part = F.shiftright(F.shiftrightunsigned(F.xxhash64("word"), 32) * F.lit(parts).cast("long"), 32).cast("int")
+    listed = vocabulary.where(F.col("word") != F.lit(END)).select(part.alias("part"), "word", "n", "class")
+    counted = asked.groupBy("part").cogroup(listed.groupBy("part")).applyInArrow(look_up, "block int, part int, counts binary")
+    return by_block.cogroup(counted.groupBy("block")).applyInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, held_out_of: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -183,3 +183,45 @@ def test_neighbours_hold_little(monkeypatch):
                         assert item % 3 == r["block"]
                         got[(item, other) if side == 0 else (other, item)] += n
         assert got == want
+
+
+def test_words_are_hashed_all_at_once(monkeypatch):
+    """A call for each word took a third of the time of counting neighbours."""
+    rnd = random.Random(5)
+    words = [rnd.randbytes(n) for n in [*range(1, 70), *range(1, 40)]]
+    want = [xxhash.xxh64_intdigest(w, 42) for w in words]
+    hashes = np.sort(np.array(want[::2], np.uint64))
+    called = []
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w, seed, of=xxhash.xxh64_intdigest: called.append(len(w)) or of(w, seed))
+    items = c.Items(hashes).of(words)
+    assert all(n >= 32 for n in called)
+    assert items[::2].tolist() == np.searchsorted(hashes, np.array(want[::2], np.uint64)).tolist()
+    assert items[1::2].tolist() == [len(hashes) + c.shape_of(w) for w in words[1::2]]
+    for kind in (pa.binary(), pa.large_binary()):
+        part = pa.array([b"", *words, b""], kind)[3:]
+        assert c.hashes_of(part).tolist() == [*want[2:], xxhash.xxh64_intdigest(b"", 42)]
+        assert c.shapes_of(part).tolist() == [c.shape_of(w) for w in [*words[2:], b""]]
+
+
+def test_gains_keep_their_digits():
+    """A count far above one small cell among large ones."""
+    classes = c.CLASSES + 2
+    cells = np.full((classes, classes), 1e8)
+    cells[3, 7] = 1
+    counts = np.zeros((1, classes))
+    counts[0, 3], own = 1e6, np.array([5])
+    found = c.neighbour_gains(cells, own, counts, np.zeros_like(counts))[0]
+    for g in set(range(classes)) - {3, 5}:
+        cell = cells[3, g]
+        assert math.isclose(found[g], float(c.xlogx(cell + 1e6) - c.xlogx(cell)), rel_tol=1e-6)
+
+
+def test_words_travel_together(monkeypatch):
+    words = pa.array(["é", "b", "", "c" * 40, "a"])
+    assert c.opened_words(c.packed_words(words[1:])).to_pylist() == [b"b", b"", b"c" * 40, b"a"]
+    assert c.opened_words(c.packed_words(words[:0])).to_pylist() == []
+    order, part = c.dealt(words, 3)
+    assert sorted(order.tolist()) == [0, 1, 2, 3, 4] and (np.diff(part) >= 0).all() and part.max() < 3
+    # Words of one hash have one order too.
+    monkeypatch.setattr(c, "hashes_of", lambda words: np.full(len(words), 9, np.uint64))
+    assert c.dealt(words, 3)[0].tolist() == [2, 4, 1, 3, 0]
